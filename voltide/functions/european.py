@@ -48,23 +48,46 @@ def intrinsic(s: Column, k: Column, cp: Column) -> Column:
     return F.greatest(F.lit(0.0), cp * (s - k))
 
 
+# volatility that stands in for zero, where the flat value is used anyway
+_TINY = 1e-6
+
+
+def choose(v: Column, value: Column, flat: Column) -> Column:
+    """``value`` for a positive volatility, else ``flat``.
+
+    Arithmetic instead of CASE, so Spark still finds the subexpressions that
+    the five measures share and computes each once.
+    """
+    live = (v > 0).cast("double")
+    return value * live + flat * (F.lit(1.0) - live)
+
+
+def safe_vol(v: Column) -> Column:
+    return F.greatest(v, F.lit(_TINY))
+
+
+def _pieces(model, s, k, r, t, v, cp):
+    w = safe_vol(v)
+    d1 = d1_of(model, s, k, r, t, w)
+    d2 = d1 - w * F.sqrt(t)
+    return w, F.exp(-r * t), norm_cdf(cp * d1), norm_cdf(cp * d2), norm_pdf(d1)
+
+
 def _price(model, s, k, r, t, v, cp):
-    d1 = d1_of(model, s, k, r, t, v)
-    d2 = d1 - v * F.sqrt(t)
-    value = price_terms(model, s, k, F.exp(-r * t), cp, norm_cdf(cp * d1), norm_cdf(cp * d2))
-    return F.when(v <= 0, intrinsic(s, k, cp)).otherwise(value)
+    _, disc, cdf1, cdf2, _ = _pieces(model, s, k, r, t, v, cp)
+    return choose(v, price_terms(model, s, k, disc, cp, cdf1, cdf2), intrinsic(s, k, cp))
 
 
-def _greeks(model, s, k, r, t, v, cp, annual_days):
-    d1 = d1_of(model, s, k, r, t, v)
-    d2 = d1 - v * F.sqrt(t)
-    terms = greek_terms(
-        model, s, k, r, t, v, cp, F.exp(-r * t), norm_cdf(cp * d1), norm_cdf(cp * d2), norm_pdf(d1), annual_days
-    )
+def measures(terms: dict, s, k, v, cp) -> dict:
+    """The five measures with their values at zero volatility."""
     flat = {"price": intrinsic(s, k, cp)}
-    return F.struct(
-        *[F.when(v <= 0, flat.get(name, F.lit(0.0))).otherwise(col).alias(name) for name, col in terms.items()]
-    )
+    return {name: choose(v, col, flat.get(name, F.lit(0.0))) for name, col in terms.items()}
+
+
+def _greeks(model, s, k, r, t, v, cp, annual_days):
+    w, disc, cdf1, cdf2, pdf1 = _pieces(model, s, k, r, t, v, cp)
+    terms = greek_terms(model, s, k, r, t, w, cp, disc, cdf1, cdf2, pdf1, annual_days)
+    return F.struct(*[col.alias(name) for name, col in measures(terms, s, k, v, cp).items()])
 
 
 def b76_price(s, k, r, t, v, cp) -> Column:

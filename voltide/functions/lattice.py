@@ -30,7 +30,7 @@ def _doubles(*columns):
     return [c.cast("double") for c in columns]
 
 
-def _make_price(n):
+def price_udf(n):
     k = kernels
 
     def crr_price_batch(f: pd.Series, s: pd.Series, r: pd.Series, t: pd.Series, v: pd.Series,
@@ -42,7 +42,7 @@ def _make_price(n):
     return F.pandas_udf(crr_price_batch, "double")
 
 
-def _make_greeks(n, annual_days):
+def greeks_udf(n, annual_days):
     k, names = kernels, GREEKS
 
     def crr_greeks_batch(f: pd.Series, s: pd.Series, r: pd.Series, t: pd.Series, v: pd.Series,
@@ -55,7 +55,7 @@ def _make_greeks(n, annual_days):
     return F.pandas_udf(crr_greeks_batch, _GREEK_TYPE)
 
 
-def _make_vol(model, method, n):
+def vol_udf(model, method, n):
     k, law = kernels, _LAW
 
     def implied_vol_batch(price: pd.Series, s: pd.Series, x: pd.Series, r: pd.Series, t: pd.Series,
@@ -72,11 +72,11 @@ def _make_vol(model, method, n):
 
 
 def crr_price(f, k, r, t, v, cp, n: int = K.TREE_STEPS) -> Column:
-    return _make_price(n)(*_doubles(f, k, r, t, v, cp))
+    return price_udf(n)(*_doubles(f, k, r, t, v, cp))
 
 
 def crr_greeks(f, k, r, t, v, cp, n: int = K.TREE_STEPS, annual_days: int = K.GREEK_DAYS) -> Column:
-    return _make_greeks(n, annual_days)(*_doubles(f, k, r, t, v, cp))
+    return greeks_udf(n, annual_days)(*_doubles(f, k, r, t, v, cp))
 
 
 def implied_vol(price, s, k, r, t, cp, model: str = "crr", method: str = "chord", n: int = K.TREE_STEPS) -> Column:
@@ -84,7 +84,7 @@ def implied_vol(price, s, k, r, t, cp, model: str = "crr", method: str = "chord"
         raise ValueError(f"unknown model {model!r}")
     if method not in ("chord", "newton"):
         raise ValueError(f"unknown method {method!r}")
-    return _make_vol(model, method, n)(*_doubles(price, s, k, r, t, cp))
+    return vol_udf(model, method, n)(*_doubles(price, s, k, r, t, cp))
 
 
 def crr_price_native(f, k, r, t, v, cp, n: int = K.TREE_STEPS) -> Column:

@@ -30,8 +30,13 @@ def norm_pdf(x: Column) -> Column:
 
 
 def norm_cdf(x: Column) -> Column:
+    """Distribution function; ``x`` should be a plain column, as it is used often.
+
+    The upper tail is computed once and reflected by arithmetic. A second CASE
+    for the sign would double the generated code.
+    """
     z = F.abs(x)
-    bell = F.exp(z * z * F.lit(-0.5))
+    bell = F.exp(x * x * F.lit(-0.5))
 
     def poly(coefficients):
         return reduce(lambda acc, c: acc * z + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
@@ -40,9 +45,9 @@ def norm_cdf(x: Column) -> Column:
     upper = (
         F.when(z < SPLIT, bell * poly(NUMERATOR) / poly(DENOMINATOR))
         .when(z <= CUTOFF, bell / fraction / F.lit(ROOT_TWO_PI))
-        .otherwise(F.lit(0.0))
+        .when(z > CUTOFF, F.lit(0.0))
     )
-    return F.when(x > 0, F.lit(1.0) - upper).otherwise(upper)
+    return F.abs((x > 0).cast("double") - upper)
 
 
 def norm_cdf_sql(x: str) -> str:
@@ -54,6 +59,7 @@ def norm_cdf_sql(x: str) -> str:
     bell = f"exp(-0.5D * {x} * {x})"
     upper = (
         f"(CASE WHEN abs({x}) < {SPLIT}D THEN {bell} * {poly(NUMERATOR)} / {poly(DENOMINATOR)} "
-        f"WHEN abs({x}) <= {CUTOFF}D THEN {bell} / {fraction} / {ROOT_TWO_PI}D ELSE 0.0D END)"
+        f"WHEN abs({x}) <= {CUTOFF}D THEN {bell} / {fraction} / {ROOT_TWO_PI}D "
+        f"WHEN abs({x}) > {CUTOFF}D THEN 0.0D END)"
     )
-    return f"(CASE WHEN {x} > 0 THEN 1.0D - {upper} ELSE {upper} END)"
+    return f"abs(CAST({x} > 0 AS DOUBLE) - {upper})"

@@ -19,22 +19,22 @@ def half_even(x: Column, scale: int) -> Column:
 
 
 def nan_to_null(x: Column) -> Column:
-    return F.when(~F.isnan(x), x)
+    return F.nullif(x, F.lit(float("nan")))
 
 
 def to_numeric(x: Column, kind: str = "double") -> Column:
-    """Cast text to a number; a lone dash is 0 and thousands commas are dropped.
+    """Cast text to a number; a lone dash or nothing is 0, thousands commas go.
 
     Text that is no number becomes NULL.
     """
-    text = F.trim(x.cast("string"))
-    text = F.when(text.isin("-", ""), F.lit("0")).otherwise(F.regexp_replace(text, ",", ""))
-    as_double = nan_to_null(text.try_cast("double"))
+    plain = F.replace(F.trim(x.cast("string")), F.lit(","), F.lit(""))
+    as_double = nan_to_null(plain.try_cast("double"))
     if kind == "double":
-        return as_double
-    return F.coalesce(text.try_cast("bigint"), as_double.try_cast("bigint"))
+        return F.when(plain.isin("-", ""), F.lit(0.0)).otherwise(as_double)
+    whole = F.coalesce(plain.try_cast("bigint"), plain.try_cast("double").try_cast("bigint"))
+    return F.when(plain.isin("-", ""), F.lit(0)).otherwise(whole).cast("bigint")
 
 
 def strict_zero(x: Column) -> Column:
     """Turn the negative zero that rounding may leave into plain zero."""
-    return F.when(x == 0, F.lit(0.0)).otherwise(x)
+    return x + F.lit(0.0)

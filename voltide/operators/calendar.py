@@ -72,16 +72,21 @@ def sessions(calendar: DataFrame, as_of, days: int = 500) -> DataFrame:
     ).select(F.col("cal_date").alias("trade_date"))
 
 
-def month_starts(spark: SparkSession, as_of, days: int = 1100) -> DataFrame:
-    """First days of the months within the last ``days`` days."""
-    last = F.lit(str(as_of)).cast("date")
-    first = F.date_sub(last, days)
+def month_starts_of(df: DataFrame, as_of: str, days: int = 1100) -> DataFrame:
+    """First days of the months within ``days`` days up to each row's date."""
+    first = F.date_sub(F.col(as_of), days)
     start = F.when(F.dayofmonth(first) == 1, first).otherwise(F.add_months(F.trunc(first, "month"), 1))
-    return spark.range(1).select(
-        F.explode(F.sequence(start, last, F.expr("interval 1 month"))).alias("month_start")
+    return df.select(
+        "*", F.explode(F.sequence(start, F.col(as_of), F.expr("interval 1 month"))).alias("month_start")
     )
 
 
+def month_starts(spark: SparkSession, as_of, days: int = 1100) -> DataFrame:
+    """First days of the months whose calendar a run on ``as_of`` loads."""
+    one = spark.range(1).select(F.lit(str(as_of)).cast("date").alias("_as_of"))
+    return month_starts_of(one, "_as_of", days).select("month_start")
+
+
 def first_weekday(month: Column) -> Column:
     return F.date_add(month, F.when(F.weekday(month) >= 5, F.lit(7) - F.weekday(month)).otherwise(F.lit(0)))
 

@@ -30,7 +30,8 @@ def merge_keep_last(old: DataFrame, new: DataFrame, keys: list, order: list = No
     return pick_by(both, keys, ["_batch", *(order or [])], last=True).drop("_batch")
 
 
-def merge_day(spark: SparkSession, new: DataFrame, path: str, schema, keys: list, date_col: str = "trade_date") -> None:
+def merge_day(spark: SparkSession, new: DataFrame, path: str, schema, keys: list, order: list = None,
+              date_col: str = "trade_date") -> None:
     """Merge new rows into a stored table, rewriting only the days they touch.
 
     The stored side is reduced to the touched days by a semi-join on the
@@ -43,9 +44,9 @@ def merge_day(spark: SparkSession, new: DataFrame, path: str, schema, keys: list
         if _has_data(spark, path):
             days = new.select(date_col).distinct()
             old = spark.read.schema(schema).parquet(path).join(days, date_col, "left_semi")
-            merged = merge_keep_last(old.select(*new.columns), new, keys)
+            merged = merge_keep_last(old.select(*new.columns), new, keys, order)
         else:
-            merged = pick_by(new.withColumn("_batch", F.lit(1)), keys, ["_batch"], last=True).drop("_batch")
+            merged = merge_keep_last(new.limit(0), new, keys, order)
         append_day(merged, path, date_col)
     finally:
         new.unpersist()

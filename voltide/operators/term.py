@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from voltide import constants as K
+
 LADDER = ["exchange", "group_id"]
 
 
@@ -19,17 +21,11 @@ def newest_contracts(deliveries: DataFrame, max_contracts: int = 12, keys=LADDER
     )
 
 
-def contract_files(files: DataFrame, path_col: str = "path", max_files: int = 12) -> DataFrame:
-    """Newest dated contract files: paths with an ISO date, newest path first."""
-    from voltide import constants as K
-
-    dated = files.select(path_col, F.nullif(F.regexp_extract(path_col, K.ISO_DATE, 1), F.lit("")).alias("_date"))
-    return (
-        dated.where(F.col("_date").isNotNull())
-        .select(path_col, F.try_to_date("_date", "yyyy-MM-dd").alias("delivery"))
-        .orderBy(F.col(path_col).desc())
-        .limit(max_files)
-    )
+def newest_deliveries(paths: DataFrame, path_col: str = "path", max_contracts: int = 12) -> DataFrame:
+    """The newest delivery dates among file paths that contain an ISO date."""
+    found = F.nullif(F.regexp_extract(path_col, K.ISO_DATE, 1), F.lit(""))
+    dates = paths.select(F.try_to_date(found, "yyyy-MM-dd").alias("delivery")).where(F.col("delivery").isNotNull())
+    return dates.distinct().orderBy(F.col("delivery").desc()).limit(max_contracts)
 
 
 def delivery_ranks(deliveries: DataFrame, keys=LADDER) -> DataFrame:

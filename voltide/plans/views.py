@@ -8,6 +8,10 @@ columns a query uses are read from the files.
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from voltide import constants as K
+from voltide.functions.numeric import half_even
+from voltide.operators import calendar as cal
+
 # part type -> (exchange, product code used in contract names)
 PRODUCTS = {
     "ECONOMY": ("SHFE", "cu"),
@@ -31,6 +35,11 @@ def _by_type(position: int):
     return out
 
 
+def code_of():
+    """Product code used in contract names."""
+    return _by_type(1)
+
+
 def lines(spark: SparkSession, folder: str) -> DataFrame:
     """Line items with the type and price of their part."""
     part = table(spark, folder, "part").select("p_partkey", F.col("p_type").alias("group_id"), "p_retailprice")
@@ -125,8 +134,52 @@ def pricing_inputs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def index_siv(spark: SparkSession, folder: str) -> DataFrame:
-    """A second daily series: the order value per priority, seen as an index."""
+    """A second daily series: the mean order value per priority, seen as an index."""
     orders = table(spark, folder, "orders")
     return orders.groupBy(
         F.col("o_orderdate").cast("date").alias("trade_date"), F.col("o_orderpriority").alias("group_id")
-    ).agg((F.sum("o_totalprice") / F.count("*")).alias("close"))
+    ).agg(half_even(F.sum("o_totalprice") / F.count("*"), 3).alias("close"))
+
+
+def equity_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The mean order value of a day as the close of the equity index."""
+    orders = table(spark, folder, "orders")
+    return (
+        orders.groupBy(F.col("o_orderdate").cast("date").alias("trade_date"))
+        .agg(half_even(F.sum("o_totalprice") / F.count("*"), 3).alias("close"))
+        .withColumn("group_id", F.lit(K.CSI_GROUP))
+    )
+
+
+def underlying_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    """Closes of the futures contracts that option names refer to."""
+    base = lines(spark, folder)
+    month = F.add_months(F.trunc("trade_date", "month"), F.col("l_linenumber") + 2)
+    stamp = F.date_format(month, "yyMM")
+    stamp = F.when(F.col("exchange") == "CZCE", F.substring(stamp, 2, 3)).otherwise(stamp)
+    return base.select(
+        "trade_date", F.concat(_by_type(1), stamp).alias("product_id"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("close"),
+    ).where(F.col("close") >= 1000)
+
+
+# month and day of the holidays, and of the days only the detailed calendar closes
+HOLIDAYS = ["01-01", "05-01", "05-02", "05-03", "10-01", "10-02", "10-03", "10-04", "10-05"]
+DETAIL_CLOSED = ["02-02", "02-03", "07-01", "12-31"]
+
+
+def trading_calendar(spark: SparkSession, folder: str) -> DataFrame:
+    """Calendar around the ship dates: weekdays without holidays are sessions."""
+    ship = F.col("l_shipdate").cast("date")
+    bounds = table(spark, folder, "lineitem").agg(
+        F.add_months(F.trunc(F.min(ship), "month"), -4).alias("first"),
+        F.add_months(F.max(ship), 18).alias("last"),
+    )
+    days = cal.calendar_days(bounds)
+    label = F.date_format("cal_date", "MM-dd")
+    session = (F.weekday("cal_date") < 5) & ~label.isin(HOLIDAYS)
+    return days.select(
+        "cal_date",
+        session.alias("is_session"),
+        F.when(label.isin(DETAIL_CLOSED), F.lit(True)).alias("closed"),
+    )

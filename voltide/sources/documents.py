@@ -4,12 +4,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voltide import constants as K
 
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+# --- fixed values: entities of plain tables, and the white space Python strips ------
+ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(x: Column) -> Column:
     """Trim every kind of white space, non-breaking spaces included."""
-    return F.regexp_replace(x, r"(?U)^[\s ]+|[\s ]+$", "")
+    return F.btrim(x, F.lit(WHITE_SPACE))
 
 
 def read_text_payloads(spark, path: str, exchange: str, kind: str) -> DataFrame:
@@ -43,50 +48,49 @@ def json_rows(payloads: DataFrame, array_field: str, fields: list) -> DataFrame:
     record = ",".join(f"{f}:string" for f in fields)
     parsed = F.from_json("payload", f"struct<{array_field}:array<struct<{record}>>>")
     return payloads.withColumn("_rows", parsed[array_field]).select(
-        "exchange", "trade_date", F.posexplode("_rows").alias("pos", "r")
-    ).select("exchange", "trade_date", "pos", *[F.col(f"r.{f}").alias(f) for f in fields])
+        "exchange", "trade_date", F.posexplode_outer("_rows").alias("pos", "r")
+    ).where(F.col("r").isNotNull()).select("exchange", "trade_date", "pos", *[F.col(f"r.{f}").alias(f) for f in fields])
 
 
 def xml_rows(payloads: DataFrame, row_tag: str, fields: list) -> DataFrame:
-    """One row per ``row_tag`` element at any depth; absent children are NULL.
+    """One row per ``row_tag`` element at any depth; absent or empty children are NULL.
 
-    The elements are cut out of the text and each child's text is read by
-    name, so the name of the root element does not matter and a missing or
-    empty child is NULL.
+    The elements are cut out of the text first, so neither the root element
+    nor the depth matters; Spark's XML parser then reads them in one go.
     """
-    blocks = F.regexp_extract_all("payload", F.lit(rf"(?s)<{row_tag}(?:\s[^>]*)?>(.*?)</{row_tag}\s*>"), F.lit(1))
-    rows = payloads.select("exchange", "trade_date", F.posexplode(blocks).alias("pos", "_block"))
-
-    def child(name):
-        found = F.regexp_extract("_block", rf"(?s)<{name}(?:\s[^>]*)?>(.*?)</{name}\s*>", 1)
-        plain = F.regexp_replace(found, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1")
-        return F.nullif(unescape(plain), F.lit(""))
-
-    return rows.select("exchange", "trade_date", "pos", *[child(f).alias(f) for f in fields])
-
-
-def xml_rows_by_schema(payloads: DataFrame, row_tag: str, fields: list) -> DataFrame:
-    """The same rows through Spark's own XML parser (elements below the root)."""
-    record = ",".join(f"{f}:string" for f in fields)
-    parsed = F.from_xml("payload", f"struct<{row_tag}:array<struct<{record}>>>")
-    return payloads.withColumn("_rows", parsed[row_tag]).select(
-        "exchange", "trade_date", F.posexplode("_rows").alias("pos", "r")
-    ).select("exchange", "trade_date", "pos", *[F.col(f"r.{f}").alias(f) for f in fields])
+    record = ",".join(f"`{f}`:string" for f in fields)
+    blocks = F.regexp_extract_all("payload", F.lit(rf"(?s)<{row_tag}[\s>].*?</{row_tag}\s*>"), F.lit(0))
+    flat = F.concat(F.lit("<rows>"), F.array_join(blocks, ""), F.lit("</rows>"))
+    parsed = F.from_xml(flat, f"struct<`{row_tag}`:array<struct<{record}>>>")
+    rows = payloads.select("exchange", "trade_date", F.posexplode_outer(parsed[row_tag]).alias("pos", "r"))
+    return rows.where(F.col("r").isNotNull()).select(
+        "exchange", "trade_date", "pos", *[F.nullif(F.col(f"r.{f}"), F.lit("")).alias(f) for f in fields]
+    )
 
 
 def unescape(x: Column) -> Column:
+    plain = x
     for entity, char in ENTITIES:
-        x = F.replace(x, F.lit(entity), F.lit(char))
-    return x
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    return F.when(F.contains(x, F.lit("&")), plain).otherwise(x)
+
 
+def _cut(x: Column, tag: str) -> Column:
+    """Pieces of a text that each start behind an opening tag's name."""
+    # a length beyond any document, so the split is not evaluated twice for its size
+    return F.slice(F.split(x, rf"(?i)<{tag}(?=[\s>])"), 2, 1 << 30)
 
-def cell_text(x: Column) -> Column:
-    return strip(unescape(F.regexp_replace(x, r"(?s)<[^>]*>", "")))
+
+def _inside(x: Column, tag: str) -> Column:
+    """Content of the first element with this tag; NULL without one."""
+    return F.get(F.split(x, rf"(?i)</?{tag}(?=[\s>])", 3), F.lit(1))
 
 
 def _cells(x: Column, tag: str) -> Column:
-    found = F.regexp_extract_all(x, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)(?=</{tag}|<{tag}[\s>]|</tr|$)"), F.lit(1))
-    return F.transform(found, cell_text)
+    """Cell texts: attributes, inner tags and all behind the closing tag go."""
+    noise = r"(?is)^[^>]*>|</t[dhr][\s>].*$|<[^>]*>"
+    bare = F.transform(_cut(x, tag), lambda cell: F.regexp_replace(cell, noise, ""))
+    return F.transform(bare, lambda cell: strip(unescape(cell)))
 
 
 def html_table_rows(payloads: DataFrame, header: str = "thead", carry=None) -> DataFrame:
@@ -94,24 +98,26 @@ def html_table_rows(payloads: DataFrame, header: str = "thead", carry=None) -> D
 
     ``header='th'`` takes the titles from all ``th`` cells and the rows from
     the whole table; ``header='thead'`` takes the ``td`` cells of the table
-    head, and the rows of its body. ``carry`` maps (row, previous row) of the
-    cell lists to an extra column ``carried``; it runs inside the document,
-    so looking at the previous row needs no window and no shuffle.
+    head, and the rows of its body. ``carry`` maps the previous row's cells
+    to an extra column ``carried``; it runs inside the document, so looking
+    at the previous row needs no window and no shuffle.
     """
-    table = F.regexp_extract("payload", r"(?is)<table(?:\s[^>]*)?>(.*?)</table", 1)
+    # one projection per step, so that no step is computed again by the next
+    parts = payloads.select("exchange", "trade_date", _inside(F.col("payload"), "table").alias("_table"))
     if header == "th":
-        head, body = table, table
+        parts = parts.withColumns({"_head": F.col("_table"), "_body": F.col("_table")})
     else:
-        head = F.regexp_extract(table, r"(?is)<thead(?:\s[^>]*)?>(.*?)</thead", 1)
-        body = F.regexp_extract(table, r"(?is)<tbody(?:\s[^>]*)?>(.*?)(?:</tbody|$)", 1)
-    titles = _cells(head, "th" if header == "th" else "td")
-    lines = F.regexp_extract_all(body, F.lit(r"(?is)<tr(?:\s[^>]*)?>(.*?)(?=</tr|<tr[\s>]|$)"), F.lit(1))
-    cells = F.transform(lines, lambda line: _cells(line, "td"))
-    staged = payloads.select("exchange", "trade_date", titles.alias("titles"), cells.alias("_rows"))
+        parts = parts.withColumns({"_head": _inside(F.col("_table"), "thead"), "_body": _inside(F.col("_table"), "tbody")})
+    staged = parts.select(
+        "exchange", "trade_date",
+        _cells(F.col("_head"), "th" if header == "th" else "td").alias("titles"),
+        F.transform(_cut(F.col("_body"), "tr"), lambda line: _cells(line, "td")).alias("_rows"),
+    )
+    # the outer form keeps the optimizer from adding a filter that parses again
     exploded = staged.select(
         "exchange", "trade_date", "titles",
         *([] if carry is None else ["_rows"]),
-        F.posexplode("_rows").alias("row_pos", "cells"),
+        F.posexplode_outer("_rows").alias("row_pos", "cells"),
     )
     if carry is not None:
         before = F.get(F.col("_rows"), F.col("row_pos") - 1)

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voltide import constants as K, schemas
+from voltide.operators.term import newest_deliveries
 
 
 def read_quotes(spark: SparkSession, path: str, schema=schemas.FUTURES_QUOTES, fmt: str = "csv") -> DataFrame:
@@ -16,16 +17,17 @@ def read_quotes(spark: SparkSession, path: str, schema=schemas.FUTURES_QUOTES, f
 def read_contract_files(spark: SparkSession, folder: str, schema=schemas.FUTURES_QUOTES, max_contracts: int = 12) -> DataFrame:
     """Quotes of the newest dated contract files of a folder.
 
-    The delivery date is the ISO date in the file's path. Which files are the
-    newest is decided on file names alone, before any quote is read.
+    The delivery date is the ISO date in the file's path. The newest dates
+    are found on file names alone (at most ``max_contracts`` of them reach
+    the driver); as a filter on the path they prune whole files from the scan.
     """
-    from voltide.operators.term import contract_files
-
-    # list files, not rows: binaryFile with only the path column reads no content
-    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path")
-    newest = [r.path for r in contract_files(names, "path", max_contracts).collect()]
-    if not newest:
-        return spark.createDataFrame([], schema).withColumn("delivery", F.lit(None).cast("date"))
-    quotes = spark.read.schema(schema).option("header", True).csv(newest)
+    # only the path column of binaryFile is used, so no content is read
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
+        "pathGlobFilter", "*.csv"
+    ).load(folder).select("path")
+    newest = [str(r.delivery) for r in newest_deliveries(names, "path", max_contracts).collect()]
+    quotes = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option(
+        "pathGlobFilter", "*.csv"
+    ).csv(folder)
     found = F.regexp_extract(F.col("_metadata.file_path"), K.ISO_DATE, 1)
-    return quotes.select("*", F.try_to_date(found, "yyyy-MM-dd").alias("delivery"))
+    return quotes.where(found.isin(newest)).select("*", F.try_to_date(found, "yyyy-MM-dd").alias("delivery"))

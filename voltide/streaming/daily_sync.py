@@ -24,14 +24,15 @@ def stream_payloads(spark: SparkSession, landing: str, max_files: int = None) ->
 
 
 def sync_stream(stream: DataFrame, ingest: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
-                keys: list, schema=schemas.FUTURES_QUOTES) -> StreamingQuery:
+                keys: list, schema=schemas.FUTURES_QUOTES, order: list = None,
+                date_col: str = "trade_date") -> StreamingQuery:
     """Run ``ingest`` over every batch of documents and merge the rows by day.
 
     A late or corrected document replaces the rows it names and keeps the
-    others of its day.
+    others of its day. ``date_col`` is the partition column of the table.
     """
     def load(batch: DataFrame, _batch_id: int) -> None:
-        merge_day(batch.sparkSession, ingest(batch), out, schema, keys)
+        merge_day(batch.sparkSession, ingest(batch), out, schema, keys, order, date_col)
 
     return (
         stream.writeStream.foreachBatch(load)
@@ -44,6 +45,8 @@ def sync_stream(stream: DataFrame, ingest: Callable[[DataFrame], DataFrame], out
 def stream_daily_sync(spark: SparkSession, landing: str, out: str, checkpoint: str,
                       ingest: Callable[[DataFrame], DataFrame],
                       keys=("trade_date", "exchange", "group_id", "product_id"),
-                      schema=schemas.FUTURES_QUOTES, max_files: int = None) -> StreamingQuery:
+                      schema=schemas.FUTURES_QUOTES, order: list = None, date_col: str = "trade_date",
+                      max_files: int = None) -> StreamingQuery:
     """Load everything that landed since the last run, then stop."""
-    return sync_stream(stream_payloads(spark, landing, max_files), ingest, out, checkpoint, list(keys), schema)
+    stream = stream_payloads(spark, landing, max_files)
+    return sync_stream(stream, ingest, out, checkpoint, list(keys), schema, order, date_col)
