@@ -110,7 +110,8 @@ def html_table_rows(payloads: DataFrame, header: str = "thead", carry=None) -> D
         parts = parts.withColumns({"_head": _inside(F.col("_table"), "thead"), "_body": _inside(F.col("_table"), "tbody")})
     staged = parts.select(
         "exchange", "trade_date",
-        _cells(F.col("_head"), "th" if header == "th" else "td").alias("titles"),
+        # never NULL, or the optimizer adds a NULL check that parses the head again
+        F.coalesce(_cells(F.col("_head"), "th" if header == "th" else "td"), F.array()).alias("titles"),
         F.transform(_cut(F.col("_body"), "tr"), lambda line: _cells(line, "td")).alias("_rows"),
     )
     # the outer form keeps the optimizer from adding a filter that parses again
