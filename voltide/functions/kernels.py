@@ -134,12 +134,15 @@ def european_vol(model, method, price, s, k, r, t, cp, law):
 
     ``chord`` divides by one fixed slope per row (the vega at d1 = 1) from a
     start of 1 %, and so may stop short of the root far from the money.
-    ``newton`` divides by the vega at the current point and starts from the
-    Manaster-Koehler seed.
+    ``newton`` divides by the vega at the current point, starts from the
+    Manaster-Koehler seed and takes the model's own lower price bound.
     """
     out = np.where(np.isnan(price + s + k + r + t + cp), np.nan, 0.0)
     disc = np.exp(-r * t)
-    floor = np.where(cp > 0, (s - k) * disc, k * disc - s)
+    if method == "chord":
+        floor = np.where(cp > 0, (s - k) * disc, k * disc - s)
+    else:
+        floor = cp * (s - k) * disc if model == "b76" else cp * (s - k * disc)
     rows = np.flatnonzero((price > 0) & (price > floor) & (t > 0))
     carry = disc if model == "b76" else np.ones_like(disc)
     if method == "chord":

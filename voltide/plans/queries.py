@@ -40,8 +40,7 @@ def day(name: str) -> Column:
 
 def rnd(name, scale: int = 6, alias: str = None) -> Column:
     col = F.col(name) if isinstance(name, str) else name
-    rounded = numeric.strict_zero(F.round(col, scale))
-    return rounded.alias(alias or name)
+    return numeric.strict_zero(numeric.half_even(col, scale)).alias(alias or name)
 
 
 def _keys():
@@ -227,7 +226,7 @@ def _messy(spark, folder):
         F.lit("").alias("open"),
         F.col("high").cast("string").alias("high"),
         F.col("low").cast("string").alias("low"),
-        F.format_number("close", 2).alias("close"),
+        F.format_number(numeric.half_even(F.col("close"), 2), 2).alias("close"),
         F.lit("n/a").alias("settle"),
         F.when(F.col("open_interest") == 13, F.lit(None).cast("string"))
         .when(F.col("open_interest") == 17, F.lit("0"))

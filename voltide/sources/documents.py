@@ -61,7 +61,7 @@ def xml_rows(payloads: DataFrame, row_tag: str, fields: list) -> DataFrame:
     record = ",".join(f"`{f}`:string" for f in fields)
     blocks = F.regexp_extract_all("payload", F.lit(rf"(?s)<{row_tag}[\s>].*?</{row_tag}\s*>"), F.lit(0))
     flat = F.concat(F.lit("<rows>"), F.array_join(blocks, ""), F.lit("</rows>"))
-    parsed = F.from_xml(flat, f"struct<`{row_tag}`:array<struct<{record}>>>")
+    parsed = F.from_xml(flat, f"struct<`{row_tag}`:array<struct<{record}>>>", {"ignoreSurroundingSpaces": "false"})
     rows = payloads.select("exchange", "trade_date", F.posexplode_outer(parsed[row_tag]).alias("pos", "r"))
     return rows.where(F.col("r").isNotNull()).select(
         "exchange", "trade_date", "pos", *[F.nullif(F.col(f"r.{f}"), F.lit("")).alias(f) for f in fields]
