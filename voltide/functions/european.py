@@ -52,14 +52,17 @@ def intrinsic(s: Column, k: Column, cp: Column) -> Column:
 _TINY = 1e-6
 
 
-def choose(v: Column, value: Column, flat: Column) -> Column:
-    """``value`` for a positive volatility, else ``flat``.
+def choose(live: Column, value: Column, flat: Column = None) -> Column:
+    """``value`` where ``live`` is 1, ``flat`` (or zero) where it is 0.
 
     Arithmetic instead of CASE, so Spark still finds the subexpressions that
     the five measures share and computes each once.
     """
-    live = (v > 0).cast("double")
-    return value * live + flat * (F.lit(1.0) - live)
+    return value * live if flat is None else value * live + flat * (F.lit(1.0) - live)
+
+
+def is_live(v: Column) -> Column:
+    return (v > 0).cast("double")
 
 
 def safe_vol(v: Column) -> Column:
@@ -75,19 +78,19 @@ def _pieces(model, s, k, r, t, v, cp):
 
 def _price(model, s, k, r, t, v, cp):
     _, disc, cdf1, cdf2, _ = _pieces(model, s, k, r, t, v, cp)
-    return choose(v, price_terms(model, s, k, disc, cp, cdf1, cdf2), intrinsic(s, k, cp))
+    return choose(is_live(v), price_terms(model, s, k, disc, cp, cdf1, cdf2), intrinsic(s, k, cp))
 
 
-def measures(terms: dict, s, k, v, cp) -> dict:
+def measures(terms: dict, s, k, live, cp) -> dict:
     """The five measures with their values at zero volatility."""
     flat = {"price": intrinsic(s, k, cp)}
-    return {name: choose(v, col, flat.get(name, F.lit(0.0))) for name, col in terms.items()}
+    return {name: choose(live, col, flat.get(name)) for name, col in terms.items()}
 
 
 def _greeks(model, s, k, r, t, v, cp, annual_days):
     w, disc, cdf1, cdf2, pdf1 = _pieces(model, s, k, r, t, v, cp)
     terms = greek_terms(model, s, k, r, t, w, cp, disc, cdf1, cdf2, pdf1, annual_days)
-    return F.struct(*[col.alias(name) for name, col in measures(terms, s, k, v, cp).items()])
+    return F.struct(*[col.alias(name) for name, col in measures(terms, s, k, is_live(v), cp).items()])
 
 
 def b76_price(s, k, r, t, v, cp) -> Column:

@@ -19,20 +19,20 @@ def half_even(x: Column, scale: int) -> Column:
 
 
 def nan_to_null(x: Column) -> Column:
-    return F.nullif(x, F.lit(float("nan")))
+    return F.nanvl(x, F.lit(None).cast("double"))
 
 
 def to_numeric(x: Column, kind: str = "double") -> Column:
     """Cast text to a number; a lone dash or nothing is 0, thousands commas go.
 
-    Text that is no number becomes NULL.
+    Text that is no number becomes NULL. The dash is replaced before the cast,
+    because a failing cast costs far more than the test.
     """
     plain = F.replace(F.trim(x.cast("string")), F.lit(","), F.lit(""))
-    as_double = nan_to_null(plain.try_cast("double"))
+    filled = F.when(plain.isin("-", ""), F.lit("0")).otherwise(plain)
     if kind == "double":
-        return F.when(plain.isin("-", ""), F.lit(0.0)).otherwise(as_double)
-    whole = F.coalesce(plain.try_cast("bigint"), plain.try_cast("double").try_cast("bigint"))
-    return F.when(plain.isin("-", ""), F.lit(0)).otherwise(whole).cast("bigint")
+        return nan_to_null(filled.try_cast("double"))
+    return filled.try_cast("decimal(38,6)").try_cast("bigint")
 
 
 def strict_zero(x: Column) -> Column:

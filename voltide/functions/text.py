@@ -32,22 +32,33 @@ def fill_year(year: Column, month: Column, as_of: Column, delta_days: int = K.YE
     horizon = F.year(F.date_add(as_of, delta_days))
     span = F.when(F.length(year) == 2, F.lit(100)).otherwise(F.lit(10))
     digits = year.try_cast("int")
-    guess = horizon - F.pmod(horizon, span) + digits
-    resolved = F.when(guess >= horizon, guess - span).otherwise(guess)
-    return F.try_to_date(
-        F.concat(F.lpad(resolved.cast("string"), 4, "0"), F.lit("-"), F.lpad(month, 2, "0"), F.lit("-01")),
-        "yyyy-MM-dd",
-    )
+    # the largest year before the horizon that ends in the given digits
+    resolved = horizon - 1 - F.pmod(horizon - 1 - digits, span)
+    number = month.try_cast("int")
+    return F.when(number.between(1, 12), F.make_date(resolved, number, F.lit(1)))
+
+
+# separates the parts of a matched name; it cannot occur in one
+_MARK = "\x01"
 
 
 def parse_contract(x: Column, as_of: Column) -> Column:
-    """Struct (product, month, otype, strike) of a whole contract name."""
-    pattern = K.CONTRACT_NAME
+    """Struct (product, month, otype, strike) of a whole contract name.
+
+    One match per name: the groups are written out with a separator and split.
+    A name that does not match stays whole, and all its parts are NULL.
+    """
+    marked = F.regexp_replace(x, K.CONTRACT_NAME, _MARK.join(f"${n}" for n in (1, 2, 3, 4, 5)))
+    parts = F.split(marked, _MARK)
+
+    def part(n):
+        return F.get(parts, F.lit(n))
+
     return F.struct(
-        _group(x, pattern, 1).alias("product"),
-        fill_year(_group(x, pattern, 2), _group(x, pattern, 3), as_of).alias("month"),
-        F.regexp_replace(_group(x, pattern, 4), "-", "").alias("otype"),
-        _group(x, pattern, 5).try_cast("double").alias("strike"),
+        F.when(part(4).isNotNull(), part(0)).alias("product"),
+        fill_year(part(1), part(2), as_of).alias("month"),
+        F.replace(part(3), F.lit("-"), F.lit("")).alias("otype"),
+        part(4).try_cast("double").alias("strike"),
     )
 
 

@@ -28,7 +28,9 @@ def price_options(df: DataFrame, model: str = "crr", greeks: bool = False, args=
     if model not in european.MODELS:
         raise ValueError(f"unknown model {model!r}")
     w = european.safe_vol(v)
-    one = df.withColumns({"_w": w, "_d1": european.d1_of(model, s, k, r, t, w), "_disc": F.exp(-r * t)})
+    one = df.withColumns({
+        "_w": w, "_live": european.is_live(v), "_disc": F.exp(-r * t), "_d1": european.d1_of(model, s, k, r, t, w),
+    })
     two = one.withColumns({"_z1": cp * F.col("_d1"), "_z2": cp * (F.col("_d1") - F.col("_w") * F.sqrt(t))})
     three = two.withColumns({"_n1": norm_cdf(F.col("_z1")), "_n2": norm_cdf(F.col("_z2"))})
     disc, n1, n2 = F.col("_disc"), F.col("_n1"), F.col("_n2")
@@ -38,6 +40,6 @@ def price_options(df: DataFrame, model: str = "crr", greeks: bool = False, args=
         )
     else:
         terms = {"price": european.price_terms(model, s, k, disc, cp, n1, n2)}
-    chosen = european.measures(terms, s, k, v, cp)
+    chosen = european.measures(terms, s, k, F.col("_live"), cp)
     kept = [c for c in df.columns if c not in chosen]
     return three.select(*kept, *[col.alias(name) for name, col in chosen.items()])

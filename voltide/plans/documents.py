@@ -49,7 +49,7 @@ def _comma(col: Column) -> Column:
 
 def _quotes(spark: SparkSession, folder: str) -> DataFrame:
     """Line items with the numbers a document prints."""
-    base = views.lines(spark, folder)
+    base = views.lines(spark, folder, heavy=True)
     month = F.add_months(F.trunc("trade_date", "month"), F.col("l_linenumber") + 2)
     price = F.col("l_extendedprice")
     return base.select(

@@ -69,10 +69,11 @@ VIEWS = {
                group_id, otype, strike, p_retailprice AS u_price,
                greatest(0.0::DOUBLE, cp * (p_retailprice - strike)) + p_retailprice * (0.01::DOUBLE + l_discount) AS close,
                CAST(l_quantity * l_linenumber AS BIGINT) AS volume, CAST(l_quantity AS BIGINT) AS open_interest,
-               l_discount * 4 AS iv, CAST(l_quantity AS INTEGER) * 7 + 1 AS rdays, cp, code, stamp, add_month, dash
+               l_discount * 4 AS iv, CAST(l_quantity AS INTEGER) * 7 + 1 AS rdays, cp, code, stamp, add_month, dash,
+               CAST(l_partkey AS VARCHAR) AS part
         FROM oq0""",
     "pin": """
-        SELECT trade_date, group_id, product_id, open_interest, u_price AS s, strike AS k, 0.12::DOUBLE AS r,
+        SELECT trade_date, group_id, part AS product_id, open_interest, u_price AS s, strike AS k, 0.12::DOUBLE AS r,
                rdays / 365.0::DOUBLE AS t, 0.1::DOUBLE + iv AS v, cp, close AS price
         FROM oq""",
     "idx": f"""

@@ -28,6 +28,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table out to all cores when its files give too few splits.
+
+    A table with at least as many splits as the cluster has cores (any large
+    one) is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _by_type(position: int):
     out = F.lit(None).cast("string")
     for kind, values in PRODUCTS.items():
@@ -40,10 +50,14 @@ def code_of():
     return _by_type(1)
 
 
-def lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items with the type and price of their part."""
+def lines(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
+    """Line items with the type and price of their part.
+
+    ``heavy`` marks work per row that pays for spreading a small file.
+    """
     part = table(spark, folder, "part").select("p_partkey", F.col("p_type").alias("group_id"), "p_retailprice")
     items = table(spark, folder, "lineitem")
+    items = spread(items) if heavy else items
     return (
         items.join(part, items.l_partkey == part.p_partkey)
         .withColumn("trade_date", F.col("l_shipdate").cast("date"))
@@ -51,9 +65,9 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def futures_quotes(spark: SparkSession, folder: str) -> DataFrame:
+def futures_quotes(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
     close = F.col("l_extendedprice") / F.col("l_quantity")
-    return lines(spark, folder).select(
+    return lines(spark, folder, heavy).select(
         "trade_date",
         "exchange",
         F.col("l_partkey").cast("string").alias("product_id"),
@@ -86,9 +100,9 @@ def contract_quotes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def option_quotes(spark: SparkSession, folder: str) -> DataFrame:
+def option_quotes(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
     """Option quotes with contract names, and a given volatility and days."""
-    base = lines(spark, folder)
+    base = lines(spark, folder, heavy)
     u_price = F.col("p_retailprice")
     strike = F.rint(u_price * (F.lit(0.80) + F.lit(0.05) * F.col("l_linenumber")))
     cp = F.when(F.col("l_linestatus") == "O", F.lit(1.0)).otherwise(F.lit(-1.0))
@@ -115,14 +129,15 @@ def option_quotes(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_quantity").cast("bigint").alias("open_interest"),
         (F.col("l_discount") * 4).alias("iv"),
         (F.col("l_quantity").cast("int") * 7 + 1).alias("rdays"),
+        F.col("l_partkey").cast("string").alias("part"),
     )
 
 
 def pricing_inputs(spark: SparkSession, folder: str) -> DataFrame:
     """Arguments of the pricing models for every line item."""
-    quotes = option_quotes(spark, folder)
+    quotes = option_quotes(spark, folder, heavy=True)
     return quotes.select(
-        "trade_date", "group_id", "product_id", "open_interest",
+        "trade_date", "group_id", F.col("part").alias("product_id"), "open_interest",
         F.col("u_price").alias("s"),
         F.col("strike").alias("k"),
         F.lit(0.12).alias("r"),
