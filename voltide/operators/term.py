@@ -72,8 +72,13 @@ def term_structure(quotes: DataFrame, deliveries: DataFrame, max_contracts: int
     """Long-form term structure (keys, trade_date, pos, price)."""
     ladder = deliveries.select(*keys, "delivery").distinct()
     chosen = newest_contracts(ladder, max_contracts, keys)
-    priced = quotes.withColumn("price", settle_or_close()).select(*keys, "trade_date", "delivery", "price")
-    kept = priced.join(chosen, [*keys, "delivery"], "left_semi")
+    # the position depends on day and delivery only, so the quotes are added up
+    # first and the joins see one row per day and contract
+    daily = (
+        quotes.withColumn("price", settle_or_close())
+        .groupBy(*keys, "trade_date", "delivery").agg(F.sum("price").alias("price"))
+    )
+    kept = daily.join(chosen, [*keys, "delivery"], "left_semi")
     return combine_contracts(term_positions(kept, ladder, keys), keys)
 
 

@@ -555,6 +555,15 @@ ORACLE["quote_iv"] = american_iv(_DATED, _SOLVE, f"""
     SELECT strftime(n.trade_date, '%Y-%m-%d') AS trade_date, exchange, group_id, product_id, volume, coalesce(f.iv, 0.0) AS iv,
            CAST(left_days AS INTEGER) AS rdays, {_STATUS} AS iv_status
     FROM numbered n LEFT JOIN (SELECT id, iv FROM steps WHERE iv IS NOT NULL) f USING (id)""")
+# index options by the European chord iteration, all others on the tree
+_tree_sql = american_iv(_DATED, _SOLVE, "")
+_euro = european_iv("b76", "chord").strip().replace("steps", "euro").replace(
+    "FROM numbered WHERE", "FROM numbered WHERE code = 'IO' AND price > cp * (s - k) AND")
+ORACLE["quote_iv_by_exercise_style"] = _tree_sql.replace(
+    "FROM numbered\n        WHERE price > 0", "FROM numbered\n        WHERE code <> 'IO' AND price > 0") + f""", {_euro}
+    SELECT strftime(n.trade_date, '%Y-%m-%d') AS trade_date, exchange, group_id, product_id, volume, coalesce(f.iv, 0.0) AS iv,
+           CAST(left_days AS INTEGER) AS rdays, {_STATUS} AS iv_status
+    FROM numbered n LEFT JOIN (SELECT id, iv FROM steps WHERE iv IS NOT NULL UNION ALL SELECT id, iv FROM euro WHERE iv IS NOT NULL) f USING (id)"""
 ORACLE["recompute_history"] = american_iv(_DATED, _SOLVE, f"""
     SELECT strftime(td, '%Y-%m-%d') AS trade_date, exchange, group_id,
            {half_even("sum(CASE WHEN iv > 0.01 THEN iv * w END) / nullif(sum(CASE WHEN iv > 0.01 THEN w END), 0)", 3)} AS iv
