@@ -12,15 +12,6 @@ def settle_or_close():
     return F.when(F.coalesce(F.col("settle"), F.lit(0.0)) != 0, F.col("settle")).otherwise(F.col("close"))
 
 
-def newest_contracts(deliveries: DataFrame, max_contracts: int = 12, keys=LADDER) -> DataFrame:
-    """The newest contracts of each product, by delivery date."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("delivery").desc()))
-    return (
-        deliveries.select(*keys, "delivery").distinct()
-        .withColumn("_rank", rank).where(F.col("_rank") <= max_contracts).drop("_rank")
-    )
-
-
 def newest_deliveries(paths: DataFrame, path_col: str = "path", max_contracts: int = 12) -> DataFrame:
     """The newest delivery dates among file paths that contain an ISO date."""
     found = F.nullif(F.regexp_extract(path_col, K.ISO_DATE, 1), F.lit(""))
@@ -28,39 +19,13 @@ def newest_deliveries(paths: DataFrame, path_col: str = "path", max_contracts: i
     return dates.distinct().orderBy(F.col("delivery").desc()).limit(max_contracts)
 
 
-def delivery_ranks(deliveries: DataFrame, keys=LADDER) -> DataFrame:
-    """For every day of a product: how many deliveries lie before it.
-
-    The day table runs from the first to the last delivery of each product. It
-    turns the range condition "deliveries from a day up to the contract's own"
-    into two equi-joins on days.
-    """
-    ladder = deliveries.select(*keys, "delivery").distinct()
-    days = ladder.groupBy(*keys).agg(F.min("delivery").alias("a"), F.max("delivery").alias("b")).select(
-        *keys, F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("day")
-    )
-    marked = days.join(
-        ladder.select(*keys, F.col("delivery").alias("day"), F.lit(1).alias("_hit")), [*keys, "day"], "left"
-    )
-    before = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    return marked.select(*keys, "day", F.coalesce(F.sum("_hit").over(before), F.lit(0)).cast("int").alias("n_before"))
-
-
-def term_positions(quotes: DataFrame, deliveries: DataFrame, keys=LADDER) -> DataFrame:
-    """Quotes with their position: deliveries d with day <= d < own delivery.
+def delivery_ladder(deliveries: DataFrame, keys=LADDER) -> DataFrame:
+    """One row per product with its delivery dates in order.
 
-    A day before the first delivery has none before it; a day after the
-    contract's delivery has no position and is dropped.
+    The list holds distinct dates, so the calendar bounds it however many
+    quotes there are; map tasks reduce the quotes to distinct dates first.
     """
-    ranks = delivery_ranks(deliveries, keys)
-    own = ranks.select(*keys, F.col("day").alias("delivery"), F.col("n_before").alias("_own"))
-    at = ranks.select(*keys, F.col("day").alias("trade_date"), F.col("n_before").alias("_at"))
-    placed = (
-        quotes.where(F.col("trade_date") <= F.col("delivery"))
-        .join(own, [*keys, "delivery"], "inner")
-        .join(at, [*keys, "trade_date"], "left")
-    )
-    return placed.withColumn("pos", (F.col("_own") - F.coalesce("_at", F.lit(0))).cast("int")).drop("_own", "_at")
+    return deliveries.groupBy(*keys).agg(F.array_sort(F.collect_set("delivery")).alias("_ladder"))
 
 
 def combine_contracts(placed: DataFrame, keys=LADDER) -> DataFrame:
@@ -68,18 +33,31 @@ def combine_contracts(placed: DataFrame, keys=LADDER) -> DataFrame:
     return placed.groupBy(*keys, "trade_date", "pos").agg(F.sum("price").alias("price"))
 
 
-def term_structure(quotes: DataFrame, deliveries: DataFrame, max_contracts: int = 12, keys=LADDER) -> DataFrame:
-    """Long-form term structure (keys, trade_date, pos, price)."""
-    ladder = deliveries.select(*keys, "delivery").distinct()
-    chosen = newest_contracts(ladder, max_contracts, keys)
-    # the position depends on day and delivery only, so the quotes are added up
-    # first and the joins see one row per day and contract
+def term_structure(quotes: DataFrame, deliveries: DataFrame = None, max_contracts: int = 12, keys=LADDER) -> DataFrame:
+    """Long-form term structure (keys, trade_date, pos, price).
+
+    A contract's position on a day is the number of delivery dates d of its
+    product with day <= d < its own delivery. Only the newest
+    ``max_contracts`` contracts of a product contribute. ``deliveries`` names
+    the dates; by default they are those of the quotes, which are then read
+    once.
+
+    The position depends on day and delivery only, so the quotes are added up
+    first, and the join sees one row per day and contract.
+    """
     daily = (
-        quotes.withColumn("price", settle_or_close())
+        quotes.where(F.col("trade_date") <= F.col("delivery"))
+        .withColumn("price", settle_or_close())
         .groupBy(*keys, "trade_date", "delivery").agg(F.sum("price").alias("price"))
     )
-    kept = daily.join(chosen, [*keys, "delivery"], "left_semi")
-    return combine_contracts(term_positions(kept, ladder, keys), keys)
+    ladder = delivery_ladder(daily if deliveries is None else deliveries, keys)
+    on_ladder = daily.join(ladder, list(keys), "inner")
+    between = F.filter(
+        F.col("_ladder"), lambda d: (d >= F.col("trade_date")) & (d < F.col("delivery"))
+    )
+    newer = F.filter(F.col("_ladder"), lambda d: d > F.col("delivery"))
+    placed = on_ladder.where(F.size(newer) < max_contracts).withColumn("pos", F.size(between))
+    return combine_contracts(placed, keys)
 
 
 def term_matrix(term: DataFrame, positions: list, keys=LADDER) -> DataFrame:

@@ -193,20 +193,20 @@ def tail5(spark, folder):
 @query
 def term_structure(spark, folder):
     quotes = views.contract_quotes(spark, folder)
-    return term.term_structure(quotes, quotes).select(*_keys(), "pos", rnd("price", 4))
+    return term.term_structure(quotes).select(*_keys(), "pos", rnd("price", 4))
 
 
 @query
 def term_pct_change(spark, folder):
     quotes = views.contract_quotes(spark, folder)
-    out = term.term_pct_change(term.term_structure(quotes, quotes))
+    out = term.term_pct_change(term.term_structure(quotes))
     return out.select(*_keys(), "pos", rnd("pct"))
 
 
 @query
 def term_matrix(spark, folder):
     quotes = views.contract_quotes(spark, folder)
-    out = term.term_matrix(term.term_structure(quotes, quotes), list(range(8)))
+    out = term.term_matrix(term.term_structure(quotes), list(range(8)))
     return out.select(*_keys(), *[rnd(str(i), 4, f"p{i}") for i in range(8)])
 
 
