@@ -2,7 +2,7 @@
 
 The American value needs a whole tree per row. As a fold of higher-order
 functions the tree is interpreted node by node; the same tree over Arrow
-batches in NumPy measured about thirty times faster, so that is the default.
+batches in NumPy measured about fifteen times faster, so that is the default.
 ``crr_price_native`` keeps the all-JVM form for sessions without Python
 workers and as a cross-check in the tests.
 """

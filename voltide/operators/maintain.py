@@ -1,5 +1,6 @@
 """Writing and maintaining the stored tables."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voltide.operators.tables import pick_by
@@ -40,21 +41,25 @@ def merge_day(spark: SparkSession, new: DataFrame, path: str, schema, keys: list
     """
     new = new.persist()
     try:
-        merged = new
-        if _has_data(spark, path):
-            days = new.select(date_col).distinct()
-            old = spark.read.schema(schema).parquet(path).join(days, date_col, "left_semi")
-            merged = merge_keep_last(old.select(*new.columns), new, keys, order)
+        old = _stored(spark, path, schema)
+        if old is None:
+            old = new.where(F.lit(False))
         else:
-            merged = merge_keep_last(new.limit(0), new, keys, order)
+            old = old.join(new.select(date_col).distinct(), date_col, "left_semi")
+        merged = merge_keep_last(old.select(*new.columns), new, keys, order)
         append_day(merged, path, date_col)
     finally:
         new.unpersist()
 
 
-def _has_data(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
+def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The stored table, or None before the first batch."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def drop_last_date(df: DataFrame, date_col: str = "trade_date") -> DataFrame:
