@@ -34,3 +34,23 @@ def test_against_sql(spark, name):
         return sorted(repr([r[i] for i in at]) for r in rows)
 
     assert norm(df.collect(), df.columns) == norm(cur.fetchall(), names)
+
+
+def test_executors_need_no_package(tmp_path):
+    """The vectorized functions run when the workers cannot import voltide."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "import __spark_entry__ as e\n"
+        f"print('rows', e.queries()['american_iv'](spark, {FOLDER!r}).count())\n"
+        f"print('sum', e.queries()['american_iv'](spark, {FOLDER!r}).agg({{'iv': 'sum'}}).first()[0] > 0)\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "sum True" in out.stdout, out.stderr[-2000:]

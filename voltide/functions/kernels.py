@@ -1,19 +1,13 @@
 """NumPy kernels that run inside Arrow batches.
 
 Each kernel prices a whole batch at once; the tree keeps one array per price
-level with the rows of the batch along the last axis. The module is pickled by
-value, so executors need NumPy and pandas but not this package.
+level with the rows of the batch along the last axis.
 """
 
-import sys
-
 import numpy as np
-from pyspark import cloudpickle
 
 from voltide import constants as K
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 STEPS = K.TREE_STEPS
 SOLVER_STEPS = K.SOLVER_STEPS
 SOLVER_TOL = K.SOLVER_TOL
