@@ -1,6 +1,5 @@
 """Session settings the jobs rely on, and the shared scratch folder."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -25,14 +24,12 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
+    """A new folder below the folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names that folder. Only a local session without
-    the setting falls back to a temporary folder of its own machine.
+    ``spark.checkpoint.dir`` names it; a session without that setting uses its
+    warehouse folder, which a cluster shares as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="voltide-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
