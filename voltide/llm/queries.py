@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voltide.llm import chat, packing
+from voltide.llm import chat, neighbours, packing
 from voltide.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -54,3 +54,8 @@ SELECT conv_id, count(*) AS n_turns,
     AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+
+@query
+def op2_vantage_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
