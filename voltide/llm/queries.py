@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voltide.llm import chat, neighbours, packing
+from voltide.llm import chat, neighbours, packing, suffix_array, suffix_tree
 from voltide.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -59,3 +59,15 @@ FROM c GROUP BY conv_id
 @query
 def op2_vantage_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_array.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep="none", with_text=False)
+    return done.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op10_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_tree.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep="none", with_text=False)
+    return done.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
