@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voltide.llm import chat, neighbours, packing, suffix_array, suffix_tree
+from voltide.llm import chat, neighbours, packing, quality_rules, suffix_array, suffix_tree
 from voltide.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -71,3 +71,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_tree.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep="none", with_text=False)
     return done.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
+
+
+@query
+def op5_robust_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    judged = quality_rules.judge(docs)
+    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "distance2")
