@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voltide.llm import chat, neighbours, packing, quality_rules, suffix_array, suffix_tree
+from voltide.llm import chat, minhash, neighbours, packing, quality_rules, suffix_array, suffix_tree
 from voltide.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -78,3 +78,9 @@ def op5_robust_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     judged = quality_rules.judge(docs)
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "distance2")
+
+
+@query
+def op6_weighted_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "is_first")
