@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voltide.session import shared_folder
 
@@ -23,6 +23,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def packed(docs: DataFrame, *but: str):
+    """All columns of ``docs`` except some as one struct ``row``, so that no name can clash with a helper column."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in but]).alias("row")
+
+
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """All texts of an Arrow column as one byte array and row offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

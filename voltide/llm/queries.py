@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voltide.llm import chat, minhash, neighbours, packing, quality_rules, suffix_array, suffix_tree
+from voltide.llm import chat, language, minhash, neighbours, packing, quality_rules, suffix_array, suffix_tree
 from voltide.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -84,3 +84,13 @@ def op5_robust_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_weighted_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "class_id", "is_first")
+
+
+@query
+def op3_marginal_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    pieces = language.piece_table(tokenizer_file("piece_bpe_32k.model"))
+    model = language.train(docs.where(~held_out), pieces)
+    found = language.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model, pieces)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
