@@ -22,7 +22,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voltide.llm.common import materialize
+from voltide.llm.common import materialize, packed
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -176,14 +176,14 @@ def outlier_distances(
 def judge(
     docs: DataFrame, text_column: str = "text", groups: tuple[str, ...] = ("lang", "source"), tail: float = 1e-9, min_rows: int = 50, steps: int = 4,
 ) -> DataFrame:
-    """``docs`` with the counts, base_failed, distance2 and kept."""
-    clash = [c for c in docs.columns if c in (*COUNTS, "n_upper", "base_failed", "distance2", "kept")]
-    counted = text_counts(docs.drop(*[c for c in clash if c != text_column]), text_column)
-    carried = [c for c in counted.columns if c != text_column]
-    counted = materialize(counted.select(*carried), "counts") if carried else counted
+    """The columns of ``docs`` but the text, with the counts, base_failed, distance2 and kept."""
+    results = (*COUNTS, "n_upper", "base_failed", "distance2", "kept")
+    group = F.to_json(F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(groups)]))
+    rows = docs.select(packed(docs, text_column, *results), group.alias("group"), F.col(text_column).alias("text"))
+    counted = materialize(text_counts(rows).drop("text"), "counts")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     counted = counted.withColumn("base_failed", failed)
-    group = F.to_json(F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(groups)]))
-    out = outlier_distances(counted, group, vector(), ~F.col("base_failed"), min_rows=min_rows, steps=steps)
+    out = outlier_distances(counted, F.col("group"), vector(), ~F.col("base_failed"), min_rows=min_rows, steps=steps)
     cut = chi2_quantile(1.0 - tail, len(vector()))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("distance2") <= cut))
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("distance2") <= cut))
+    return out.select("row.*", *results)
