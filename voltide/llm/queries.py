@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voltide.llm import chat, language, minhash, neighbours, packing, quality_rules, suffix_array, suffix_tree
+from voltide.llm import chat, cotraining, language, minhash, neighbours, packing, quality_rules, suffix_array, suffix_tree
 from voltide.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -94,3 +94,10 @@ def op3_marginal_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.train(docs.where(~held_out), pieces)
     found = language.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model, pieces)
     return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op7_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    model = cotraining.train(docs, table(spark, sf_dir, "labels"))
+    return cotraining.classify(docs, model).select("doc_id", "score", "score_text", "score_meta", "kept")
