@@ -1,14 +1,68 @@
-"""Corpus pipeline: the training-data operators one after the other, over whole documents."""
+"""Corpus pipeline: the training-data operators one after the other, over whole documents.
 
-from pyspark.sql import DataFrame, SparkSession
+Every stage works on what the one before it kept. All but the last return the
+columns of documents; the last returns the places of token pieces in sequences.
+"""
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from voltide.llm import cotraining, language, minhash, packing, suffix_array
 from voltide.llm.common import materialize, table
+from voltide.llm.queries import tokenizer_file
+
+# a language other than the stated one is believed from this posterior upwards
+SURE = 0.99
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier takes for good."""
+    model = cotraining.train(docs, table(spark, sf_dir, "labels"))
+    return cotraining.classify(docs, model).where("kept").select(*docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language, and not surely in another one than they state."""
+    pieces = language.piece_table(tokenizer_file("piece_bpe_32k.model"))
+    found = language.predict(docs, language.train(docs, pieces), pieces)
+    other = (F.col("lang_pred") != F.col("lang")) & (F.col("score") >= SURE)
+    return found.where((F.col("lang_pred") != "und") & ~F.coalesce(other, F.lit(False))).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each class of near copies."""
+    return minhash.near_duplicates(docs).where("is_first").dropDuplicates(["class_text"]).select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that an earlier document, or an earlier place, holds.
+
+    Characters of which a part was removed go as a whole, as do replacement characters in such texts.
+    """
+    done = suffix_array.remove_repeats(docs, keep="first")
+    kept = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
+    cut = F.col("n_removed") > 0
+    done = done.withColumn("text", F.when(cut, kept).otherwise(F.col("text")))
+    return done.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces packed into sequences."""
+    return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"))
+
 
-STAGES = []
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
+# the stages learn, sample hashes and tokenize: no SQL
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what passes between them is stored below the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
