@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voltide.llm import chat, cotraining, language, minhash, neighbours, packing, quality_rules, suffix_array, suffix_tree
+from voltide.llm import chat, cotraining, language, minhash, neighbours, packing, quality_rules, sentencepiece_lattice, suffix_array, suffix_tree
 from voltide.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -101,3 +101,12 @@ def op7_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     model = cotraining.train(docs, table(spark, sf_dir, "labels"))
     return cotraining.classify(docs, model).select("doc_id", "score", "score_text", "score_meta", "kept")
+
+
+@query
+def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_file("piece_bpe_32k.model")
+    ids = sentencepiece_lattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    done = sentencepiece_lattice.decode(ids, model)
+    same = F.col("decoded").cast("string") == F.coalesce(F.col("text"), F.lit(""))
+    return done.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", same.alias("round_trip"))
