@@ -127,6 +127,8 @@ DISPLAY_NAMES = {
 
 # --- fixed values: futures group whose options use another group id ---------------
 OPTION_GROUPS = {"csidx300": "IO"}
+# the exchange of the options this map leads to
+INDEX_OPTION_EXCHANGE = "CFFE"
 
 # --- fixed values: groups with European exercise (routing by exercise style) -------
 EUROPEAN_GROUPS = ["csidx300", "au_f"]

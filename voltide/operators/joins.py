@@ -43,12 +43,25 @@ def option_group_id(group: Column, exchange: Column = None) -> Column:
     return F.coalesce(mapped, plain)
 
 
+def option_exchange(group: Column, exchange: Column) -> Column:
+    """Exchange of a product's options: that of the product, unless the fixed map leads elsewhere."""
+    return F.when(group.isin(list(K.OPTION_GROUPS)), F.lit(K.INDEX_OPTION_EXCHANGE)).otherwise(exchange)
+
+
 def join_options(series: DataFrame, siv: DataFrame, keys=("trade_date",)) -> DataFrame:
-    """Left join the synthetic volatility of the mapped option group."""
+    """Left join the synthetic volatility of the mapped option group.
+
+    Where both sides name their exchange it is part of the key: one group id
+    on two exchanges is two products.
+    """
     exchange = F.col("exchange") if "exchange" in series.columns else None
-    right = siv.select(*keys, F.col("group_id").alias("opt_group_id"), "iv")
+    right = siv.select(*keys, F.col("group_id").alias("opt_group_id"), "iv", *[
+        F.col("exchange").alias("opt_exchange") for c in siv.columns if c == "exchange" and exchange is not None])
+    on = [*keys, *[c for c in right.columns if c.startswith("opt_")]]
     left = series.withColumn("opt_group_id", option_group_id(F.col("group_id"), exchange))
-    return left.join(right, [*keys, "opt_group_id"], "left").drop("opt_group_id")
+    if "opt_exchange" in on:
+        left = left.withColumn("opt_exchange", option_exchange(F.col("group_id"), exchange))
+    return left.join(right, on, "left").drop("opt_group_id", "opt_exchange")
 
 
 def code_table(spark) -> DataFrame:

@@ -35,9 +35,8 @@ def merge_day(spark: SparkSession, new: DataFrame, path: str, schema, keys: list
               date_col: str = "trade_date") -> None:
     """Merge new rows into a stored table, rewriting only the days they touch.
 
-    The stored side is reduced to the touched days by a semi-join on the
-    partition column, so other days are neither read nor written. Old files
-    are replaced only when the job commits, so a failed job leaves them.
+    Old files are replaced only when the job commits, so a failed job leaves
+    them.
     """
     new = new.persist()
     try:
@@ -45,13 +44,25 @@ def merge_day(spark: SparkSession, new: DataFrame, path: str, schema, keys: list
         if old is None:
             old = new.where(F.lit(False))
         else:
-            old = old.join(new.select(date_col).distinct(), date_col, "left_semi")
+            old = touched_days(old, new, date_col)
         merged = merge_keep_last(old.select(*new.columns), new, keys, order)
         append_day(merged, path, date_col)
     finally:
         new.unpersist()
 
 
+def touched_days(stored: DataFrame, new: DataFrame, date_col: str = "trade_date") -> DataFrame:
+    """Stored rows of the days that ``new`` touches.
+
+    The first and last of them are plain bounds on the partition column, so
+    files of days outside are not read; a semi-join leaves out the days
+    between that the batch does not touch.
+    """
+    low, high = new.agg(F.min(date_col), F.max(date_col)).first()
+    within = stored.where(F.col(date_col).between(F.lit(low), F.lit(high)))
+    return within.join(new.select(date_col).distinct(), date_col, "left_semi")
+
+
 def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
     """The stored table, or None before the first batch."""
     try:

@@ -12,11 +12,12 @@ def settle_or_close():
     return F.when(F.coalesce(F.col("settle"), F.lit(0.0)) != 0, F.col("settle")).otherwise(F.col("close"))
 
 
-def newest_deliveries(paths: DataFrame, path_col: str = "path", max_contracts: int = 12) -> DataFrame:
-    """The newest delivery dates among file paths that contain an ISO date."""
+def newest_deliveries(paths: DataFrame, path_col: str = "path", max_contracts: int = None) -> DataFrame:
+    """The delivery dates among file paths that contain an ISO date, or the newest ``max_contracts`` of them."""
     found = F.nullif(F.regexp_extract(path_col, K.ISO_DATE, 1), F.lit(""))
     dates = paths.select(F.try_to_date(found, "yyyy-MM-dd").alias("delivery")).where(F.col("delivery").isNotNull())
-    return dates.distinct().orderBy(F.col("delivery").desc()).limit(max_contracts)
+    dates = dates.distinct()
+    return dates if max_contracts is None else dates.orderBy(F.col("delivery").desc()).limit(max_contracts)
 
 
 def delivery_ladder(deliveries: DataFrame, keys=LADDER) -> DataFrame:
@@ -33,12 +34,12 @@ def combine_contracts(placed: DataFrame, keys=LADDER) -> DataFrame:
     return placed.groupBy(*keys, "trade_date", "pos").agg(F.sum("price").alias("price"))
 
 
-def term_structure(quotes: DataFrame, deliveries: DataFrame = None, max_contracts: int = 12, keys=LADDER) -> DataFrame:
+def term_structure(quotes: DataFrame, deliveries: DataFrame = None, max_contracts: int = None, keys=LADDER) -> DataFrame:
     """Long-form term structure (keys, trade_date, pos, price).
 
     A contract's position on a day is the number of delivery dates d of its
-    product with day <= d < its own delivery. Only the newest
-    ``max_contracts`` contracts of a product contribute. ``deliveries`` names
+    product with day <= d < its own delivery. All contracts contribute, or
+    only the newest ``max_contracts`` of a product. ``deliveries`` names
     the dates; by default they are those of the quotes, which are then read
     once.
 
@@ -55,13 +56,19 @@ def term_structure(quotes: DataFrame, deliveries: DataFrame = None, max_contract
     between = F.filter(
         F.col("_ladder"), lambda d: (d >= F.col("trade_date")) & (d < F.col("delivery"))
     )
-    newer = F.filter(F.col("_ladder"), lambda d: d > F.col("delivery"))
-    placed = on_ladder.where(F.size(newer) < max_contracts).withColumn("pos", F.size(between))
-    return combine_contracts(placed, keys)
+    if max_contracts is not None:
+        newer = F.filter(F.col("_ladder"), lambda d: d > F.col("delivery"))
+        on_ladder = on_ladder.where(F.size(newer) < max_contracts)
+    return combine_contracts(on_ladder.withColumn("pos", F.size(between)), keys)
 
 
 def term_matrix(term: DataFrame, positions: list, keys=LADDER) -> DataFrame:
-    """Wide form with one column per position; missing prices are 0."""
+    """Wide form with one column per position; missing prices are 0.
+
+    A position without a column stops the job instead of getting lost.
+    """
+    unknown = F.raise_error(F.concat(F.lit("no column for position "), F.col("pos").cast("string"))).cast("int")
+    term = term.withColumn("pos", F.when(F.col("pos").isin(positions), F.col("pos")).otherwise(unknown))
     return term.groupBy(*keys, "trade_date").pivot("pos", positions).sum("price").na.fill(0.0)
 
 

@@ -175,11 +175,10 @@ VIEWS.update({
         SELECT o.*, expiry, datediff('day', trade_date, expiry) + 1 AS left_days
         FROM oq o LEFT JOIN expiries e ON e.product = o.code AND e.month = CAST(o.add_month AS DATE)""",
     "under": """
-        SELECT trade_date, code || stamp AS u_id, max(px) AS u_price FROM oq0 WHERE px >= 1000 GROUP BY ALL""",
+        SELECT trade_date, code || stamp AS u_id, max(px) AS u_price FROM oq0 GROUP BY ALL""",
 })
 VIEWS["cqp"] = "SELECT *, CASE WHEN settle <> 0 THEN settle ELSE close END AS price FROM cq"
 VIEWS["deliv"] = "SELECT DISTINCT exchange, group_id, delivery FROM cq"
-VIEWS["newest"] = """SELECT * FROM deliv QUALIFY row_number() OVER (PARTITION BY exchange, group_id ORDER BY delivery DESC) <= 12"""
 
 
 def term(kept: str) -> str:
@@ -195,8 +194,8 @@ def term(kept: str) -> str:
         GROUP BY ALL"""
 
 
-VIEWS["term"] = term("newest")
-VIEWS["newfiles"] = "SELECT * FROM newest WHERE delivery IN (SELECT DISTINCT delivery FROM deliv ORDER BY 1 DESC LIMIT 12)"
+VIEWS["term"] = term("deliv")
+VIEWS["newfiles"] = "SELECT * FROM deliv WHERE delivery IN (SELECT DISTINCT delivery FROM deliv ORDER BY 1 DESC LIMIT 12)"
 VIEWS["termfiles"] = term("newfiles")
 
 
@@ -643,7 +642,7 @@ put("missing_dates", """
 put("freshness", """
     SELECT exchange, strftime(d, '%Y-%m-%d') AS last_date, CAST(d >= x AS INTEGER) AS is_fresh,
            CAST(min(d) OVER () >= x AS INTEGER) AS all_fresh
-    FROM (SELECT exchange, max(trade_date) AS d FROM fq WHERE settle > close * 0.98 GROUP BY exchange),
+    FROM (SELECT exchange, max(trade_date) AS d FROM fq GROUP BY exchange),
          (SELECT CAST(max(l_shipdate) AS DATE) AS x FROM lineitem)""")
 put("append_day", f"SELECT {KEYS}, CASE WHEN idx.trade_date >= DATE '2000-01-01' THEN close + 1 ELSE close END AS close FROM idx")
 put("read_quotes", f"""

@@ -213,7 +213,7 @@ def term_matrix(spark, folder):
 # --- normalisation -------------------------------------------------------------------
 def _messy(spark, folder):
     """Quotes as the text an exchange would print."""
-    quotes = views.futures_quotes(spark, folder, heavy=True)
+    quotes = views.futures_quotes(spark, folder)
     group = F.concat(F.col("group_id"), F.lit("  "))
     return quotes.select(
         "trade_date",
@@ -262,7 +262,7 @@ def normalize_futures(spark, folder):
 
 @query
 def normalize_options(spark, folder):
-    quotes = views.option_quotes(spark, folder, heavy=True)
+    quotes = views.option_quotes(spark, folder)
     messy = quotes.select(
         "trade_date", "exchange",
         F.when(F.col("volume") == 350, F.lit(K.GRAND_TOTAL_MARK))
@@ -381,7 +381,7 @@ def attach_code(spark, folder):
 # --- text and numbers ---------------------------------------------------------------------
 @query
 def parse_option_name(spark, folder):
-    quotes = views.option_quotes(spark, folder, heavy=True)
+    quotes = views.option_quotes(spark, folder)
     plain = text.parse_option_name(F.col("product_id"))
     dashed = text.parse_option_name(F.col("product_id"), dashed=True)
     out = quotes.select("trade_date", "product_id", plain.alias("p"), dashed.alias("d"))
@@ -397,7 +397,7 @@ def parse_option_name(spark, folder):
 
 @query
 def parse_contract(spark, folder):
-    quotes = views.option_quotes(spark, folder, heavy=True).select("trade_date", "product_id")
+    quotes = views.option_quotes(spark, folder).select("trade_date", "product_id")
     out = quotes.withColumn("c", text.parse_contract(F.col("product_id"), F.col("trade_date")))
     return out.select(
         day("trade_date"), "product_id", F.col("c.product").alias("product"),
@@ -422,7 +422,7 @@ def fill_year(spark, folder):
 
 @query
 def text_functions(spark, folder):
-    quotes = views.option_quotes(spark, folder, heavy=True)
+    quotes = views.option_quotes(spark, folder)
     name = F.col("product_id")
     return quotes.select(
         day("trade_date"), "product_id",
@@ -464,7 +464,7 @@ def norm_functions(spark, folder):
 
 @query
 def formats(spark, folder):
-    quotes = views.option_quotes(spark, folder, heavy=True)
+    quotes = views.option_quotes(spark, folder)
     iv = F.when(F.col("iv") > 0, F.col("iv") + F.col("rdays") / 10000)
     return quotes.select(
         day("trade_date"), "product_id", percent_text(iv).alias("iv_text"),
@@ -518,7 +518,7 @@ def expiry_table(spark, folder):
 
 @query
 def contract_expiry(spark, folder):
-    quotes = views.option_quotes(spark, folder, heavy=True).select("trade_date", "product_id")
+    quotes = views.option_quotes(spark, folder).select("trade_date", "product_id")
     parsed = quotes.withColumn("c", text.parse_contract(F.col("product_id"), F.col("trade_date")))
     named = parsed.select("trade_date", "product_id", "c.product", "c.month")
     out = contracts.contract_expiry(named, views.trading_calendar(spark, folder))
@@ -608,13 +608,13 @@ _iv_query("american_iv", "crr", "newton")
 
 @query
 def quote_iv(spark, folder):
-    out = contracts.quote_iv(views.option_quotes(spark, folder, heavy=True), views.trading_calendar(spark, folder))
+    out = contracts.quote_iv(views.option_quotes(spark, folder), views.trading_calendar(spark, folder))
     return out.select(*_keys(), "product_id", "volume", "iv", "rdays", "iv_status")
 
 
 @query
 def quote_iv_by_exercise_style(spark, folder):
-    quotes, calendar = views.option_quotes(spark, folder, heavy=True), views.trading_calendar(spark, folder)
+    quotes, calendar = views.option_quotes(spark, folder), views.trading_calendar(spark, folder)
     out = contracts.quote_iv(quotes, calendar, routing="by_exercise_style")
     return out.select(*_keys(), "product_id", "volume", "iv", "rdays", "iv_status")
 
@@ -746,7 +746,7 @@ def missing_dates(spark, folder):
 
 @query
 def freshness(spark, folder):
-    quotes = views.futures_quotes(spark, folder).where(F.col("settle") > F.col("close") * 0.98)
+    quotes = views.futures_quotes(spark, folder)
     expected = views.table(spark, folder, "lineitem").agg(F.max(F.col("l_shipdate").cast("date"))).scalar()
     out = maintain.freshness(quotes.select("exchange", "trade_date"), expected)
     return out.select(
@@ -781,11 +781,11 @@ def read_quotes(spark, folder):
 
 @query
 def contract_files(spark, folder):
-    """Term structure read from dated contract files."""
+    """Term structure read from the twelve newest dated contract files."""
     path = shared_folder(spark, "contracts")
     quotes = views.contract_quotes(spark, folder)
     docs.write_contract_files(quotes, path)
-    rows = files.read_contract_files(spark, path)
+    rows = files.read_contract_files(spark, path, max_contracts=12)
     return term.term_structure(rows, quotes).select(*_keys(), "pos", rnd("price", 4))
 
 
@@ -801,7 +801,7 @@ def write_report(spark, folder):
 @query
 def recompute_history(spark, folder):
     calendar = views.trading_calendar(spark, folder)
-    _, siv = monitor.recompute_history(views.option_quotes(spark, folder, heavy=True), calendar)
+    _, siv = monitor.recompute_history(views.option_quotes(spark, folder), calendar)
     return siv.select(*_keys(), "iv")
 
 

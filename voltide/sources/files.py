@@ -14,20 +14,24 @@ def read_quotes(spark: SparkSession, path: str, schema=schemas.FUTURES_QUOTES, f
     return reader.load(path)
 
 
-def read_contract_files(spark: SparkSession, folder: str, schema=schemas.FUTURES_QUOTES, max_contracts: int = 12) -> DataFrame:
-    """Quotes of the newest dated contract files of a folder.
+def read_contract_files(spark: SparkSession, folder: str, schema=schemas.FUTURES_QUOTES, max_contracts: int = None) -> DataFrame:
+    """Quotes of the dated contract files of a folder, or of the newest ones.
 
-    The delivery date is the ISO date in the file's path. The newest dates
-    are found on file names alone (at most ``max_contracts`` of them reach
-    the driver); as a filter on the path they prune whole files from the scan.
+    The delivery date is the ISO date in the file's path. With
+    ``max_contracts`` the newest dates are found on file names alone (at most
+    that many reach the driver); as a filter on the path they prune whole
+    files from the scan.
     """
+    quotes = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option(
+        "pathGlobFilter", "*.csv"
+    ).csv(folder)
+    found = F.regexp_extract(F.col("_metadata.file_path"), K.ISO_DATE, 1)
+    dated = quotes.select("*", F.try_to_date(found, "yyyy-MM-dd").alias("delivery"))
+    if max_contracts is None:
+        return dated.where(F.col("delivery").isNotNull())
     # only the path column of binaryFile is used, so no content is read
     names = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
         "pathGlobFilter", "*.csv"
     ).load(folder).select("path")
     newest = [str(r.delivery) for r in newest_deliveries(names, "path", max_contracts).collect()]
-    quotes = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.csv"
-    ).csv(folder)
-    found = F.regexp_extract(F.col("_metadata.file_path"), K.ISO_DATE, 1)
     return quotes.where(found.isin(newest)).select("*", F.try_to_date(found, "yyyy-MM-dd").alias("delivery"))
