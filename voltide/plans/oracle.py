@@ -702,7 +702,10 @@ put("ingest_cffe_futures", f"""
     SELECT {day('dq.trade_date', 'trade_date')}, exchange, group_id, code || ym AS product_id, {rnd('l_extendedprice', 6, 'close')},
            d_oi + 100 AS open_interest, d_oc AS oi_change, d_settle AS settle FROM dq
     UNION ALL
-    SELECT {day('c.trade_date', 'trade_date')}, exchange, group_id, 'total', close, -1, -1, -1.0 FROM cffe_idx c""")
+    SELECT {day('c.trade_date', 'trade_date')}, exchange, group_id, 'total', close, oi, oc, settle FROM cffe_idx c JOIN (
+        SELECT trade_date, exchange, group_id, d_oi + 100 AS oi, d_oc AS oc, d_settle AS settle FROM dq
+        QUALIFY row_number() OVER (PARTITION BY trade_date, exchange, group_id ORDER BY code || ym, l_extendedprice, d_oi, d_oc, d_settle) = 1
+    ) f USING (trade_date, exchange, group_id)""")
 put("ingest_cffe_options", f"""
     SELECT {day('dq.trade_date', 'trade_date')}, exchange, 'IO' AS group_id, 'IO' || ym || '-' || ot || '-' || k AS product_id, ot AS otype,
            CAST(k AS DOUBLE) AS strike, {rnd('e.close', 6, 'u_price')}, {rnd('l_extendedprice', 6, 'close')}, d_vol AS volume, d_oi + 100 AS open_interest

@@ -832,13 +832,7 @@ def ingest_shfe_options(spark, folder):
 @query
 def ingest_cffe_futures(spark, folder):
     rows = agg.index_on_totals(exchanges.ingest_cffe_futures(docs.cffe(spark, folder)))
-    contract = F.col("product_id") != K.TOTAL_KEY
-    return rows.select(
-        *_keys(), "product_id", rnd("close"),
-        F.when(contract, F.col("open_interest")).otherwise(F.lit(-1)).alias("open_interest"),
-        F.when(contract, F.col("oi_change")).otherwise(F.lit(-1)).alias("oi_change"),
-        F.when(contract, F.col("settle")).otherwise(F.lit(-1.0)).alias("settle"),
-    )
+    return rows.select(*_keys(), "product_id", rnd("close"), "open_interest", "oi_change", "settle")
 
 
 @query

@@ -130,14 +130,20 @@ def _cffe_rows(payloads: DataFrame) -> DataFrame:
     return with_oi_change(dated).drop("day_text", "settle_if", "turnover", "delta", "expiry_text", "pre_open_interest")
 
 
+def _cffe_totals(rows: DataFrame) -> DataFrame:
+    """Total rows from the first row of a product, in an order that several documents of one day cannot upset."""
+    numbers = [F.col(c).try_cast("double") for c in ("close", "open_interest", "oi_change", "settle")]
+    rest = sorted(set(rows.columns) - {"pos", "product_id", "trade_date", "exchange", "group_id"})
+    return with_total_rows(rows, ["pos", "product_id", *numbers, *rest])
+
+
 def ingest_cffe_futures(payloads: DataFrame) -> DataFrame:
-    rows = only_groups(_cffe_rows(payloads), CFFE_OPTION_GROUPS, keep=False)
-    return normalize_futures(with_total_rows(rows, ["pos", "product_id"]))
+    return normalize_futures(_cffe_totals(only_groups(_cffe_rows(payloads), CFFE_OPTION_GROUPS, keep=False)))
 
 
 def ingest_cffe_options(payloads: DataFrame, index: DataFrame) -> DataFrame:
     """Index options; ``index`` has the equity index in ``group_id``."""
-    rows = with_total_rows(only_groups(_cffe_rows(payloads), CFFE_OPTION_GROUPS), ["pos", "product_id"])
+    rows = _cffe_totals(only_groups(_cffe_rows(payloads), CFFE_OPTION_GROUPS))
     return _finish_options(rows, index, "group_id", dashed=True, index_option=True)
 
 
