@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from voltide.llm import suffix_array, suffix_tree
+from voltide.llm import repeats, suffix_array, suffix_tree
 
 SCHEMA = "doc_id long, text string, n_units string, h long, a int, lang string"
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -61,9 +61,10 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("keep", ["none", "first"])
-@pytest.mark.parametrize("most", [4096, 3])
+@pytest.mark.parametrize("most,index_bytes", [(4096, 1 << 21), (3, 1 << 21), (4096, 100)])
 @pytest.mark.parametrize("kind", ["bytes", "words"])
-def test_against_brute_force(spark, kind, most, keep):
+def test_against_brute_force(spark, monkeypatch, kind, most, index_bytes, keep):
+    monkeypatch.setattr(repeats, "INDEX_BYTES", index_bytes)
     rows = corpus(len(kind))
     df = spark.createDataFrame([(i, t, "x", 0, 0, "l") for i, t in rows], SCHEMA)
     if kind == "bytes":

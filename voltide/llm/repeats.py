@@ -10,9 +10,11 @@ goes, grouped by minimiser, to an index builder (a suffix array or a suffix
 tree) that works on a bounded number of stretches at a time.
 
 Equal texts are one text with a count, so copies of whole documents cost one
-row each. A minimiser with more than ``most`` stretches is not gathered: its
-windows become rows keyed by a 128-bit hash of the whole window and are
-counted with partial sums, which gives the same flags for groups of any size.
+row each. Of equal stretches only the first and the last travel; every window
+of one between them occurs earlier and later. A minimiser with more than
+``most`` stretches is not gathered: after the same reduction its windows become
+rows keyed by a 128-bit hash of the whole window and are counted with partial
+sums, which gives the same flags for groups of any size.
 """
 
 import hashlib
@@ -21,17 +23,19 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from voltide.llm.common import BLOCK_BYTES, blocks, byte_codes, mix64, prefix_hash, ranges, span_hash, text_buffers
+from voltide.llm.common import BLOCK_BYTES, blocks, byte_codes, mix64, packed, prefix_hash, ranges, span_hash, text_buffers
 
 EARLIER, LATER = 1, 2
+# what an index builder takes at a time
+INDEX_BYTES = 1 << 21
 
 
 class ByteUnits:
     """Every byte is a unit."""
 
-    def __init__(self, size: int = 200, gram: int = 64):
+    def __init__(self, size: int = 200, gram: int = 32):
         self.size, self.gram = size, gram
 
     def of(self, data: np.ndarray, offsets: np.ndarray):
@@ -51,7 +55,7 @@ class ByteUnits:
 class WordUnits:
     """Words are runs of characters other than space and the controls 9 to 13."""
 
-    def __init__(self, size: int = 35, gram: int = 12):
+    def __init__(self, size: int = 35, gram: int = 8):
         self.size, self.gram = size, gram
 
     def of(self, data, offsets):
@@ -86,7 +90,7 @@ class WordUnits:
 
 
 def winnow(codes, offsets: np.ndarray, size: int, gram: int, step: int = 1 << 20):
-    """Stretches of window starts with one minimiser: (text, first start, minimiser's place after it, starts, hash).
+    """Stretches of window starts with one minimiser: (text, first start, minimiser's place after it, starts, hash, content).
 
     ``codes(a, b)`` gives the codes of units a to b. The minimiser of a window
     depends on the window alone, so cutting a long text into steps changes
@@ -118,14 +122,16 @@ def winnow(codes, offsets: np.ndarray, size: int, gram: int, step: int = 1 << 20
             continue
         ends = np.append(np.flatnonzero(new | ~inside), len(place))
         n_starts = ends[np.searchsorted(ends, first, side="right")] - first
-        yield text[first], start[first] - offsets[text[first]], place[first] - first, n_starts, mix64(grams[place[first]])
+        content = span_hash(prefix, first, first + n_starts - 1 + size)
+        yield text[first], start[first] - offsets[text[first]], place[first] - first, n_starts, mix64(grams[place[first]]), content
 
 
 def distinct_texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Texts with two 64-bit hashes as key, the smallest id and the number of rows."""
+    """Texts with two 64-bit hashes as key and the smallest id: one aggregate, so that all uses are one shuffle."""
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_column).alias("id"), text.alias("text")).select("id", "text", *text_keys("text"))
-    return keyed.groupBy("a", "b").agg(F.max("text").alias("text"), F.min("id").alias("first"), F.count("*").alias("n"))
+    one = keyed.groupBy("a", "b").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text")).alias("x"))
+    return one.select("a", "b", F.col("x.id").alias("first"), F.col("x.text").alias("text"))
 
 
 def text_keys(text):
@@ -133,22 +139,22 @@ def text_keys(text):
 
 
 def stretches(texts: DataFrame, units) -> DataFrame:
-    """(h, a, b, place): minimisers; ``place`` packs first start, minimiser's place and number of starts."""
+    """(h, s, a, b, first, place): minimiser and content hash; ``place`` packs first start, minimiser's place and number of starts."""
+    kind = texts.schema["first"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            data, offsets = text_buffers(batch.column(2))
-            a, b = batch.column(0), batch.column(1)
+            data, offsets = text_buffers(batch.column(3))
             for x, y in blocks(offsets):
                 part = data[offsets[x]:offsets[y]]
                 in_units, starts, ends = units.of(part, offsets[x:y + 1] - offsets[x])
-                for text, lo, to, n, h in winnow(lambda p, q: units.codes(part, starts, ends, p, q), in_units, units.size, units.gram):
+                for text, lo, to, n, h, s in winnow(lambda p, q: units.codes(part, starts, ends, p, q), in_units, units.size, units.gram):
                     row = pa.array(text + x)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), a.take(row), b.take(row), pa.array((lo << 16) | (to << 8) | (n - 1))],
-                        ["h", "a", "b", "place"])
+                        [pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), *[batch.column(k).take(row) for k in range(3)],
+                         pa.array((lo << 16) | (to << 8) | (n - 1))], ["h", "s", "a", "b", "first", "place"])
 
-    return texts.select("a", "b", "text").mapInArrow(run, "h bigint, a bigint, b bigint, place bigint")
+    return texts.select("a", "b", "first", "text").mapInArrow(run, f"h bigint, s bigint, a bigint, b bigint, first {kind}, place bigint")
 
 
 def gather(texts: DataFrame, found: DataFrame, units, windows: bool) -> DataFrame:
@@ -209,7 +215,7 @@ def indexed(segments: DataFrame, units, index) -> DataFrame:
 
     ``index(data, at, lo, n)`` gets the bodies of stretches in text order and
     returns for each window start, stretch by stretch, whether the window
-    occurs earlier and later. A group keeps the first and last of equal bodies.
+    occurs earlier and later.
     """
     dealt = segments.repartition("h").sortWithinPartitions("h", "first", "a", "b", "lo")
 
@@ -246,31 +252,12 @@ def indexed(segments: DataFrame, units, index) -> DataFrame:
 
     def flags(table):
         data, at = text_buffers(table.column(6))
-        h, lo, n = table.column(0).to_numpy(), table.column(4).to_numpy(), table.column(5).to_numpy().astype(np.int64)
-        body = span_hash(prefix_hash(byte_codes(data)), at[:-1], at[1:])
-        group = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
-        order = np.lexsort((np.arange(len(h)), body, group))
-        same = np.zeros(len(h), bool)
-        same[1:] = (group[order][1:] == group[order][:-1]) & (body[order][1:] == body[order][:-1])
-        inner = same.copy()
-        inner[:-1] &= same[1:]
-        inner[-1:] = False
-        middle = np.zeros(len(h), bool)
-        middle[order] = inner  # neither the first nor the last of equal bodies
-        use = np.flatnonzero(~middle)
-        alone = np.bincount(group[use], minlength=int(group[-1]) + 1)[group[use]] < 2
-        use = use[~alone]
-        kind = [np.zeros(0, np.int64)]
-        if len(use):
-            size = at[use + 1] - at[use]
-            earlier, later = index(data[ranges(at[use], size)], np.concatenate([[0], np.cumsum(size)]), n[use])
-            kind = [earlier * EARLIER + later * LATER]
-        rows, starts = np.repeat(use, n[use]), ranges(lo[use], n[use])
-        rows = np.concatenate([rows, np.repeat(np.flatnonzero(middle), n[middle])])
-        starts = np.concatenate([starts, ranges(lo[middle], n[middle])])
-        kind = np.concatenate([*kind, np.full(int(n[middle].sum()), EARLIER | LATER)])
+        lo, n = table.column(4).to_numpy(), table.column(5).to_numpy().astype(np.int64)
+        earlier, later = (index if len(data) < INDEX_BYTES else by_window)(data, at, n)
+        kind = earlier * EARLIER + later * LATER
         if not kind.any():
             return None
+        rows, starts = np.repeat(np.arange(len(n)), n), ranges(lo, n)
         new = np.ones(len(kind), bool)
         new[1:] = (kind[1:] != kind[:-1]) | (rows[1:] != rows[:-1])
         head = np.flatnonzero(new)
@@ -282,6 +269,23 @@ def indexed(segments: DataFrame, units, index) -> DataFrame:
             [table.column(1).take(row).combine_chunks(), table.column(2).take(row).combine_chunks(), pa.array(starts[head]),
              pa.array(length.astype(np.int32)), pa.array(kind[head].astype(np.int32))], ["a", "b", "lo", "n", "kind"])
 
+    def by_window(data, at, n):
+        """One group too large for an index: the same from hashes of its windows."""
+        one, two = [], []
+        for x, y in blocks(at):
+            part = data[at[x]:at[y]]
+            in_units, starts, ends = units.of(part, at[x:y + 1] - at[x])
+            codes = units.codes(part, starts, ends, 0, int(in_units[-1]))
+            first = np.repeat(in_units[:-1], n[x:y]) + ranges(np.zeros(y - x, np.int64), n[x:y])
+            one.append(span_hash(prefix_hash(codes), first, first + units.size))
+            two.append(span_hash(prefix_hash(mix64(codes)), first, first + units.size))
+        one, two = np.concatenate(one), np.concatenate(two)
+        order = np.lexsort((np.arange(len(one)), two, one))
+        same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+        earlier, later = np.zeros(len(one), bool), np.zeros(len(one), bool)
+        earlier[order], later[order] = np.append(False, same), np.append(same, False)
+        return earlier, later
+
     return dealt.mapInArrow(run, "a bigint, b bigint, lo bigint, n int, kind int")
 
 
@@ -299,9 +303,24 @@ def repeats(texts: DataFrame, units, index, most: int) -> DataFrame:
     rows = stretches(texts, units)
     counts = rows.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1")
     found = rows.join(counts, "h")
-    few = gather(texts, found.where(F.col("_n") <= most), units, windows=False)
-    many = gather(texts, found.where(F.col("_n") > most), units, windows=True)
-    return reduce(DataFrame.unionByName, [indexed(few, units, index), counted(many)])
+    order = F.struct("first", "a", "b", "place")
+
+    # the join has brought the stretches of a minimiser together: no further shuffle
+    equal = Window.partitionBy("h", "s").orderBy("first", "a", "b", "place")
+    few = found.where(F.col("_n") <= most)
+    few = few.withColumn("_end", (F.row_number().over(equal) == 1) | F.lead("place").over(equal).isNull())
+
+    # crowded minimisers: the same by partial minima and maxima
+    crowd = found.where(F.col("_n") > most).repartition("h", "s", "a", "b")
+    ends = crowd.groupBy("h", "s").agg(F.min(order).alias("_min"), F.max(order).alias("_max"))
+    crowd = crowd.join(ends, ["h", "s"]).withColumn("_end", (order == F.col("_min")) | (order == F.col("_max")))
+
+    between = [x.where(~F.col("_end")).select(
+        "a", "b", F.shiftright("place", 16).alias("lo"), (F.col("place").bitwiseAND(255) + 1).cast("int").alias("n"),
+        F.lit(EARLIER | LATER).alias("kind")) for x in (few, crowd)]
+    return reduce(DataFrame.unionByName, [
+        *between, indexed(gather(texts, few.where("_end"), units, windows=False), units, index),
+        counted(gather(texts, crowd.where("_end"), units, windows=True))])
 
 
 def remove(
@@ -315,14 +334,13 @@ def remove(
     if keep == "first":
         marks = marks.where(F.col("kind").bitwiseAND(EARLIER) > 0)
     per_text = marks.groupBy("a", "b").agg(F.collect_list(F.struct("lo", "n")).alias("marks"))
-    rows = texts.join(per_text, ["a", "b"], "left").select("a", "b", "text", "n", "marks")
+    rows = texts.join(per_text, ["a", "b"], "left").select("a", "b", "text", "marks")
     size = units.size
 
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(2))
-            copies = batch.column(3).to_numpy()
-            lists = batch.column(4)
+            lists = batch.column(3)
             counts = np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()), 0)
             lo, n = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists.flatten().flatten())
             at = np.concatenate([[0], np.cumsum(counts)])
@@ -332,9 +350,6 @@ def remove(
                 row = np.repeat(np.arange(y - x), counts[x:y])
                 first = in_units[row] + lo[at[x]:at[y]]
                 last = first + n[at[x]:at[y]] - 1 + size
-                if keep == "none":  # all windows of a text that several rows hold
-                    whole = np.flatnonzero((copies[x:y] > 1) & (np.diff(in_units) >= size))
-                    first, last = np.concatenate([first, in_units[whole]]), np.concatenate([last, in_units[whole + 1]])
                 delta = np.zeros(int(in_units[-1]) + 1, np.int32)
                 np.add.at(delta, first, 1)
                 np.add.at(delta, last, -1)
@@ -369,21 +384,17 @@ def remove(
     schema = ("a bigint, b bigint, n_units bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
               "spans array<struct<start: bigint, end: bigint>>" + ", kept binary" * with_text)
     done = rows.mapInArrow(run, schema)
-    if keep == "first":
-        done = done.join(texts.select("a", "b", F.col("first").alias("_first"), F.col("n").alias("_n")), ["a", "b"])
-    hidden = {c: f"_r_{c}" for c in done.columns}
-    done = done.withColumnsRenamed(hidden)
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    a, b = text_keys(text)
-    out = docs.withColumns({"_d_a": a, "_d_b": b})
-    out = out.join(done, (F.col("_d_a") == F.col("_r_a")) & (F.col("_d_b") == F.col("_r_b")), "left").drop("_d_a", "_d_b", "_r_a", "_r_b")
+    results = names[2:]
+    rows = docs.select(packed(docs, *[c for c in results if c not in (id_column, text_column)]), F.col(id_column).alias("id"), *text_keys(text))
+    copies = rows.groupBy("a", "b").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    out = rows.join(done.join(copies, ["a", "b"]), ["a", "b"], "left")
+    # several documents of one text: all its windows occur elsewhere, in all documents but the first earlier
+    whole = (F.col("copies") > 1) & (F.col("n_units") >= size)
     if keep == "first":
-        # a later copy of a whole text loses every window, that is everything if there is one
-        later = (F.col("_r__n") > 1) & ~F.col(id_column).eqNullSafe(F.col("_r__first")) & (F.col("_r_n_units") >= size)
-        swap = {"n_removed": F.col("_r_n_units"), "n_spans": F.lit(1).cast("bigint"), "kept_sha256": F.lit(hashlib.sha256(b"").hexdigest()),
-                "spans": F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("_r_n_units").alias("end")))}
-        swap |= {"kept": F.lit(b"")} if with_text else {}
-        out = out.withColumns({f"_r_{c}": F.when(later, v).otherwise(F.col(f"_r_{c}")) for c, v in swap.items()}).drop("_r__first", "_r__n")
-    clash = {f"_r_{c}" for c in names[2:]}
-    out = out.drop(*[c for c in docs.columns if f"_r_{c}" in clash])
-    return out.withColumnsRenamed({f"_r_{c}": c for c in names[2:]})
+        whole = whole & ~F.col("id").eqNullSafe(F.col("least"))
+    everything = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_units").alias("end")))
+    swap = {"n_removed": F.col("n_units"), "n_spans": F.lit(1).cast("bigint"), "kept_sha256": F.lit(hashlib.sha256(b"").hexdigest()), "spans": everything}
+    swap |= {"kept": F.lit(b"")} if with_text else {}
+    out = out.withColumns({c: F.when(whole, v).otherwise(F.col(c)) for c, v in swap.items()})
+    return out.select("row.*", *results)

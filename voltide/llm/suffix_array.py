@@ -93,7 +93,7 @@ def suffix_index(size: int):
 
 
 def remove_repeats(
-    docs: DataFrame, size: int = 200, gram: int = 64, keep: str = "first", most: int = 4096,
+    docs: DataFrame, size: int = 200, gram: int = 32, keep: str = "first", most: int = 65_536,
     id_column: str = "doc_id", text_column: str = "text", with_text: bool = True,
 ) -> DataFrame:
     """Documents without the bytes of windows that occur before (``keep="first"``) or anywhere else (``keep="none"``).

@@ -2,7 +2,7 @@
 
 Suffixes are split into groups that fit a task by prefixes of variable length.
 The prefix of a suffix reaches to the end of the minimiser of its window (see
-``repeats``), 12 to 35 words; suffixes whose prefixes end in one minimiser travel
+``repeats``), 8 to 35 words; suffixes whose prefixes end in one minimiser travel
 together as one stretch of text. Where more stretches share a prefix than a
 task should hold, the prefix grows to the whole window, and a group is a single
 node that needs a count only.
@@ -63,7 +63,7 @@ def tree_index(size: int):
 
 
 def remove_repeats(
-    docs: DataFrame, size: int = 35, gram: int = 12, keep: str = "first", most: int = 4096,
+    docs: DataFrame, size: int = 35, gram: int = 8, keep: str = "first", most: int = 65_536,
     id_column: str = "doc_id", text_column: str = "text", with_text: bool = True,
 ) -> DataFrame:
     """Documents without the words of windows that occur before (``keep="first"``) or anywhere else (``keep="none"``).
