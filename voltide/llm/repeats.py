@@ -154,7 +154,9 @@ def stretches(texts: DataFrame, units) -> DataFrame:
                         [pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), *[batch.column(k).take(row) for k in range(3)],
                          pa.array((lo << 16) | (to << 8) | (n - 1))], ["h", "s", "a", "b", "first", "place"])
 
-    return texts.select("a", "b", "first", "text").mapInArrow(run, f"h bigint, s bigint, a bigint, b bigint, first {kind}, place bigint")
+    # without nulls no filter on them tells the uses of these rows apart: they are shuffled once
+    schema = f"h bigint NOT NULL, s bigint NOT NULL, a bigint NOT NULL, b bigint NOT NULL, first {kind}, place bigint NOT NULL"
+    return texts.select("a", "b", "first", "text").mapInArrow(run, schema)
 
 
 def gather(texts: DataFrame, found: DataFrame, units, windows: bool) -> DataFrame:
