@@ -47,7 +47,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces packed into sequences."""
-    return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), encode_special_tokens=False)
 
 
 STAGES = [

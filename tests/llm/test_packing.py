@@ -34,6 +34,38 @@ def test_ids_are_those_of_the_tokenizer(tokenizer):
         assert ids.tolist() == [i for w in want for i in w]
 
 
+def test_ids_are_those_of_the_tokenizer_by_default():
+    import pyarrow as pa
+
+    from voltide.llm.common import text_buffers
+
+    random.seed(6)
+    tokenizer, spec = Tokenizer.from_file(PATH), open(PATH, encoding="utf-8").read()
+    parts = list("  \n\t ab'sé中\xa0\x85　1<|>") + ["<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", " the", "'ll", "\r\n"]
+    texts = ["x <|endoftext|> y"] + ["".join(random.choice(parts) for _ in range(random.randint(0, 30))) for _ in range(4999)]
+    tokens = packing.ChunkTokens(packing.merge_ranks(spec), entries=100, added=packing.added_tokens(spec))
+    for at in range(0, 5000, 1000):
+        ids, counts = tokens.encode(*text_buffers(pa.array(texts[at:at + 1000])))
+        want = [e.ids for e in tokenizer.encode_batch(texts[at:at + 1000], add_special_tokens=False)]
+        assert counts.tolist() == [len(w) for w in want]
+        assert ids.tolist() == [i for w in want for i in w]
+    # added tokens with white space inside, one the beginning of another
+    tokens = packing.ChunkTokens(packing.merge_ranks(spec), added={"a b": 60000, "a b c": 60001})
+    ids, counts = tokens.encode(*text_buffers(pa.array(["a b ca b", "a b", " c", None])))
+    assert counts.tolist() == [2, 1, 1, 0] and ids[:3].tolist() == [60001, 60000, 60000]
+
+
+def test_query_and_pipeline_keep_added_tokens(spark, tmp_path):
+    import corpus_pipeline
+    from voltide.llm.queries import QUERIES
+
+    texts = {1: "x <|endoftext|> y", 2: "<|endoftext|>" * 3, 3: "plain", 4: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for rows in (QUERIES["op9_bin_slack_packing"](spark, str(tmp_path)), corpus_pipeline.best_fit_packing(spark, docs, str(tmp_path))):
+        check(rows.collect(), texts, Tokenizer.from_file(PATH), 2048)
+
+
 def check(rows, texts, tokenizer, capacity):
     by_doc, bins = {}, {}
     for r in rows:

@@ -21,7 +21,7 @@ def tokenizer_file(name: str) -> str:
 
 @query
 def op9_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), encode_special_tokens=False)
 
 
 @query
