@@ -2,7 +2,10 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voltide.llm import chat, cotraining, language, minhash, neighbours, packing, quality_rules, sentencepiece_lattice, suffix_array, suffix_tree
+from voltide.llm import (
+    chat, cotraining, fingerprints, hard_negatives, language, minhash, neighbours, packing, quality_rules, sentencepiece_lattice, suffix_array,
+    suffix_tree, vector_codes,
+)
 from voltide.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -110,3 +113,84 @@ def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = sentencepiece_lattice.decode(ids, model)
     same = F.col("decoded").cast("string") == F.coalesce(F.col("text"), F.lit(""))
     return done.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", same.alias("round_trip"))
+
+
+@query
+def op11_hilbert_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return codes.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+_FLOOR = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+
+
+def _nearest(book: str) -> str:
+    """Each part with its nearest entry of a codebook, the lower of equals."""
+    off = "list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    return f"""SELECT p.rid, p.part, p.x, min(({off}, b.entry)) AS best FROM parts p JOIN {book} b ON p.part = b.part GROUP BY ALL"""
+
+
+def _rounds(n: int) -> str:
+    out = []
+    for k in range(n):
+        out.append(f"""near{k} AS ({_nearest(f'book{k}')}),
+means{k} AS (SELECT part, entry, list({_FLOOR} ORDER BY place) AS x FROM (
+  SELECT part, best[2] AS entry, place, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM (
+    SELECT part, best, unnest(x) AS v, generate_subscripts(x, 1) AS place FROM near{k}) GROUP BY ALL) GROUP BY part, entry),
+book{k + 1} AS (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN means{k} m ON m.part = b.part AND m.entry = b.entry)""")
+    return ",\n".join(out)
+
+
+ORACLE["op11_hilbert_vector_codes"] = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)
+),
+parts AS (
+  SELECT rid, CAST(p AS INTEGER) AS part, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS x FROM kept, range(4) t(p)
+),
+book0 AS (SELECT part, rid - 1 AS entry, x FROM parts WHERE rid <= 256),
+{_rounds(4)},
+last AS ({_nearest('book4')}),
+coded AS (
+  SELECT rid, string_agg(lower(printf('%02x', best[2])), '' ORDER BY part) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM last GROUP BY rid
+)
+SELECT k.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM book4) AS codebooks_sha256
+FROM coded c JOIN kept k USING (rid)
+"""
+
+
+@query
+def op12_secondary_sort_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+ORACLE["op12_secondary_sort_negatives"] = """
+WITH kept AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)
+),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM kept a JOIN kept b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+),
+positives AS (
+  SELECT * FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON p.anchor_id = n.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY rank <= 10
+"""
+
+
+@query
+def op13_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.simhash_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("id") % 50 == 0)
