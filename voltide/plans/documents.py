@@ -3,7 +3,9 @@
 
 Every line item becomes one small document with a contract row and the extra
 rows a real document has (subtotal, grand total, empty and dashed cells). No
-rows are grouped to build a document, so rendering needs no shuffle.
+rows are grouped to build a document, so rendering needs no shuffle. HTML
+documents come in a second form, as the exchanges publish them: all contracts
+of a day in one document, a subtotal behind each product.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -12,6 +14,8 @@ from voltide import constants as K, schemas
 from voltide.plans import views
 from voltide.sources import exchanges
 
+# a day's document holds the lines of so many parts, about 240 in all exchanges
+SHEET_PARTS = 20_000
 MONTH_SCHEMA = T.StructType([*schemas.FUTURES_QUOTES.fields, T.StructField("month", T.DateType(), True)])
 
 # part type -> commodity name of the Dalian exchange; one has no code
@@ -65,7 +69,7 @@ def _quotes(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("l_quantity").cast("bigint") * 70).alias("volume"),
         F.rint(F.col("p_retailprice") * (F.lit(0.80) + F.lit(0.05) * F.col("l_linenumber"))).cast("bigint").alias("strike"),
         F.when(F.col("l_linestatus") == "O", F.lit("C")).otherwise(F.lit("P")).alias("otype"),
-        "l_tax",
+        "l_tax", F.floor(F.col("l_partkey") / SHEET_PARTS).alias("sheet"),
     )
 
 
@@ -173,16 +177,28 @@ def _through_charset(body: Column) -> Column:
     return F.decode(F.encode(body, K.SOURCE_CHARSET), K.SOURCE_CHARSET)
 
 
-def _dce(rows: DataFrame, kind: str, titles: list, contract: list, subtotal: list, grand: list) -> DataFrame:
+def _bodies(rows: DataFrame, contract: Column, subtotal: Column, daily: bool) -> DataFrame:
+    """Table rows of every document: one contract with its subtotal, or all contracts of a day product by product."""
+    if not daily:
+        return rows.withColumn("rows", F.concat(contract, subtotal))
+    day = ["exchange", "trade_date", "sheet"]
+    lines = rows.select(*day, "group_id", contract.alias("line"), subtotal.alias("subtotal"))
+    products = lines.groupBy(*day, "group_id").agg(
+        F.concat(F.array_join(F.sort_array(F.collect_list("line")), ""), F.min("subtotal")).alias("part"))
+    parts = F.sort_array(F.collect_list(F.struct("group_id", "part")))
+    return products.groupBy(*day).agg(F.array_join(F.transform(parts, lambda x: x["part"]), "").alias("rows"))
+
+
+def _dce(rows: DataFrame, kind: str, titles: list, contract: list, subtotal: list, grand: list, daily: bool) -> DataFrame:
     body = F.concat(
         F.lit("<html><body><div>行情</div><table class='t'>\n"),
-        _row([F.lit(t) for t in titles], "th"), _row(contract), _row(subtotal), _row(grand),
+        _row([F.lit(t) for t in titles], "th"), F.col("rows"), _row(grand),
         F.lit("</table><table><tr><td>x</td></tr></table></body></html>"),
     )
-    return _payload(rows, kind, _through_charset(body))
+    return _payload(_bodies(rows, _row(contract), _row(subtotal), daily), kind, _through_charset(body))
 
 
-def dce_futures(spark: SparkSession, folder: str) -> DataFrame:
+def dce_futures(spark: SparkSession, folder: str, daily: bool = False) -> DataFrame:
     rows = _quotes(spark, folder)
     name = dce_name(F.col("group_id"))
     numbers = [
@@ -198,10 +214,11 @@ def dce_futures(spark: SparkSession, folder: str) -> DataFrame:
         [F.concat(F.lit("\n  "), name), F.col("stamp"), *numbers],
         [F.concat(name, F.lit(K.SUBTOTAL_MARK)), F.lit(""), *blank, *tail],
         [F.lit(K.GRAND_TOTAL_MARK), F.lit(""), *blank, *tail],
+        daily,
     )
 
 
-def dce_options(spark: SparkSession, folder: str) -> DataFrame:
+def dce_options(spark: SparkSession, folder: str, daily: bool = False) -> DataFrame:
     rows = _quotes(spark, folder)
     name = dce_name(F.col("group_id"))
     return _dce(
@@ -209,23 +226,23 @@ def dce_options(spark: SparkSession, folder: str) -> DataFrame:
         [name, option_name("-"), _text("close"), _comma(F.col("volume")), _comma(F.col("oi"))],
         [F.concat(name, F.lit(K.SUBTOTAL_MARK)), F.lit(""), F.lit(""), F.lit("0"), F.lit("5")],
         [F.lit(K.GRAND_TOTAL_MARK), F.lit(""), F.lit(""), F.lit("3"), F.lit("5")],
+        daily,
     )
 
 
-def _czce(rows: DataFrame, kind: str, titles: list, body_rows: list) -> DataFrame:
+def _czce(rows: DataFrame, kind: str, titles: list, contract: list, subtotal: list, grand: list, daily: bool) -> DataFrame:
     """``titles`` are columns, because older documents use other spellings."""
     body = F.concat(
-        F.lit("<TABLE id='tab1'><thead>"), _row(titles), F.lit("</thead><tbody>"),
-        *[_row(r) for r in body_rows], F.lit("</tbody></TABLE>"),
+        F.lit("<TABLE id='tab1'><thead>"), _row(titles), F.lit("</thead><tbody>"), F.col("rows"), _row(grand), F.lit("</tbody></TABLE>"),
     )
-    return _payload(rows, kind, _through_charset(body))
+    return _payload(_bodies(rows, _row(contract), _row(subtotal), daily), kind, _through_charset(body))
 
 
 def _by_age(old: str, new: str) -> Column:
     return F.when(F.col("trade_date") < "1998-01-01", F.lit(old)).otherwise(F.lit(new))
 
 
-def czce_futures(spark: SparkSession, folder: str) -> DataFrame:
+def czce_futures(spark: SparkSession, folder: str, daily: bool = False) -> DataFrame:
     rows = _quotes(spark, folder)
     titles = [_by_age("品种月份", "合约代码")] + [F.lit(t) for t in ("昨结算", "今开盘", "最高价", "最低价", "今收盘", "今结算")] + [
         _by_age("空盘量", "持仓量"), F.lit("增减量"), F.lit("成交量(手)"),
@@ -233,21 +250,40 @@ def czce_futures(spark: SparkSession, folder: str) -> DataFrame:
     numbers = [_text("pre_settle"), F.lit(""), _text("high"), _text("low"), _text("close"), _text("settle")]
     contract = F.concat(F.col("code"), F.substring("stamp", 2, 3))
     zero = [F.lit("")] * 6
-    return _czce(rows, "futures", titles, [
+    return _czce(
+        rows, "futures", titles,
         [contract, *numbers, _comma(F.col("oi")), _text("oi_change"), _comma(F.col("volume"))],
         [F.lit(K.SUBTOTAL_MARK), *zero, F.lit("5"), F.lit("-1"), F.lit("7")],
         [F.lit(K.GRAND_TOTAL_MARK), *zero, F.lit("5"), F.lit("-1"), F.lit("7")],
-    ])
+        daily,
+    )
 
 
-def czce_options(spark: SparkSession, folder: str) -> DataFrame:
+def czce_options(spark: SparkSession, folder: str, daily: bool = False) -> DataFrame:
     rows = _quotes(spark, folder)
     titles = [_by_age("品种代码", "合约代码"), F.lit("今收盘"), _by_age("空盘量", "持仓量"), F.lit("成交量(手)")]
-    return _czce(rows, "options", titles, [
+    return _czce(
+        rows, "options", titles,
         [option_name("", 3), _text("close"), _comma(F.col("oi")), _comma(F.col("volume"))],
         [F.lit(K.SUBTOTAL_MARK), F.lit(""), F.lit("5"), F.lit("0")],
         [F.lit(K.SUM_ROW_MARK), F.lit(""), F.lit("5"), F.lit("9")],
-    ])
+        daily,
+    )
+
+
+def pages_with_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw web pages, each with a table of facts about it at its end: a caption over the titles, a table inside a cell,
+    spans over columns and rows, and rows without closing tags."""
+    page, url, size = F.col("page_id").cast("string"), F.col("url"), F.length("html").cast("string")
+    facts = F.concat(
+        F.lit('<table title="a > b"><tr><th colspan="3">facts &amp; figures</th></tr><tr><th>page</th><th>url</th><th>size</th></tr><tr><td rowspan=2>'),
+        page, F.lit('</td><td><a href="'), url, F.lit('">'), url, F.lit("</a></td><td><table><tr><td>"), size,
+        F.lit("</td></tr></table> &lt; &infin;</td></tr><tr><td colspan='2'>"), size, F.lit("</td></tr><!-- <tr><td>no</td></tr> --><tr><td>"),
+        page, F.lit("<td>-</table><table><tr><td>other</td></tr></table>"),
+    )
+    rows = views.table(spark, folder, "pages").select(
+        F.lit("web").alias("exchange"), F.lit(None).cast("date").alias("trade_date"), F.concat("html", facts).alias("_b"))
+    return _payload(rows, "page", F.col("_b"))
 
 
 # --- equity index ---------------------------------------------------------------------

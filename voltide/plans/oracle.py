@@ -1,6 +1,9 @@
 # -*- coding: utf-8 -*-
-"""The same results as plain SQL for another engine (DuckDB), written
-independently of the Spark plans, over the same tables."""
+"""The same results as plain SQL for another engine (DuckDB) over the same tables.
+
+Written apart from the Spark plans; only fixed values are shared: the constants,
+the coefficients of the normal law and the names that rendered documents use.
+"""
 
 from voltide import constants as K
 from voltide.functions import normal
@@ -659,7 +662,11 @@ VIEWS["dq"] = """
     FROM lines"""
 
 
-def doc_quotes(group: str, contract: str, pre: str, total: tuple) -> str:
+# one document a day: a total row for each product of a document
+_DAILY = f"(SELECT DISTINCT trade_date, exchange, group_id, code, l_partkey // {docs.SHEET_PARTS} AS sheet FROM dq) dq"
+
+
+def doc_quotes(group: str, contract: str, pre: str, total: tuple, totals: str = "dq") -> str:
     oi, oc, vol = total
     blank = ", ".join(f"0.0::DOUBLE AS {c}" for c in ("pre_settle", "open", "high", "low", "close", "settle"))
     return f"""
@@ -668,7 +675,7 @@ def doc_quotes(group: str, contract: str, pre: str, total: tuple) -> str:
            {rnd('d_settle', 6, 'settle')}, d_oi AS open_interest, d_oc AS oi_change, d_vol AS volume FROM dq WHERE d_oi > 0
     UNION ALL
     SELECT {day('dq.trade_date', 'trade_date')}, exchange, {group} AS group_id, 'total' AS product_id, {blank},
-           {oi} AS open_interest, {oc} AS oi_change, {vol} AS volume FROM dq"""
+           {oi} AS open_interest, {oc} AS oi_change, {vol} AS volume FROM {totals}"""
 
 
 _DASHED_PRE = "CASE WHEN l_tax = 0 THEN 0.0 ELSE d_pre END"
@@ -681,21 +688,25 @@ put("ingest_shfe_futures", _shfe[:_i] + _shfe[_i:].replace("0.0::DOUBLE AS pre_s
     "0.0::DOUBLE AS settle", rnd("d_settle", 6, "settle")))
 put("ingest_dce_futures", doc_quotes(_CN, f"{_CC} || ym", _DASHED_PRE, ("5", "-1", "7")))
 put("ingest_czce_futures", doc_quotes("code", "code || ym[2:]", "d_pre", ("5", "-1", "7")))
+put("ingest_dce_futures_daily", doc_quotes(_CN, f"{_CC} || ym", _DASHED_PRE, ("5", "-1", "7"), _DAILY))
+put("ingest_czce_futures_daily", doc_quotes("code", "code || ym[2:]", "d_pre", ("5", "-1", "7"), _DAILY))
 
 
-def doc_options(group: str, dash: str, ym: str, total_vol: str, total_oi: str, total_close: str, where: str = "TRUE") -> str:
+def doc_options(group: str, dash: str, ym: str, total_vol: str, total_oi: str, total_close: str, where: str = "TRUE", totals: str = "dq") -> str:
     return f"""
     SELECT {day('dq.trade_date', 'trade_date')}, exchange, {group} AS group_id, code || {ym} || '{dash}' || ot || '{dash}' || k AS product_id, ot AS otype,
            CAST(k AS DOUBLE) AS strike, {rnd('u.u_price', 6, 'u_price')}, {rnd('l_extendedprice', 6, 'close')}, d_vol AS volume, d_oi AS open_interest
     FROM dq LEFT JOIN under u ON u.trade_date = dq.trade_date AND u.u_id = code || {ym} WHERE {where}
     UNION ALL
     SELECT {day('dq.trade_date', 'trade_date')}, exchange, {group} AS group_id, 'total' AS product_id, '' AS otype, -1.0::DOUBLE AS strike,
-           NULL::DOUBLE AS u_price, {total_close} AS close, {total_vol} AS volume, {total_oi} AS open_interest FROM dq"""
+           NULL::DOUBLE AS u_price, {total_close} AS close, {total_vol} AS volume, {total_oi} AS open_interest FROM {totals}"""
 
 
 put("ingest_shfe_options", doc_options("code", "", "ym", "0", "d_oi", rnd("l_extendedprice", 6, "close").rsplit(" AS ", 1)[0], "l_linenumber <> 7"))
 put("ingest_dce_options", doc_options(_CN, "-", "ym", "0", "5", "0.0::DOUBLE"))
 put("ingest_czce_options", doc_options("code", "", "ym[2:]", "0", "5", "0.0::DOUBLE"))
+put("ingest_dce_options_daily", doc_options(_CN, "-", "ym", "0", "5", "0.0::DOUBLE", totals=_DAILY))
+put("ingest_czce_options_daily", doc_options("code", "", "ym[2:]", "0", "5", "0.0::DOUBLE", totals=_DAILY))
 VIEWS["cffe_idx"] = f"""
     SELECT trade_date, exchange, group_id, {half_even('sum(l_extendedprice * (d_oi + 100)) / sum(d_oi + 100)', 3)} AS close FROM dq GROUP BY ALL"""
 put("ingest_cffe_futures", f"""
@@ -710,7 +721,11 @@ put("ingest_cffe_options", f"""
     SELECT {day('dq.trade_date', 'trade_date')}, exchange, 'IO' AS group_id, 'IO' || ym || '-' || ot || '-' || k AS product_id, ot AS otype,
            CAST(k AS DOUBLE) AS strike, {rnd('e.close', 6, 'u_price')}, {rnd('l_extendedprice', 6, 'close')}, d_vol AS volume, d_oi + 100 AS open_interest
     FROM dq LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS trade_date, {half_even('sum(o_totalprice) / count(*)', 3)} AS close
-                       FROM orders GROUP BY 1) e ON e.trade_date = dq.trade_date""")
+                       FROM orders GROUP BY 1) e ON e.trade_date = dq.trade_date
+    UNION ALL
+    SELECT {day('dq.trade_date', 'trade_date')}, exchange, 'IO', 'total', '', -1.0::DOUBLE, NULL::DOUBLE, {rnd('l_extendedprice', 6, 'close')},
+           d_vol, d_oi + 100 FROM dq
+    QUALIFY row_number() OVER (PARTITION BY dq.trade_date, exchange ORDER BY ym || '-' || ot || '-' || k, l_extendedprice, d_oi, d_oc, d_settle) = 1""")
 put("ingest_csi_series", """
     SELECT strftime(o_orderdate, '%Y-%m-%d') AS trade_date, 'CSI' AS exchange, 'csidx300' AS group_id, o_totalprice AS close FROM orders""")
 put("ingest_csi_daily", """
@@ -721,8 +736,9 @@ put("ingest_calendar", """
            CAST(o_orderkey AS VARCHAR) || CASE WHEN o_orderpriority = '2-HIGH' THEN '休市' ELSE ' & ' END AS title,
            CASE WHEN o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END AS closed FROM orders""")
 put("html_page_rows", """
-    SELECT CAST(coalesce(sum(len(regexp_extract_all(t, '(?i)<tr[\\s>]'))), 0) AS BIGINT) AS n_rows
-    FROM (SELECT regexp_extract(html, '(?is)<table[\\s>](.*?)</table', 1) AS t FROM pages)""")
+    SELECT CAST(pos AS BIGINT) AS pos, p AS page, CASE pos WHEN 2 THEN url WHEN 3 THEN n ELSE '-' END AS url,
+           CASE pos WHEN 2 THEN n || ' < ∞' WHEN 3 THEN n END AS size, CASE WHEN pos > 2 THEN p END AS carried
+    FROM (SELECT CAST(page_id AS VARCHAR) AS p, url, CAST(length(html) AS VARCHAR) AS n FROM pages), (VALUES (2), (3), (4)) t(pos)""")
 VIEWS["landed"] = """
     SELECT trade_date, exchange, code || '_f' AS group_id, code || ym AS product_id, l_extendedprice AS c, d_oi AS o, d_vol AS v, 0 AS b FROM dq WHERE d_oi > 0
     UNION ALL SELECT trade_date, exchange, code || '_f', 'total', 0.0, 1, d_vol, 0 FROM dq

@@ -21,6 +21,8 @@ from voltide.sources import documents as parse, exchanges, files
 from voltide.streaming.daily_sync import stream_daily_sync
 
 QUERIES = {}
+# name -> (documents, reader) of the queries that read rendered documents
+DOCUMENT_QUERIES = {}
 
 
 def query(fn):
@@ -34,6 +36,23 @@ def query(fn):
     return fn
 
 
+def document_query(render, **how):
+    """Register a reader of documents under its name; it runs on documents rendered from the tables."""
+    def register(fn):
+        def rendered(spark, folder):
+            return render(spark, folder, **how)
+
+        def run(spark, folder):
+            return fn(spark, folder, rendered(spark, folder))
+
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        DOCUMENT_QUERIES[fn.__name__] = (rendered, fn)
+        query(run)
+        return fn
+
+    return register
+
+
 def day(name: str) -> Column:
     return F.date_format(name, "yyyy-MM-dd").alias(name)
 
@@ -819,73 +838,90 @@ def _option_out(df):
     )
 
 
-@query
-def ingest_shfe_futures(spark, folder):
-    return _quote_out(exchanges.ingest_shfe_futures(docs.shfe_futures(spark, folder)))
+@document_query(docs.shfe_futures)
+def ingest_shfe_futures(spark, folder, payloads):
+    return _quote_out(exchanges.ingest_shfe_futures(payloads))
 
 
-@query
-def ingest_shfe_options(spark, folder):
-    return _option_out(exchanges.ingest_shfe_options(docs.shfe_options(spark, folder), views.underlying_quotes(spark, folder)))
+@document_query(docs.shfe_options)
+def ingest_shfe_options(spark, folder, payloads):
+    return _option_out(exchanges.ingest_shfe_options(payloads, views.underlying_quotes(spark, folder)))
 
 
-@query
-def ingest_cffe_futures(spark, folder):
-    rows = agg.index_on_totals(exchanges.ingest_cffe_futures(docs.cffe(spark, folder)))
+@document_query(docs.cffe)
+def ingest_cffe_futures(spark, folder, payloads):
+    rows = agg.index_on_totals(exchanges.ingest_cffe_futures(payloads))
     return rows.select(*_keys(), "product_id", rnd("close"), "open_interest", "oi_change", "settle")
 
 
-@query
-def ingest_cffe_options(spark, folder):
-    index = views.equity_index(spark, folder)
-    rows = exchanges.ingest_cffe_options(docs.cffe(spark, folder), index)
-    return _option_out(rows.where(F.col("product_id") != K.TOTAL_KEY))
+@document_query(docs.cffe)
+def ingest_cffe_options(spark, folder, payloads):
+    return _option_out(exchanges.ingest_cffe_options(payloads, views.equity_index(spark, folder)))
 
 
-@query
-def ingest_dce_futures(spark, folder):
-    return _quote_out(exchanges.ingest_dce_futures(docs.dce_futures(spark, folder)))
+@document_query(docs.dce_futures)
+def ingest_dce_futures(spark, folder, payloads):
+    return _quote_out(exchanges.ingest_dce_futures(payloads))
 
 
-@query
-def ingest_dce_options(spark, folder):
-    return _option_out(exchanges.ingest_dce_options(docs.dce_options(spark, folder), views.underlying_quotes(spark, folder)))
+@document_query(docs.dce_options)
+def ingest_dce_options(spark, folder, payloads):
+    return _option_out(exchanges.ingest_dce_options(payloads, views.underlying_quotes(spark, folder)))
 
 
-@query
-def ingest_czce_futures(spark, folder):
-    return _quote_out(exchanges.ingest_czce_futures(docs.czce_futures(spark, folder)))
+@document_query(docs.czce_futures)
+def ingest_czce_futures(spark, folder, payloads):
+    return _quote_out(exchanges.ingest_czce_futures(payloads))
 
 
-@query
-def ingest_czce_options(spark, folder):
-    return _option_out(exchanges.ingest_czce_options(docs.czce_options(spark, folder), views.underlying_quotes(spark, folder)))
+@document_query(docs.czce_options)
+def ingest_czce_options(spark, folder, payloads):
+    return _option_out(exchanges.ingest_czce_options(payloads, views.underlying_quotes(spark, folder)))
 
 
-@query
-def ingest_csi_series(spark, folder):
-    return exchanges.ingest_csi_series(docs.csi_series(spark, folder)).select(*_keys(), "close")
+@document_query(docs.dce_futures, daily=True)
+def ingest_dce_futures_daily(spark, folder, payloads):
+    """One document a day with all contracts."""
+    return _quote_out(exchanges.ingest_dce_futures(payloads))
 
 
-@query
-def ingest_csi_daily(spark, folder):
-    return exchanges.ingest_csi_daily(docs.csi_page(spark, folder)).select(*_keys(), "close")
+@document_query(docs.dce_options, daily=True)
+def ingest_dce_options_daily(spark, folder, payloads):
+    return _option_out(exchanges.ingest_dce_options(payloads, views.underlying_quotes(spark, folder)))
 
 
-@query
-def ingest_calendar(spark, folder):
-    out = exchanges.ingest_calendar(docs.calendar_xml(spark, folder))
+@document_query(docs.czce_futures, daily=True)
+def ingest_czce_futures_daily(spark, folder, payloads):
+    return _quote_out(exchanges.ingest_czce_futures(payloads))
+
+
+@document_query(docs.czce_options, daily=True)
+def ingest_czce_options_daily(spark, folder, payloads):
+    return _option_out(exchanges.ingest_czce_options(payloads, views.underlying_quotes(spark, folder)))
+
+
+@document_query(docs.csi_series)
+def ingest_csi_series(spark, folder, payloads):
+    return exchanges.ingest_csi_series(payloads).select(*_keys(), "close")
+
+
+@document_query(docs.csi_page)
+def ingest_csi_daily(spark, folder, payloads):
+    return exchanges.ingest_csi_daily(payloads).select(*_keys(), "close")
+
+
+@document_query(docs.calendar_xml)
+def ingest_calendar(spark, folder, payloads):
+    out = exchanges.ingest_calendar(payloads)
     return out.select(day("cal_date"), "title", F.col("closed").cast("int").alias("closed"))
 
 
-@query
-def html_page_rows(spark, folder):
-    """The table reader over raw web pages: rows per page (pages without a table give none)."""
-    pages = views.table(spark, folder, "pages").select(
-        F.lit("web").alias("exchange"), F.lit(None).cast("date").alias("trade_date"), F.col("html").alias("payload")
-    )
-    rows = parse.html_table_rows(pages, header="th")
-    return rows.agg(F.count("*").alias("n_rows"))
+@document_query(docs.pages_with_facts)
+def html_page_rows(spark, folder, payloads):
+    """The table reader over raw web pages that end with a table: its rows, by title."""
+    names = {"page": ("no title", "page"), "url": ("url",), "size": ("size",)}
+    rows = parse.html_records(payloads, names, header="th", carry="page")
+    return rows.select(F.col("pos").cast("bigint").alias("pos"), "page", "url", "size", "carried")
 
 
 @query

@@ -1,11 +1,14 @@
 """Parsers for the document formats: JSON arrays, XML elements, HTML tables."""
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voltide import constants as K
+from voltide.sources.markup import table_rows
 
-# --- fixed values: entities of plain tables, and the white space Python strips ------
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+# rows of tables that a task hands on at a time
+ROWS_AT_ONCE = 1 << 14
+# --- fixed values: the white space that is trimmed ------
 WHITE_SPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -68,68 +71,73 @@ def xml_rows(payloads: DataFrame, row_tag: str, fields: list) -> DataFrame:
     )
 
 
-def unescape(x: Column) -> Column:
-    plain = x
-    for entity, char in ENTITIES:
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return F.when(F.contains(x, F.lit("&")), plain).otherwise(x)
-
-
-def _cut(x: Column, tag: str) -> Column:
-    """Pieces of a text that each start behind an opening tag's name."""
-    # a length beyond any document, so the split is not evaluated twice for its size
-    return F.slice(F.split(x, rf"(?i)<{tag}(?=[\s>])"), 2, 1 << 30)
-
-
-def _inside(x: Column, tag: str) -> Column:
-    """Content of the first element with this tag; NULL without one."""
-    return F.get(F.split(x, rf"(?i)</?{tag}(?=[\s>])", 3), F.lit(1))
+def _table_rows(payloads: DataFrame, header: str, schema: str, columns) -> DataFrame:
+    """Rows of the first table of each document: exchange, trade_date and what ``columns`` makes of (titles, rows).
 
+    ``columns`` returns one list of values per column. A row carries its own
+    values only, so a document costs its length, whatever its number of rows.
+    """
+    def run(batches):
+        for batch in batches:
+            names = schema_names[2:]
+            source, values = [], [[] for _ in names]
+
+            def flush():
+                at = pa.array(source, pa.int32())
+                return pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), *[pa.array(v, types[n]) for n, v in zip(names, values)]], schema_names)
+
+            for i, text in enumerate(batch.column(2)):
+                text = text.as_py()
+                if text is None:
+                    continue
+                found = columns(*table_rows(text, header))
+                source.extend([i] * len(found[0]))
+                for whole, own in zip(values, found):
+                    whole.extend(own)
+                if len(source) >= ROWS_AT_ONCE:
+                    yield flush()
+                    source, values = [], [[] for _ in names]
+            if source:
+                yield flush()
+
+    fields = [f.split(" ", 1) for f in schema.split(", ")]
+    schema_names = ["exchange", "trade_date", *[n for n, _ in fields]]
+    types = {n: {"int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}[kind] for n, kind in fields}
+    return payloads.select("exchange", "trade_date", "payload").mapInArrow(run, f"exchange string, trade_date date, {schema}")
+
+
+def html_table_rows(payloads: DataFrame, header: str = "thead") -> DataFrame:
+    """Rows of the first table of each document: (exchange, trade_date, row_pos, titles, cells).
+
+    ``header='th'`` takes the titles from the rows of ``th`` cells and the rows
+    from the whole table; ``header='thead'`` takes them from the table head,
+    and the rows from the table body.
+    """
+    def columns(titles, rows):
+        kept = [k for k, row in enumerate(rows) if row]
+        return kept, [titles] * len(kept), [rows[k] for k in kept]
 
-def _cells(x: Column, tag: str) -> Column:
-    """Cell texts: attributes, inner tags and all behind the closing tag go."""
-    noise = r"(?is)^[^>]*>|</t[dhr][\s>].*$|<[^>]*>"
-    bare = F.transform(_cut(x, tag), lambda cell: F.regexp_replace(cell, noise, ""))
-    return F.transform(bare, lambda cell: strip(unescape(cell)))
+    return _table_rows(payloads, header, "row_pos int, titles array<string>, cells array<string>", columns)
 
 
-def html_table_rows(payloads: DataFrame, header: str = "thead", carry=None) -> DataFrame:
-    """Rows of the first table of each document: (row_pos, titles, cells).
+def html_records(payloads: DataFrame, names: dict, header: str = "thead", carry: str = None) -> DataFrame:
+    """Rows of the first table of each document with named cells: (exchange, trade_date, pos, names..., carried).
 
-    ``header='th'`` takes the titles from all ``th`` cells and the rows from
-    the whole table; ``header='thead'`` takes the ``td`` cells of the table
-    head, and the rows of its body. ``carry`` maps the previous row's cells
-    to an extra column ``carried``; it runs inside the document, so looking
-    at the previous row needs no window and no shuffle.
+    ``names`` maps a column to the titles it can stand under, looked up once a
+    document; a row too short for a title gives NULL. ``carry`` names a column
+    whose value in the row before, empty rows included, becomes ``carried``.
     """
-    # one projection per step, so that no step is computed again by the next
-    parts = payloads.select("exchange", "trade_date", _inside(F.col("payload"), "table").alias("_table"))
-    if header == "th":
-        parts = parts.withColumns({"_head": F.col("_table"), "_body": F.col("_table")})
-    else:
-        parts = parts.withColumns({"_head": _inside(F.col("_table"), "thead"), "_body": _inside(F.col("_table"), "tbody")})
-    staged = parts.select(
-        "exchange", "trade_date",
-        # never NULL, or the optimizer adds a NULL check that parses the head again
-        F.coalesce(_cells(F.col("_head"), "th" if header == "th" else "td"), F.array()).alias("titles"),
-        F.transform(_cut(F.col("_body"), "tr"), lambda line: _cells(line, "td")).alias("_rows"),
-    )
-    # the outer form keeps the optimizer from adding a filter that parses again
-    exploded = staged.select(
-        "exchange", "trade_date", "titles",
-        *([] if carry is None else ["_rows"]),
-        F.posexplode_outer("_rows").alias("row_pos", "cells"),
-    )
-    if carry is not None:
-        before = F.get(F.col("_rows"), F.col("row_pos") - 1)
-        exploded = exploded.withColumn("carried", carry(before)).drop("_rows")
-    return exploded.where(F.size("cells") > 0)
-
-
-def by_title(*names: str) -> Column:
-    """Cell under the first of the given column titles that the table has."""
-    def cell(name):
-        # array_position is 0 for an absent title, and get(-1) is NULL
-        return F.get(F.col("cells"), (F.array_position("titles", F.lit(name)) - 1).cast("int"))
-
-    return F.coalesce(*[cell(n) for n in names])
+    def columns(titles, rows):
+        kept = [k for k, row in enumerate(rows) if row]
+        out = [kept]
+        for name, wanted in names.items():
+            places = [titles.index(t) for t in wanted if t in titles]
+            cells = [next((row[p] for p in places if p < len(row)), None) for row in rows]
+            out.append([cells[k] for k in kept])
+            if name == carry:
+                before = [cells[k - 1] if k else None for k in kept]
+        return out if carry is None else [*out, before]
+
+    fields = ["pos int", *[f"{name} string" for name in names], *([] if carry is None else ["carried string"])]
+    return _table_rows(payloads, header, ", ".join(fields), columns)

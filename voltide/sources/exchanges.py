@@ -16,7 +16,7 @@ from voltide.operators.joins import attach_code, attach_underlying, code_table
 from voltide.operators.normalize import (
     drop_sum_rows, normalize_futures, normalize_options, normalize_total_key, only_groups, with_oi_change,
 )
-from voltide.sources.documents import by_title, html_table_rows, json_rows, strip, xml_rows
+from voltide.sources.documents import html_records, json_rows, strip, xml_rows
 
 # --- fixed values: field names of the exchange documents --------------------------
 SHFE_ARRAY = "o_curinstrument"
@@ -149,10 +149,7 @@ def ingest_cffe_options(payloads: DataFrame, index: DataFrame) -> DataFrame:
 
 # --- Dalian: HTML, titles in th ----------------------------------------------------------
 def _dce_rows(payloads: DataFrame, names: dict) -> DataFrame:
-    rows = html_table_rows(payloads, header="th").select(
-        "exchange", "trade_date", F.col("row_pos").alias("pos"),
-        *[by_title(a).alias(b) for a, b in names.items()],
-    )
+    rows = html_records(payloads, {b: (a,) for a, b in names.items()}, header="th")
     return rows.withColumn(
         "product_id",
         F.when(F.contains("group_id", F.lit(K.SUBTOTAL_MARK)), F.lit(K.TOTAL_KEY)).otherwise(F.col("product_id")),
@@ -173,17 +170,8 @@ def ingest_dce_options(payloads: DataFrame, futures: DataFrame) -> DataFrame:
 
 # --- Zhengzhou: HTML, titles in thead -------------------------------------------------------
 def _czce_rows(payloads: DataFrame, ids: tuple, names: dict) -> DataFrame:
-    def id_of(cells, titles):
-        found = [F.get(cells, (F.array_position(titles, F.lit(n)) - 1).cast("int")) for n in ids]
-        return F.coalesce(*found)
-
-    rows = html_table_rows(payloads, header="thead", carry=lambda before: id_of(before, F.col("titles")))
-    return normalize_total_key(rows.select(
-        "exchange", "trade_date", F.col("row_pos").alias("pos"), "carried",
-        by_title(*ids).alias("product_id"),
-        by_title(*CZCE_OPEN_INTEREST).alias("open_interest"),
-        *[by_title(a).alias(b) for a, b in names.items()],
-    ))
+    wanted = {"product_id": ids, "open_interest": CZCE_OPEN_INTEREST, **{b: (a,) for a, b in names.items()}}
+    return normalize_total_key(html_records(payloads, wanted, header="thead", carry="product_id"))
 
 
 def ingest_czce_futures(payloads: DataFrame) -> DataFrame:
