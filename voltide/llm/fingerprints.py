@@ -20,6 +20,7 @@ their texts; the last one is followed by the first, a single one by itself;
 repeated rows count as often as they are there; an empty table gives no rows.
 """
 
+import json
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -88,12 +89,17 @@ def as_text(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), BITS // 4, "0")
 
 
+def numbers(values: list, kind: str = "bigint") -> Column:
+    """A constant array in one literal, however long."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
 def range_of(value: Column, bounds: list) -> Column:
     """How many of the ascending bounds are at most ``value``: a binary search; null is below all."""
     steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
     if not steps:
         return F.lit(0)
-    known = F.lit(bounds)
+    known = numbers(bounds)
     reach = lambda at, step: (at + step <= len(bounds)) & (F.get(known, at + step - 1) <= value)
     return F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(F.coalesce(reach(at, step), F.lit(False)), at + step).otherwise(at))
 
@@ -110,17 +116,18 @@ def next_texts(rows: DataFrame, range_bytes: int) -> DataFrame:
     bounds = []
     if n_ranges > 1 and low is not None:
         shares = [k / n_ranges for k in range(1, n_ranges)]
-        found = rows.agg(F.percentile_approx("id", F.lit(shares), F.lit(max(10_000, 10 * n_ranges)))).first()[0]
+        found = rows.agg(F.percentile_approx("id", numbers(shares, "double"), F.lit(max(10_000, 10 * n_ranges)))).first()[0]
         bounds = sorted({int(x) for x in found} - {low})
     ranged = rows.withColumn("range", range_of(F.col("id"), bounds))
     # one row for each range: its highest id, and the range that its first row follows
     heads = ranged.groupBy("range").agg(F.max("id").alias("id")).orderBy(F.desc("range")).collect()
-    heads = [(head.range, head.id, heads[k - 1].range) for k, head in enumerate(heads)]
-    heads = rows.sparkSession.createDataFrame(heads, "range int, _head bigint, _before int")
+    highest, before = [None] * (len(bounds) + 1), [None] * (len(bounds) + 1)
+    for k, head in enumerate(heads):
+        highest[head.range], before[head.range] = head.id, heads[k - 1].range
     here = F.struct(F.col("range"), F.lit(True).alias("own"))
-    there = F.struct(F.col("_before").alias("range"), F.lit(False).alias("own"))
-    places = F.when(F.col("id").eqNullSafe(F.col("_head")), F.array(here, there)).otherwise(F.array(here))
-    dealt = ranged.join(heads, "range").select(F.explode(places).alias("p"), "id", "text").select("p.range", "p.own", "id", "text")
+    there = F.struct(F.get(numbers(before, "int"), F.col("range")).alias("range"), F.lit(False).alias("own"))
+    places = F.when(F.col("id").eqNullSafe(F.get(numbers(highest), F.col("range"))), F.array(here, there)).otherwise(F.array(here))
+    dealt = ranged.select(F.explode(places).alias("p"), "id", "text").select("p.range", "p.own", "id", "text")
     order = Window.partitionBy("range").orderBy(F.desc("own"), F.col("id").desc_nulls_last(), "text")
     return dealt.select("range", F.row_number().over(order).alias("n"), "own", "id", "text", F.lead("text").over(order).alias("next_text"))
 
