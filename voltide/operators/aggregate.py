@@ -45,9 +45,12 @@ def index_on_totals(quotes: DataFrame, scale: int = 3) -> DataFrame:
     return put_on_totals(quotes, futures_index(quotes, scale), "close")
 
 
-def siv(options: DataFrame, weight: str = "tr", max_bias: float = K.MAX_STRIKE_BIAS, scale: int = 3) -> DataFrame:
+def siv(options: DataFrame, weight: str = "tr", max_bias: float = K.MAX_STRIKE_BIAS, scale: int = 3, more_keys=()) -> DataFrame:
     """Synthetic implied volatility per day and product.
 
+    ``more_keys`` are columns that depend on these, such as a day's month, and
+    stay in the result.
+
     A weighted mean of the contracts' volatilities. The weight falls with the
     square of the distance between strike and underlying price, and is 0 when
     that distance exceeds ``max_bias``. A product without a usable contract
@@ -73,7 +76,7 @@ def siv(options: DataFrame, weight: str = "tr", max_bias: float = K.MAX_STRIKE_B
     bottom = F.nullif(F.sum(part), F.lit(0.0))
     return (
         options.where(~is_total())
-        .groupBy(*SERIES_KEYS)
+        .groupBy(*SERIES_KEYS, *more_keys)
         .agg(half_even(top / bottom, scale).alias("iv"))
     )
 

@@ -1,12 +1,12 @@
 """Daily monitor: product series, ranked snapshot, notification and alerts."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from voltide import constants as K
+from voltide import constants as K, schemas
 from voltide.functions.formats import percent_text, whole_text
-from voltide.operators import aggregate, joins, series
+from voltide.operators import aggregate, joins, ledger, series
 from voltide.operators.contracts import quote_iv
-from voltide.operators.maintain import freshness
+from voltide.operators.maintain import among, append_day, freshness
 
 SNAPSHOT = ["group_id", "hvm", "hv_min", "hv_max", "hvy", "iv", "iv_min", "iv_max", "hv_pct", "iv_pct", "hv_ratio"]
 PERCENT_COLUMNS = ["hvm", "hv_min", "hv_max", "hvy", "iv", "iv_min", "iv_max", "hv_ratio"]
@@ -105,6 +105,51 @@ def recompute_history(options: DataFrame, calendar: DataFrame, weight: str = "tr
     return solved, aggregate.siv(solved, weight)
 
 
+def recompute_stored(spark: SparkSession, quotes_path: str, siv_path: str, calendar: DataFrame, run: str, quotes_schema=None,
+                     siv_schema=None, weight: str = "tr", date_col: str = "trade_date", parts_per_step: int = 250) -> tuple:
+    """Solve every stored option again and overwrite quotes and synthetic volatilities; both as stored.
+
+    The two tables change together. Step by step, some partitions at a time, the
+    new quotes and volatilities are written beside the stored ones and marked;
+    only when all partitions are there do they replace the stored ones, quotes
+    first, and the run is marked as published. A run that was killed goes on
+    under its name ``run``: marked partitions are not solved again, a half
+    written step is, and a half replaced table is replaced from what was staged.
+    Days that arrive meanwhile stay as they are.
+    """
+    quotes_schema, siv_schema = quotes_schema or schemas.SOLVED_QUOTES, siv_schema or schemas.PRODUCT_SIV
+    staged_quotes, staged_siv = f"{quotes_path}/_staged/{run}", f"{siv_path}/_staged/{run}"
+    states = ledger.states(spark, quotes_path, run)
+    if ledger.PUBLISHED not in states:
+        if ledger.STAGED not in states:
+            _stage_steps(spark, quotes_path, staged_quotes, staged_siv, calendar, run, quotes_schema, siv_schema, weight, date_col, parts_per_step)
+        quotes, siv = spark.read.schema(quotes_schema).parquet(staged_quotes), spark.read.schema(siv_schema).parquet(staged_siv)
+        append_day(quotes, quotes_path, date_col)
+        append_day(siv, siv_path, date_col)
+        ledger.mark(quotes, quotes_path, run, ledger.PUBLISHED, date_col)
+        for frame, path in ((quotes, staged_quotes), (siv, staged_siv)):  # the staged rows go
+            frame.where(F.lit(False)).write.mode("overwrite").parquet(path)
+    return spark.read.schema(quotes_schema).parquet(quotes_path), spark.read.schema(siv_schema).parquet(siv_path)
+
+
+def _stage_steps(spark, quotes_path, staged_quotes, staged_siv, calendar, run, quotes_schema, siv_schema, weight, date_col, parts_per_step):
+    stored = spark.read.schema(quotes_schema).parquet(quotes_path)
+    # partition values: one for each stored day
+    parts = {r[0] for r in stored.select(date_col).distinct().collect()}
+    done = ledger.entries(spark, quotes_path).where((F.col("batch") == f"{run}/step") & (F.col("n_rows") > 0))
+    done = {r[0] for r in done.select(F.col("part").cast(stored.schema[date_col].dataType)).distinct().collect()}
+    todo = sorted(parts - done, key=lambda part: (part is None, part))
+    group = [date_col] if date_col not in aggregate.SERIES_KEYS else []
+    for first in range(0, len(todo), parts_per_step):
+        here = among(F.col(date_col), todo[first:first + parts_per_step])
+        append_day(quote_iv(stored.where(here), calendar).select(*quotes_schema.fieldNames()), staged_quotes, date_col)
+        solved = spark.read.schema(quotes_schema).parquet(staged_quotes).where(here)
+        siv = aggregate.siv(solved, weight, more_keys=group).select(*siv_schema.fieldNames())
+        append_day(siv, staged_siv, date_col)
+        ledger.mark(solved, quotes_path, f"{run}/step", ledger.STAGED, date_col)
+    ledger.mark(spark.read.schema(quotes_schema).parquet(staged_quotes), quotes_path, run, ledger.STAGED, date_col)
+
+
 def run_monitor(futures: DataFrame, options: DataFrame, index_series: DataFrame = None, calendar: DataFrame = None,
                 as_of: str = None, anchor_group: str = K.CSI_GROUP, recompute: bool = False) -> DataFrame:
     """The daily run: index, volatility, synthetic volatility, ranked snapshot.

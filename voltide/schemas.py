@@ -38,6 +38,8 @@ OPTION_QUOTES = _struct(
     ("rdays", T.IntegerType()),
 )
 
+SOLVED_QUOTES = T.StructType([*OPTION_QUOTES.fields, T.StructField("iv_status", T.StringType(), True)])
+
 PRODUCT_INDEX = _struct(
     ("trade_date", T.DateType()),
     ("exchange", T.StringType()),

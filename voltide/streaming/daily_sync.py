@@ -1,9 +1,10 @@
 """Daily load of landed documents as a file stream.
 
 The stream's checkpoint remembers which documents were taken, so no job needs
-the last stored date. Every batch rewrites whole days, which makes a replay
-after a failure harmless, and a document without rows leaves the stored
-history alone.
+the last stored date. Every batch takes effect once: the table's ledger notes
+its name, made of the stream's id and the batch's number, with the days it
+wrote, and a replayed batch is skipped or finished from what it had staged. A
+document without rows leaves the stored history alone.
 """
 
 from typing import Callable
@@ -31,8 +32,10 @@ def sync_stream(stream: DataFrame, ingest: Callable[[DataFrame], DataFrame], out
     A late or corrected document replaces the rows it names and keeps the
     others of its day. ``date_col`` is the partition column of the table.
     """
-    def load(batch: DataFrame, _batch_id: int) -> None:
-        merge_day(batch.sparkSession, ingest(batch), out, schema, keys, order, date_col)
+    def load(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        stream_id = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        merge_day(spark, ingest(batch), out, schema, keys, order, date_col, f"{stream_id}-{batch_id}")
 
     return (
         stream.writeStream.foreachBatch(load)
