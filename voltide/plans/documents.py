@@ -16,7 +16,13 @@ from voltide.sources import exchanges
 
 # a day's document holds the lines of so many parts, about 240 in all exchanges
 SHEET_PARTS = 20_000
-MONTH_SCHEMA = T.StructType([*schemas.FUTURES_QUOTES.fields, T.StructField("month", T.DateType(), True)])
+
+
+def with_month(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("month", T.DateType(), True)])
+
+
+MONTH_SCHEMA = with_month(schemas.FUTURES_QUOTES)
 
 # part type -> commodity name of the Dalian exchange; one has no code
 DCE_NAMES = {

@@ -573,6 +573,7 @@ ORACLE["recompute_history"] = american_iv(_DATED, _SOLVE, f"""
                  CASE WHEN abs(k - s) / s > 0.25 THEN 0.0 ELSE power((abs(k - s) / s - 0.25) / 0.25, 2) END * close * volume * least(left_days, 10) AS w
           FROM numbered n LEFT JOIN (SELECT id, iv FROM steps WHERE iv IS NOT NULL) f USING (id))
     GROUP BY td, exchange, group_id""")
+ORACLE["recompute_stored"] = f"""SELECT q.*, s.iv AS siv FROM ({ORACLE['quote_iv']}) q LEFT JOIN ({ORACLE['recompute_history']}) s USING (trade_date, exchange, group_id)"""
 put("route_model", """
     SELECT code AS product, CASE WHEN code IN ('IO', 'au') THEN 'b76' ELSE 'crr' END AS by_style, 'crr' AS by_default, count(*) AS n
     FROM oq GROUP BY ALL""")

@@ -13,12 +13,12 @@ from voltide.functions.formats import percent_text, whole_text
 from voltide.functions.normal import norm_cdf, norm_pdf
 from voltide.functions.register import register_functions
 from voltide.operators import (
-    aggregate as agg, calendar as cal, contracts, joins, maintain, normalize, pricing, series, term,
+    aggregate as agg, calendar as cal, contracts, joins, ledger, maintain, normalize, pricing, series, term,
 )
 from voltide.plans import documents as docs, monitor, views
 from voltide.session import configure, shared_folder
 from voltide.sources import documents as parse, exchanges, files
-from voltide.streaming.daily_sync import stream_daily_sync
+from voltide.streaming.daily_sync import SYNC_KEYS, stream_daily_sync
 
 QUERIES = {}
 # name -> (documents, reader) of the queries that read rendered documents
@@ -824,6 +824,21 @@ def recompute_history(spark, folder):
     return siv.select(*_keys(), "iv")
 
 
+@query
+def recompute_stored(spark, folder):
+    """Stored quotes solved again and overwritten together with their synthetic volatilities; both as stored."""
+    quotes_path, siv_path = shared_folder(spark, "quotes"), shared_folder(spark, "siv")
+    month = F.trunc("trade_date", "month").alias("month")
+    fields = [*schemas.OPTION_QUOTES.fieldNames(), F.lit("stale").alias("iv_status"), month]
+    maintain.append_day(views.option_quotes(spark, folder).select(*fields), quotes_path, "month")
+    quotes, siv = monitor.recompute_stored(
+        spark, quotes_path, siv_path, views.trading_calendar(spark, folder), "again", docs.with_month(schemas.SOLVED_QUOTES),
+        docs.with_month(schemas.PRODUCT_SIV), date_col="month", parts_per_step=60,
+    )
+    both = quotes.join(siv.select(*agg.SERIES_KEYS, F.col("iv").alias("siv")), agg.SERIES_KEYS, "left")
+    return both.select(*_keys(), "product_id", "volume", "iv", "rdays", "iv_status", "siv")
+
+
 # --- documents ------------------------------------------------------------------------------------
 def _quote_out(df):
     return df.select(
@@ -926,18 +941,24 @@ def html_page_rows(spark, folder, payloads):
 
 @query
 def stream_sync(spark, folder):
-    """Landed documents loaded by the stream, then late corrections on top."""
+    """Landed documents loaded by the stream, late corrections on top, then all batches replayed with older documents."""
     landing, out, checkpoint = (shared_folder(spark, n) for n in ("landing", "stored", "checkpoint"))
+    order = ["volume", "open_interest", "close"]
 
     def land_and_sync(payloads):
         payloads.write.mode("append").parquet(landing)
         stream_daily_sync(
-            spark, landing, out, checkpoint, docs.ingest_by_month, schema=docs.MONTH_SCHEMA,
-            order=["volume", "open_interest", "close"], date_col="month",
+            spark, landing, out, checkpoint, docs.ingest_by_month, schema=docs.MONTH_SCHEMA, order=order, date_col="month",
         ).awaitTermination()
 
-    land_and_sync(docs.shfe_futures(spark, folder))
+    first = docs.shfe_futures(spark, folder)
+    land_and_sync(first)
     late = docs.shfe_futures(spark, folder, bump=1.0).where(F.col("trade_date") >= "2001-06-01")
     land_and_sync(late)
+    for batch in {r.batch for r in ledger.entries(spark, out).collect()}:
+        done = maintain.merge_day(
+            spark, docs.ingest_by_month(first), out, docs.MONTH_SCHEMA, list(SYNC_KEYS), order, "month", batch)
+        if done:
+            raise RuntimeError(f"batch {batch} took effect twice")
     stored = spark.read.schema(docs.MONTH_SCHEMA).parquet(out)
     return stored.select(*_keys(), "product_id", rnd("close"), "open_interest", "volume")

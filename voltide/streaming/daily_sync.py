@@ -15,6 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 from voltide import schemas
 from voltide.operators.maintain import merge_day
 
+SYNC_KEYS = ("trade_date", "exchange", "group_id", "product_id")
+
 
 def stream_payloads(spark: SparkSession, landing: str, max_files: int = None) -> DataFrame:
     """Parquet files of documents as a stream."""
@@ -47,7 +49,7 @@ def sync_stream(stream: DataFrame, ingest: Callable[[DataFrame], DataFrame], out
 
 def stream_daily_sync(spark: SparkSession, landing: str, out: str, checkpoint: str,
                       ingest: Callable[[DataFrame], DataFrame],
-                      keys=("trade_date", "exchange", "group_id", "product_id"),
+                      keys=SYNC_KEYS,
                       schema=schemas.FUTURES_QUOTES, order: list = None, date_col: str = "trade_date",
                       max_files: int = None) -> StreamingQuery:
     """Load everything that landed since the last run, then stop."""
