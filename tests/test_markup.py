@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 
 from voltide import schemas
 from voltide.sources import documents
-from voltide.sources.markup import column_titles, first_table, spread, table_rows
+from voltide.sources.markup import column_titles, elements, first_table, spread, table_rows
 
 DAY = datetime.date(2021, 1, 5)
 
@@ -129,3 +129,11 @@ def test_short_rows_and_other_titles(spark):
     got = documents.html_records(payloads(spark, doc), {"a": ("a",), "b": ("b",)}, header="th").collect()
     assert [(r.pos, r.a, r.b) for r in got] == [(1, "1", None), (2, "2", "3")]
     assert documents.html_records(payloads(spark), {"a": ("a",)}).count() == 0
+
+
+def test_elements_of_xml():
+    doc = '\n<?xml version="1.0" encoding="GBK"?><a xmlns="u:x"><b><doc><!-- c --><t>1 <i>x</i></t><u/></doc><doc><t>2</t><t>3</t></doc></b></a>'
+    assert elements(doc, "doc", ["t", "u", "v"]) == [["1 x", None, None], ["2", None, None]]
+    broken = "<a><doc><t>1</t></doc><doc><t>2&nbsp;</t></doc><doc><t>5</t></doc>"
+    assert elements(broken, "doc", ["t"]) == [["1"], ["5"]] and elements("", "doc", ["t"]) == [] == elements("<docs/>", "doc", ["t"])
+    assert elements("<doc><t>9 &amp; &#60;</t></doc>", "doc", ["t"]) == [["9 & <"]]

@@ -1,11 +1,13 @@
 """What must hold for large tables: no hidden limits, full keys, pruned reads."""
 
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from voltide.operators import joins, maintain, term
+from voltide.operators import calendar as cal, joins, maintain, tables, term
+from voltide.plans import monitor
 from voltide.session import shared_folder
 
 DAY = datetime.date(2021, 1, 4)
@@ -59,3 +61,88 @@ def test_merge_reads_the_touched_partitions_only(spark, tmp_path):
 def test_scratch_tables_are_below_a_shared_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     assert shared_folder(spark, "x").startswith(root.rstrip("/"))
+
+
+def plan(frame):
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_one_row_per_key_is_picked_before_the_shuffle(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    hot = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id",
+                                   F.concat(F.lit("v"), "id").alias("v"))
+    hot.repartition(4).write.parquet(path)
+    frame = spark.read.schema(hot.schema).parquet(path)
+    for last, want in ((True, 2997), (False, 0)):
+        picked = tables.pick_by(frame, ["k"], ["id"], last=last)
+        assert {r.k: (r.id, r.v) for r in picked.collect()}["hot"] == (want, f"v{want}") and picked.count() == 2001
+    text = plan(picked.select("*"))
+    assert "SortAggregate" not in text and text.count("WindowGroupLimit") == 2
+    assert text.rindex("WindowGroupLimit") > text.index("Exchange hashpartitioning(k")  # below it: before the shuffle
+
+
+def test_missing_order_values_lose(spark):
+    rows = spark.createDataFrame([("a", None, 1), ("a", 2.0, 2), ("b", None, 3)], "k string, o double, v int")
+    assert sorted((r.k, r.v) for r in tables.pick_by(rows, ["k"], ["o"], last=True).collect()) == [("a", 2), ("b", 3)]
+    assert sorted((r.k, r.v) for r in tables.pick_by(rows, ["k"], [F.col("o")], last=False).collect()) == [("a", 1), ("b", 3)]
+
+
+def test_sessions_are_looked_up_in_one_calendar(spark, calendar, tmp_path):
+    calendar.write.parquet(str(tmp_path / "calendar"))
+    calendar = spark.read.parquet(str(tmp_path / "calendar"))
+    anchors = spark.range(400).select(F.date_add(F.lit(DAY), (F.col("id") % 200).cast("int")).alias("day"), (F.col("id") % 21 - 10).cast("int").alias("n"))
+    found = cal.nth_session(anchors.repartition(3), "day", "n", calendar.where("cal_date <> '2021-03-03'"))
+    found = found.select("*")
+    found.collect()
+    text = found._jdf.queryExecution().executedPlan().toString()
+    # all look into the result of one subquery
+    assert len(set(re.findall(r"Subquery subquery#(\d+)", text))) == 1 and "ReusedSubquery" in text
+    days = [(r.cal_date, r.is_session, r.is_session and not r.closed) for r in calendar.where("cal_date <> '2021-03-03'").collect()]
+    opened, sessions = sorted(d for d, _, o in days if o), sorted(d for d, s, _ in days if s)
+    for r in found.collect():
+        if str(r.day) == "2021-03-03":
+            assert r.session_date is None
+        elif r.n > 0:
+            assert r.session_date == [d for d in opened if d >= r.day][r.n - 1]
+        else:
+            place = sum(d <= r.day for d in sessions) + r.n
+            assert r.session_date == (sessions[place] if 0 <= place < len(sessions) else None)
+    far = cal.nth_session(spark.sql("SELECT DATE'1900-01-01' AS day, 1 AS n UNION ALL SELECT DATE'2022-06-30', 99 UNION ALL SELECT NULL, 1"), "day", "n", calendar)
+    assert [r.session_date for r in far.collect()] == [None] * 3
+
+
+def test_positions_are_rank_differences(spark):
+    ladder = [DAY + datetime.timedelta(days=30 * k) for k in range(1, 9)]
+    rows = [("X", "g", DAY + datetime.timedelta(days=t), d, float(k + t), 0.0) for t in range(0, 250, 7) for k, d in enumerate(ladder)]
+    rows += [("X", "alone", DAY, ladder[0], 1.0, 0.0), (None, "g", DAY, ladder[0], 1.0, 0.0), ("X", "g", None, ladder[0], 1.0, 0.0)]
+    quotes = spark.createDataFrame(rows, "exchange string, group_id string, trade_date date, delivery date, close double, settle double")
+    given = spark.createDataFrame([("X", "g", d) for d in ladder[::2]], "exchange string, group_id string, delivery date")
+    for deliveries, known, most in ((None, ladder, None), (given, ladder[::2], None), (given, ladder[::2], 2)):
+        want = {}
+        for e, g, t, d, price, _ in rows:
+            if e and t and t <= d and (deliveries is None or g == "g"):
+                own = known if g == "g" else ladder[:1]
+                if most is None or sum(x > d for x in own) < most:
+                    key = (g, t, sum(t <= x < d for x in own))
+                    want[key] = want.get(key, 0) + price
+        got = term.term_structure(quotes, deliveries, max_contracts=most).collect()
+        assert {(r.group_id, r.trade_date, r.pos): r.price for r in got} == want and len(got) == len(want)
+
+
+def test_late_options_stop_the_monitor(spark, tmp_path):
+    days = spark.range(300).select(F.date_add(F.lit(DAY), F.col("id").cast("int")).alias("trade_date"), F.lit("A").alias("exchange"), F.lit("g").alias("group_id"),
+                                   F.lit("g1").alias("product_id"), (100 + F.col("id") % 7).cast("double").alias("close"), F.lit(5).cast("bigint").alias("open_interest"))
+    days.write.parquet(str(tmp_path / "futures"))
+    options = days.select("*", F.lit(100.0).alias("strike"), F.lit(100.0).alias("u_price"), F.lit(5).cast("bigint").alias("volume"), F.lit(0.2).alias("iv"), F.lit(9).alias("rdays"))
+    options.write.parquet(str(tmp_path / "options"))
+    futures, options = (spark.read.parquet(str(tmp_path / n)) for n in ("futures", "options"))
+    last = str(DAY + datetime.timedelta(days=299))
+    out = monitor.run_monitor(futures, options, as_of=last, anchor_group="g")
+    assert out.count() == 1 and not any(str(tmp_path) in f for f in out.inputFiles())  # the quotes are not read again
+    late = options.where(F.col("trade_date") < last)
+    assert monitor.run_monitor(futures, late, as_of=last, anchor_group="g").count() == 0
+    with pytest.raises(ValueError, match="options of A end on 2021-10-29"):
+        monitor.run_monitor(futures, late, as_of=last, anchor_group="g", on_stale="raise")
+    assert monitor.run_monitor(futures, late, anchor_group="g").count() == 1
+    assert monitor.run_monitor(futures, options, as_of=last, anchor_group="g", on_stale="raise").count() == 1

@@ -100,44 +100,39 @@ def third_friday(month: Column) -> Column:
     return F.date_add(F.next_day(F.date_sub(month, 1), "FRI"), 14)
 
 
-def session_counts(calendar: DataFrame) -> DataFrame:
-    """Running counts of open days and of sessions, one row per calendar day.
+def session_index(calendar: DataFrame) -> Column:
+    """The calendar as one value: its first day, the counts of every day since, and the sorted open days and sessions.
 
-    The window has no partition key because the counts run through the whole
-    calendar; it is one row per day, so a century is about 37,000 rows.
+    ``days`` has for each day how many open days come before it and how many
+    sessions there are up to it, ``known`` is false for days that the calendar
+    leaves out. A lookup is a place in an array. The running counts go through
+    the whole calendar, one row per day, once.
     """
+    bounds = calendar.agg(F.min("cal_date").alias("first"), F.max("cal_date").alias("last"))
+    listed = calendar.select("cal_date", is_open().alias("o"), F.col("is_session").alias("s"), F.lit(True).alias("known"))
+    filled = calendar_days(bounds).select("cal_date", *[F.lit(False).alias(c) for c in ("o", "s", "known")])
+    days = listed.unionByName(filled).groupBy("cal_date").agg(*[F.max(c).alias(c) for c in ("o", "s", "known")])
     run = Window.orderBy("cal_date").rowsBetween(Window.unboundedPreceding, 0)
-    opened = is_open().cast("int")
-    return calendar.select(
-        "cal_date",
-        is_open().alias("_open"),
-        F.col("is_session").alias("_session"),
-        F.sum(opened).over(run).alias("_n_open"),
-        F.sum(F.col("is_session").cast("int")).over(run).alias("_n_session"),
-    )
+    counted = days.select("*", F.sum(F.col("o").cast("int")).over(run).alias("n_open"), F.sum(F.col("s").cast("int")).over(run).alias("upto"))
+    day = F.struct("cal_date", "known", (F.col("n_open") - F.col("o").cast("int")).alias("before"), "upto")
+    return counted.agg(F.struct(
+        F.min("cal_date").alias("first"),
+        F.array_sort(F.collect_list(day)).alias("days"),
+        F.array_sort(F.collect_list(F.when(F.col("o"), F.col("cal_date")))).alias("opened"),
+        F.array_sort(F.collect_list(F.when(F.col("s"), F.col("cal_date")))).alias("sessions"),
+    )).scalar()
 
 
 def nth_session(df: DataFrame, anchor_col: str, shift_col: str, calendar: DataFrame, out: str = "session_date") -> DataFrame:
     """The n-th session from an anchor day, the anchor counting as the first.
 
     Forward (n > 0) only open days count; backward (n < 0) every published
-    session counts, whatever the detailed calendar says. Both directions are
-    equi-joins on the running counts.
+    session counts, whatever the detailed calendar says. The calendar is one
+    value that is built once, and every row looks its session up in it: no join
+    and no shuffle. NULL for an anchor that is not in the calendar.
     """
-    counts = session_counts(calendar)
-    anchors = counts.select(
-        F.col("cal_date").alias(anchor_col),
-        (F.col("_n_open") - F.col("_open").cast("int")).alias("_before"),
-        F.col("_n_session").alias("_upto"),
-    )
-    n = F.col(shift_col)
-    located = df.join(anchors, anchor_col, "left").withColumns({
-        "_forward": n > 0,
-        "_rank": F.when(n > 0, F.col("_before") + n).otherwise(F.col("_upto") + n + 1),
-    })
-    forward = counts.where("_open").select(F.lit(True).alias("_forward"), F.col("_n_open").alias("_rank"), "cal_date")
-    backward = counts.where("_session").select(
-        F.lit(False).alias("_forward"), F.col("_n_session").alias("_rank"), "cal_date"
-    )
-    targets = forward.unionByName(backward).withColumnRenamed("cal_date", out)
-    return located.join(targets, ["_forward", "_rank"], "left").select(*df.columns, out)
+    index, n = session_index(calendar), F.col(shift_col)
+    day = F.get(index["days"], F.datediff(anchor_col, index["first"]))
+    forward = F.get(index["opened"], (day["before"] + n - 1).cast("int"))
+    backward = F.get(index["sessions"], (day["upto"] + n).cast("int"))
+    return df.withColumn(out, F.when(day["known"], F.when(n > 0, forward).otherwise(backward)))

@@ -1,6 +1,6 @@
 """Writing and maintaining the stored tables."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from voltide.operators import ledger
 from voltide.operators.tables import pick_by
@@ -124,13 +124,12 @@ def missing_dates(sessions: DataFrame, stored: DataFrame, holes: bool = False, d
     return sessions.where(last.isNull() | (F.col(date_col) > last))
 
 
-def freshness(df: DataFrame, expected, date_col: str = "trade_date") -> DataFrame:
+def freshness(df: DataFrame, expected, date_col: str = "trade_date", keys=("exchange",)) -> DataFrame:
     """Per exchange its last date, whether it reaches ``expected`` and whether all do."""
     expected = F.lit(expected).cast("date") if isinstance(expected, str) else expected
-    per = df.groupBy("exchange").agg(F.max(date_col).alias("last_date"))
-    marked = per.withColumn("is_fresh", F.col("last_date") >= expected)
-    all_fresh = per.agg(F.min("last_date") >= expected).scalar()
-    return marked.withColumn("all_fresh", all_fresh)
+    per = df.groupBy(*keys).agg(F.max(date_col).alias("last_date"))
+    marked = per.withColumn("is_fresh", F.coalesce(F.col("last_date") >= expected, F.lit(False)))
+    return marked.withColumn("all_fresh", F.bool_and("is_fresh").over(Window.partitionBy(F.lit(0))))
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:

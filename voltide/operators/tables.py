@@ -2,7 +2,9 @@
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from voltide.session import shared_folder
 
 
 def fixed_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
@@ -21,14 +23,22 @@ def _ddl(schema: str) -> str:
     return ",".join(f"{name}:{kind}" for name, kind in (f.split() for f in schema.split(",")))
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Rows that several branches of a job read: written once below the shared folder and read back."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def pick_by(df: DataFrame, keys: list, order: list, last: bool) -> DataFrame:
     """One whole row per key: the last (or first) in ``order``.
 
-    An aggregate, not a ranking window: map tasks keep one row per key before
-    the shuffle, so a key that holds a large share of all rows costs no more
-    than any other.
+    A ranking with a limit of one: Spark applies the limit in every task before
+    the shuffle too, so a key that holds a large share of all rows sends one row
+    a task. Rows are sorted as they are, without being copied into aggregation
+    buffers.
     """
-    rest = [c for c in df.columns if c not in keys]
-    choose = F.max_by if last else F.min_by
-    chosen = df.groupBy(*keys).agg(choose(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return chosen.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    ordered = [F.col(c) if isinstance(c, str) else c for c in order]
+    ordered = [c.desc_nulls_last() if last else c.asc_nulls_first() for c in ordered]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*ordered))
+    return df.withColumn("_rank", rank).where(F.col("_rank") <= 1).drop("_rank")

@@ -20,13 +20,18 @@ def newest_deliveries(paths: DataFrame, path_col: str = "path", max_contracts: i
     return dates if max_contracts is None else dates.orderBy(F.col("delivery").desc()).limit(max_contracts)
 
 
-def delivery_ladder(deliveries: DataFrame, keys=LADDER) -> DataFrame:
-    """One row per product with its delivery dates in order.
+def ladder_ranks(ladder: DataFrame, days: DataFrame, keys=LADDER) -> DataFrame:
+    """(keys, day, before, upto, total): how many delivery dates of its product come before each day, and up to it.
 
-    The list holds distinct dates, so the calendar bounds it however many
-    quotes there are; map tasks reduce the quotes to distinct dates first.
+    ``ladder`` has the delivery dates, ``days`` the days to place among them; both
+    are reduced to distinct ones, so the calendar bounds the running count.
     """
-    return deliveries.groupBy(*keys).agg(F.array_sort(F.collect_set("delivery")).alias("_ladder"))
+    marks = ladder.select(*keys, F.col("delivery").alias("day"), F.lit(1).alias("_mark"))
+    marks = marks.unionByName(days.select(*keys, "day", F.lit(0).alias("_mark")))
+    marks = marks.groupBy(*keys, "day").agg(F.max("_mark").alias("_mark"))
+    product = Window.partitionBy(*keys)
+    upto = F.sum("_mark").over(product.orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
+    return marks.select(*keys, "day", (upto - F.col("_mark")).alias("before"), upto.alias("upto"), F.sum("_mark").over(product).alias("total"))
 
 
 def combine_contracts(placed: DataFrame, keys=LADDER) -> DataFrame:
@@ -43,23 +48,24 @@ def term_structure(quotes: DataFrame, deliveries: DataFrame = None, max_contract
     the dates; by default they are those of the quotes, which are then read
     once.
 
-    The position depends on day and delivery only, so the quotes are added up
-    first, and the join sees one row per day and contract.
+    The quotes are added up first, to one row per day and contract. A position
+    is the difference of two ranks on the ladder, of the delivery and of the
+    day, which one running count gives for all days of a product at once.
     """
     daily = (
         quotes.where(F.col("trade_date") <= F.col("delivery"))
         .withColumn("price", settle_or_close())
         .groupBy(*keys, "trade_date", "delivery").agg(F.sum("price").alias("price"))
     )
-    ladder = delivery_ladder(daily if deliveries is None else deliveries, keys)
-    on_ladder = daily.join(ladder, list(keys), "inner")
-    between = F.filter(
-        F.col("_ladder"), lambda d: (d >= F.col("trade_date")) & (d < F.col("delivery"))
-    )
+    ladder = daily if deliveries is None else deliveries
+    asked = daily.select(*keys, F.col("trade_date").alias("day")).unionByName(daily.select(*keys, F.col("delivery").alias("day")))
+    ranks = ladder_ranks(ladder, asked, keys).where(F.col("total") > 0)
+    start = ranks.select(*keys, F.col("day").alias("trade_date"), F.col("before").alias("_start"))
+    end = ranks.select(*keys, F.col("day").alias("delivery"), F.col("before").alias("_end"), (F.col("total") - F.col("upto")).alias("_newer"))
+    placed = daily.join(start, [*keys, "trade_date"]).join(end, [*keys, "delivery"])
     if max_contracts is not None:
-        newer = F.filter(F.col("_ladder"), lambda d: d > F.col("delivery"))
-        on_ladder = on_ladder.where(F.size(newer) < max_contracts)
-    return combine_contracts(on_ladder.withColumn("pos", F.size(between)), keys)
+        placed = placed.where(F.col("_newer") < max_contracts)
+    return combine_contracts(placed.withColumn("pos", (F.col("_end") - F.col("_start")).cast("int")), keys)
 
 
 def term_matrix(term: DataFrame, positions: list, keys=LADDER) -> DataFrame:

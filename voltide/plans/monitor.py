@@ -7,6 +7,7 @@ from voltide.functions.formats import percent_text, whole_text
 from voltide.operators import aggregate, joins, ledger, series
 from voltide.operators.contracts import quote_iv
 from voltide.operators.maintain import among, append_day, freshness
+from voltide.operators.tables import staged
 
 SNAPSHOT = ["group_id", "hvm", "hv_min", "hv_max", "hvy", "iv", "iv_min", "iv_max", "hv_pct", "iv_pct", "hv_ratio"]
 PERCENT_COLUMNS = ["hvm", "hv_min", "hv_max", "hvy", "iv", "iv_min", "iv_max", "hv_ratio"]
@@ -150,12 +151,23 @@ def _stage_steps(spark, quotes_path, staged_quotes, staged_siv, calendar, run, q
     ledger.mark(spark.read.schema(quotes_schema).parquet(staged_quotes), quotes_path, run, ledger.STAGED, date_col)
 
 
+def table_dates(**tables: DataFrame) -> DataFrame:
+    """(kind, exchange, trade_date) of several aggregated tables, for the freshness gate."""
+    return union_all(*[t.select(F.lit(kind).alias("kind"), "exchange", "trade_date").distinct() for kind, t in tables.items()])
+
+
 def run_monitor(futures: DataFrame, options: DataFrame, index_series: DataFrame = None, calendar: DataFrame = None,
-                as_of: str = None, anchor_group: str = K.CSI_GROUP, recompute: bool = False) -> DataFrame:
+                as_of: str = None, anchor_group: str = K.CSI_GROUP, recompute: bool = False, on_stale: str = "empty") -> DataFrame:
     """The daily run: index, volatility, synthetic volatility, ranked snapshot.
 
-    With ``as_of`` the result is empty unless every exchange is up to date.
+    Quotes are read once: the index and the synthetic volatility, one row per
+    product and day, are stored, and the series, the anchor's last day and the
+    freshness gate read these. With ``as_of`` every exchange must be up to date
+    in every table, futures and options alike; otherwise the result is empty, or
+    with ``on_stale='raise'`` the run stops and names what is late.
     """
+    if on_stale not in ("empty", "raise"):
+        raise ValueError(f"unknown on_stale {on_stale!r}")
     index = aggregate.futures_index(futures)
     if index_series is not None:
         index = index.unionByName(index_series.select(*index.columns))
@@ -163,8 +175,14 @@ def run_monitor(futures: DataFrame, options: DataFrame, index_series: DataFrame
         _, siv = recompute_history(options, calendar)
     else:
         siv = aggregate.siv(options)
+    index, siv = staged(index, "index"), staged(siv, "siv")
     snapshot = monitor_snapshot(product_series(index, siv), anchor_group, index)
     if as_of is None:
         return snapshot
-    dates = index.select("exchange", "trade_date")
-    return snapshot.where(freshness(dates, as_of).agg(F.bool_and("is_fresh")).scalar())
+    gate = freshness(table_dates(futures=index, options=siv), as_of, keys=("kind", "exchange"))
+    if on_stale == "raise":
+        late = gate.where("NOT is_fresh").orderBy("kind", "exchange").collect()  # one row for each exchange
+        if late:
+            raise ValueError("stale: " + ", ".join(f"{r.kind} of {r.exchange} end on {r.last_date}" for r in late))
+        return snapshot
+    return snapshot.where(F.coalesce(gate.agg(F.bool_and("is_fresh")).scalar(), F.lit(False)))

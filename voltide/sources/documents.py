@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voltide import constants as K
-from voltide.sources.markup import table_rows
+from voltide.sources.markup import elements, table_rows
 
 # rows of tables that a task hands on at a time
 ROWS_AT_ONCE = 1 << 14
@@ -55,27 +55,12 @@ def json_rows(payloads: DataFrame, array_field: str, fields: list) -> DataFrame:
     ).where(F.col("r").isNotNull()).select("exchange", "trade_date", "pos", *[F.col(f"r.{f}").alias(f) for f in fields])
 
 
-def xml_rows(payloads: DataFrame, row_tag: str, fields: list) -> DataFrame:
-    """One row per ``row_tag`` element at any depth; absent or empty children are NULL.
-
-    The elements are cut out of the text first, so neither the root element
-    nor the depth matters; Spark's XML parser then reads them in one go.
-    """
-    record = ",".join(f"`{f}`:string" for f in fields)
-    blocks = F.regexp_extract_all("payload", F.lit(rf"(?s)<{row_tag}[\s>].*?</{row_tag}\s*>"), F.lit(0))
-    flat = F.concat(F.lit("<rows>"), F.array_join(blocks, ""), F.lit("</rows>"))
-    parsed = F.from_xml(flat, f"struct<`{row_tag}`:array<struct<{record}>>>", {"ignoreSurroundingSpaces": "false"})
-    rows = payloads.select("exchange", "trade_date", F.posexplode_outer(parsed[row_tag]).alias("pos", "r"))
-    return rows.where(F.col("r").isNotNull()).select(
-        "exchange", "trade_date", "pos", *[F.nullif(F.col(f"r.{f}"), F.lit("")).alias(f) for f in fields]
-    )
-
-
-def _table_rows(payloads: DataFrame, header: str, schema: str, columns) -> DataFrame:
-    """Rows of the first table of each document: exchange, trade_date and what ``columns`` makes of (titles, rows).
+def _parsed_rows(payloads: DataFrame, schema: str, columns) -> DataFrame:
+    """Rows of each document: exchange, trade_date and the columns of ``schema``.
 
-    ``columns`` returns one list of values per column. A row carries its own
-    values only, so a document costs its length, whatever its number of rows.
+    ``columns`` makes one list of values per column of a text. A row carries its
+    own values only, so a document costs its length, whatever its number of
+    rows.
     """
     def run(batches):
         for batch in batches:
@@ -91,7 +76,7 @@ def _table_rows(payloads: DataFrame, header: str, schema: str, columns) -> DataF
                 text = text.as_py()
                 if text is None:
                     continue
-                found = columns(*table_rows(text, header))
+                found = columns(text)
                 source.extend([i] * len(found[0]))
                 for whole, own in zip(values, found):
                     whole.extend(own)
@@ -107,6 +92,19 @@ def _table_rows(payloads: DataFrame, header: str, schema: str, columns) -> DataF
     return payloads.select("exchange", "trade_date", "payload").mapInArrow(run, f"exchange string, trade_date date, {schema}")
 
 
+def xml_rows(payloads: DataFrame, row_tag: str, fields: list) -> DataFrame:
+    """One row per ``row_tag`` element at any depth; absent or empty children are NULL.
+
+    A document is parsed once. One that is no well-formed XML gives the
+    elements that can be cut out of it and parsed on their own.
+    """
+    def columns(text):
+        rows = elements(text, row_tag, fields)
+        return [list(range(len(rows))), *[[row[k] for row in rows] for k in range(len(fields))]]
+
+    return _parsed_rows(payloads, ", ".join(["pos int", *[f"{f} string" for f in fields]]), columns)
+
+
 def html_table_rows(payloads: DataFrame, header: str = "thead") -> DataFrame:
     """Rows of the first table of each document: (exchange, trade_date, row_pos, titles, cells).
 
@@ -114,11 +112,12 @@ def html_table_rows(payloads: DataFrame, header: str = "thead") -> DataFrame:
     from the whole table; ``header='thead'`` takes them from the table head,
     and the rows from the table body.
     """
-    def columns(titles, rows):
+    def columns(text):
+        titles, rows = table_rows(text, header)
         kept = [k for k, row in enumerate(rows) if row]
         return kept, [titles] * len(kept), [rows[k] for k in kept]
 
-    return _table_rows(payloads, header, "row_pos int, titles array<string>, cells array<string>", columns)
+    return _parsed_rows(payloads, "row_pos int, titles array<string>, cells array<string>", columns)
 
 
 def html_records(payloads: DataFrame, names: dict, header: str = "thead", carry: str = None) -> DataFrame:
@@ -128,7 +127,8 @@ def html_records(payloads: DataFrame, names: dict, header: str = "thead", carry:
     document; a row too short for a title gives NULL. ``carry`` names a column
     whose value in the row before, empty rows included, becomes ``carried``.
     """
-    def columns(titles, rows):
+    def columns(text):
+        titles, rows = table_rows(text, header)
         kept = [k for k, row in enumerate(rows) if row]
         out = [kept]
         for name, wanted in names.items():
@@ -140,4 +140,4 @@ def html_records(payloads: DataFrame, names: dict, header: str = "thead", carry:
         return out if carry is None else [*out, before]
 
     fields = ["pos int", *[f"{name} string" for name in names], *([] if carry is None else ["carried string"])]
-    return _table_rows(payloads, header, ", ".join(fields), columns)
+    return _parsed_rows(payloads, ", ".join(fields), columns)

@@ -16,6 +16,7 @@ from voltide.operators.joins import attach_code, attach_underlying, code_table
 from voltide.operators.normalize import (
     drop_sum_rows, normalize_futures, normalize_options, normalize_total_key, only_groups, with_oi_change,
 )
+from voltide.operators.tables import staged
 from voltide.sources.documents import html_records, json_rows, strip, xml_rows
 
 # --- fixed values: field names of the exchange documents --------------------------
@@ -131,7 +132,11 @@ def _cffe_rows(payloads: DataFrame) -> DataFrame:
 
 
 def _cffe_totals(rows: DataFrame) -> DataFrame:
-    """Total rows from the first row of a product, in an order that several documents of one day cannot upset."""
+    """Total rows from the first row of a product, in an order that several documents of one day cannot upset.
+
+    Contracts and totals come from the same rows, so documents are parsed once.
+    """
+    rows = staged(rows, "cffe-rows")
     numbers = [F.col(c).try_cast("double") for c in ("close", "open_interest", "oi_change", "settle")]
     rest = sorted(set(rows.columns) - {"pos", "product_id", "trade_date", "exchange", "group_id"})
     return with_total_rows(rows, ["pos", "product_id", *numbers, *rest])

@@ -1,4 +1,6 @@
-"""Tables of HTML documents, read in one pass over their tags.
+"""Rows of markup documents: tables of HTML, elements of XML.
+
+HTML tables are read in one pass over their tags.
 
 A document is scanned once: one pattern finds the tags that make tables, and a
 fold over them keeps the depth of nested tables, the open row and the open
@@ -12,6 +14,7 @@ stands in each of them.
 
 import html
 import re
+from xml.etree import ElementTree
 
 # a tag, the text behind it, and the closing tag of a cell right after that, which makes a plain cell one match;
 # comments and scripts hold no markup, a quoted attribute may hold a closing bracket
@@ -140,3 +143,27 @@ def table_rows(text: str, header: str) -> tuple:
     head, body = (next((s for s, _ in rows if s[0] == name), None) for name in ("thead", "tbody"))
     titles = column_titles([r for s, r in rows if s == head and r])
     return titles, spread([[c for c in r if not c[0]] for s, r in rows if s == body]) if body else []
+
+
+def elements(text: str, row_tag: str, fields: list) -> list:
+    """Texts of the named children of every ``row_tag`` element; None for absent or empty ones."""
+    try:
+        roots = [ElementTree.fromstring(text.strip())]
+    except ElementTree.ParseError:
+        roots = []
+        for block in re.findall(rf"(?s)<{row_tag}[\s>].*?</{row_tag}\s*>", text):
+            try:
+                roots.append(ElementTree.fromstring(block))
+            except ElementTree.ParseError:
+                continue
+    out = []
+    for root in roots:
+        # a namespace is part of a parsed name
+        names = {e.tag for e in root.iter() if isinstance(e.tag, str) and e.tag.endswith("}" + row_tag)} if "xmlns" in text else ()
+        for element in (e for name in (row_tag, *names) for e in root.iter(name)):
+            texts = {}
+            for child in element:
+                if isinstance(child.tag, str):  # comments have none
+                    texts.setdefault(child.tag.rpartition("}")[2], "".join(child.itertext()) if len(child) else child.text)
+            out.append([texts.get(f) or None for f in fields])
+    return out
