@@ -140,3 +140,8 @@ def quote_iv(options: DataFrame, calendar: DataFrame, rate: float = K.INTEREST_R
         F.when(total, F.lit(0)).otherwise(F.col("rdays")).alias("rdays"),
         "iv_status",
     )
+
+
+def unsolved(quotes: DataFrame) -> DataFrame:
+    """Quotes of ``quote_iv`` that could not be parsed, dated, priced or solved, with the reason."""
+    return quotes.where(~F.col("iv_status").isin("ok", "total")).withColumn("reject_reason", F.col("iv_status"))

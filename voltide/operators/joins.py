@@ -3,33 +3,35 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voltide import constants as K
-from voltide.operators.tables import fixed_table
+from voltide.operators.tables import fixed_table, pick_by
 
 
-def unique_closes(underlying: DataFrame, id_col: str = "product_id", order: list = None) -> DataFrame:
+def unique_closes(underlying: DataFrame, id_col: str = "product_id", order: list = None, keys: list = ("trade_date",)) -> DataFrame:
     """One close per day and contract, whatever copies the source holds.
 
     Total rows are no underlyings. With ``order`` the last copy wins,
     otherwise the highest close. Map tasks reduce the copies before the
     shuffle.
     """
-    close = F.max_by("close", F.struct(*order)) if order else F.max("close")
-    return (
-        underlying.where(F.col(id_col) != K.TOTAL_KEY)
-        .groupBy("trade_date", F.col(id_col).alias("u_id"))
-        .agg(close.alias("u_price"))
-    )
+    contracts = underlying.where(F.col(id_col) != K.TOTAL_KEY).withColumnRenamed(id_col, "u_id")
+    if order:
+        return pick_by(contracts, [*keys, "u_id"], list(order), last=True).select(*keys, "u_id", F.col("close").alias("u_price"))
+    return contracts.groupBy(*keys, "u_id").agg(F.max("close").alias("u_price"))
 
 
 def attach_underlying(options: DataFrame, underlying: DataFrame, id_col: str = "product_id", order: list = None) -> DataFrame:
     """Left join the close of the underlying contract of the same day.
 
-    The right side has one row per key, so the join cannot multiply options.
-    A hot underlying is split at run time by adaptive execution (left side
-    of a left join), and a small right side is broadcast on its measured size.
+    Where both sides name their exchange and ids are contracts, the exchange is
+    part of the key: one id on two exchanges is two contracts. The right side
+    has one row per key, so the join cannot multiply options. A hot underlying
+    is split at run time by adaptive execution (left side of a left join), and a
+    small right side is broadcast on its measured size.
     """
     left = options.drop("u_price")
-    return left.join(unique_closes(underlying, id_col, order), ["trade_date", "u_id"], "left")
+    both = id_col == "product_id" and "exchange" in underlying.columns and "exchange" in left.columns
+    keys = ["trade_date", "exchange"] if both else ["trade_date"]
+    return left.join(unique_closes(underlying, id_col, order, keys), [*keys, "u_id"], "left")
 
 
 def option_group_id(group: Column, exchange: Column = None) -> Column:

@@ -1,6 +1,6 @@
 """Clean parsed quote rows into the canonical tables."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from voltide import constants as K, schemas
 from voltide.functions.numeric import to_numeric
@@ -20,13 +20,44 @@ def drop_sum_rows(df: DataFrame, mark: str = K.SUM_ROW_MARK) -> DataFrame:
     return df.where(~F.coalesce(F.contains("product_id", F.lit(mark)), F.lit(False)))
 
 
-def normalize_futures(df: DataFrame, grand_total: str = K.GRAND_TOTAL_MARK) -> DataFrame:
-    kept = df.where(
-        not_marked("product_id", grand_total)
-        & not_marked("group_id", grand_total)
-        & F.col("open_interest").isNotNull()
+def _marked(grand_total: str) -> Column:
+    return ~(not_marked("product_id", grand_total) & not_marked("group_id", grand_total))
+
+
+def futures_problem(grand_total: str = K.GRAND_TOTAL_MARK) -> Column:
+    """Why a raw futures row is no quote; NULL for a quote."""
+    size = to_numeric(F.col("open_interest"), "bigint")
+    return (
+        F.when(_marked(grand_total), "grand_total")
+        .when(F.col("open_interest").isNull(), "missing_open_interest")
+        .when(size.isNull(), "unreadable_open_interest")
+        .when(size <= 0, "no_open_interest")
     )
-    typed = kept.select(
+
+
+def options_problem(grand_total: str = K.GRAND_TOTAL_MARK) -> Column:
+    """Why a raw option row is no quote; NULL for a quote and for total rows, which may be without volume."""
+    size = to_numeric(F.col("volume"), "bigint")
+    return (
+        F.when(_marked(grand_total), "grand_total")
+        .when(F.col("volume").isNull(), "missing_volume")
+        .when(F.col("product_id").eqNullSafe(F.lit(K.TOTAL_KEY)), F.lit(None).cast("string"))
+        .when(size.isNull(), "unreadable_volume")
+        .when(size <= 0, "no_volume")
+    )
+
+
+def quarantine(df: DataFrame, problem: Column) -> DataFrame:
+    """The rows that have a problem, whole and as they came, with a ``reject_reason``.
+
+    With ``futures_problem`` or ``options_problem`` these are the rows that the
+    normalisation leaves out: kept and quarantined rows make up the input.
+    """
+    return df.withColumn("reject_reason", problem).where(F.col("reject_reason").isNotNull())
+
+
+def normalize_futures(df: DataFrame, grand_total: str = K.GRAND_TOTAL_MARK) -> DataFrame:
+    return df.where(futures_problem(grand_total).isNull()).select(
         "trade_date",
         "exchange",
         "product_id",
@@ -34,16 +65,10 @@ def normalize_futures(df: DataFrame, grand_total: str = K.GRAND_TOTAL_MARK) -> D
         *[to_numeric(F.col(c)).alias(c) for c in schemas.FUTURES_PRICE_COLUMNS],
         *[to_numeric(F.col(c), "bigint").alias(c) for c in schemas.FUTURES_COUNT_COLUMNS],
     )
-    return typed.where(F.col("open_interest") > 0)
 
 
 def normalize_options(df: DataFrame, grand_total: str = K.GRAND_TOTAL_MARK) -> DataFrame:
-    kept = df.where(
-        not_marked("product_id", grand_total)
-        & not_marked("group_id", grand_total)
-        & F.col("volume").isNotNull()
-    )
-    typed = kept.select(
+    return df.where(options_problem(grand_total).isNull()).select(
         "trade_date",
         "exchange",
         "product_id",
@@ -52,7 +77,6 @@ def normalize_options(df: DataFrame, grand_total: str = K.GRAND_TOTAL_MARK) -> D
         *[to_numeric(F.col(c)).alias(c) for c in ("strike", "u_price", "close")],
         *[to_numeric(F.col(c), "bigint").alias(c) for c in ("volume", "open_interest")],
     )
-    return typed.where((F.col("volume") > 0) | (F.col("product_id") == K.TOTAL_KEY))
 
 
 def fix_zero_close(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from voltide import constants as K
+from voltide.functions.text import month_day
 
 LADDER = ["exchange", "group_id"]
 
@@ -84,3 +85,12 @@ def term_pct_change(term: DataFrame, keys=LADDER) -> DataFrame:
     before, before_pos = F.lag("price").over(frame), F.lag("pos").over(frame)
     change = (F.col("price") - before) / F.nullif(before, F.lit(0.0))
     return term.withColumn("pct", F.when(before_pos == F.col("pos") - 1, change))
+
+
+def format_dates(df: DataFrame, deliveries: DataFrame = None, date_col: str = "trade_date") -> DataFrame:
+    """Add ``label``, the month and day of each row, and ``d``, which marks the delivery days of a table with ``delivery``."""
+    out = df.withColumn("label", month_day(F.col(date_col)))
+    if deliveries is None:
+        return out.withColumn("d", F.lit(""))
+    days = deliveries.select(F.col("delivery").alias(date_col), F.lit("d").alias("d")).distinct()
+    return out.drop("d").join(days, date_col, "left").withColumn("d", F.coalesce("d", F.lit("")))

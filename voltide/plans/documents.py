@@ -75,6 +75,7 @@ def _quotes(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("l_quantity").cast("bigint") * 70).alias("volume"),
         F.rint(F.col("p_retailprice") * (F.lit(0.80) + F.lit(0.05) * F.col("l_linenumber"))).cast("bigint").alias("strike"),
         F.when(F.col("l_linestatus") == "O", F.lit("C")).otherwise(F.lit("P")).alias("otype"),
+        views.fair_price().alias("fair"),
         "l_tax", F.floor(F.col("l_partkey") / SHEET_PARTS).alias("sheet"),
     )
 
@@ -112,12 +113,12 @@ def option_name(dash: str = "", digits: int = 4) -> Column:
     return F.concat("code", stamp, F.lit(dash), "otype", F.lit(dash), F.col("strike").cast("string"))
 
 
-def shfe_options(spark: SparkSession, folder: str) -> DataFrame:
+def shfe_options(spark: SparkSession, folder: str, price: str = "close") -> DataFrame:
     rows = _quotes(spark, folder)
 
     def record(name, group, volume):
         values = {
-            "INSTRUMENTID": name, "PRODUCTGROUPID": group, "CLOSEPRICE": _text("close"),
+            "INSTRUMENTID": name, "PRODUCTGROUPID": group, "CLOSEPRICE": _text(price),
             "OPENINTEREST": _text("oi"), "VOLUME": volume,
         }
         return F.struct(*[v.alias(k) for k, v in values.items()])
@@ -132,15 +133,15 @@ def shfe_options(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # --- XML -----------------------------------------------------------------------------
-def cffe(spark: SparkSession, folder: str) -> DataFrame:
+def cffe(spark: SparkSession, folder: str, price: str = "close") -> DataFrame:
     """Futures and index options in one document, as the exchange publishes them."""
     rows = _quotes(spark, folder)
     oi = F.col("oi") + 100
 
-    def element(name, product):
+    def element(name, product, close="close"):
         values = {
             "instrumentid": name, "tradingday": F.date_format("trade_date", "yyyyMMdd"),
-            "highestprice": _text("high"), "lowestprice": _text("low"), "closeprice": _text("close"),
+            "highestprice": _text("high"), "lowestprice": _text("low"), "closeprice": _text(close),
             "preopeninterest": (oi - F.col("oi_change")).cast("string"), "openinterest": oi.cast("string"),
             "presettlementprice": _text("pre_settle"), "settlementprice": _text("settle"),
             "volume": _text("volume"), "productid": product,
@@ -152,7 +153,7 @@ def cffe(spark: SparkSession, folder: str) -> DataFrame:
     body = F.concat(
         F.lit('<?xml version="1.0" encoding="UTF-8"?><dailydatas>'),
         element(F.concat("code", "stamp"), F.col("group_id")),
-        element(option, F.lit("IO")),
+        element(option, F.lit("IO"), price),
         F.lit("</dailydatas>"),
     )
     return _payload(rows, "daily", body)
@@ -224,12 +225,12 @@ def dce_futures(spark: SparkSession, folder: str, daily: bool = False) -> DataFr
     )
 
 
-def dce_options(spark: SparkSession, folder: str, daily: bool = False) -> DataFrame:
+def dce_options(spark: SparkSession, folder: str, daily: bool = False, price: str = "close") -> DataFrame:
     rows = _quotes(spark, folder)
     name = dce_name(F.col("group_id"))
     return _dce(
         rows, "options", ["商品名称", "合约名称", "收盘价", "成交量", "持仓量"],
-        [name, option_name("-"), _text("close"), _comma(F.col("volume")), _comma(F.col("oi"))],
+        [name, option_name("-"), _text(price), _comma(F.col("volume")), _comma(F.col("oi"))],
         [F.concat(name, F.lit(K.SUBTOTAL_MARK)), F.lit(""), F.lit(""), F.lit("0"), F.lit("5")],
         [F.lit(K.GRAND_TOTAL_MARK), F.lit(""), F.lit(""), F.lit("3"), F.lit("5")],
         daily,
@@ -265,12 +266,12 @@ def czce_futures(spark: SparkSession, folder: str, daily: bool = False) -> DataF
     )
 
 
-def czce_options(spark: SparkSession, folder: str, daily: bool = False) -> DataFrame:
+def czce_options(spark: SparkSession, folder: str, daily: bool = False, price: str = "close") -> DataFrame:
     rows = _quotes(spark, folder)
     titles = [_by_age("品种代码", "合约代码"), F.lit("今收盘"), _by_age("空盘量", "持仓量"), F.lit("成交量(手)")]
     return _czce(
         rows, "options", titles,
-        [option_name("", 3), _text("close"), _comma(F.col("oi")), _comma(F.col("volume"))],
+        [option_name("", 3), _text(price), _comma(F.col("oi")), _comma(F.col("volume"))],
         [F.lit(K.SUBTOTAL_MARK), F.lit(""), F.lit("5"), F.lit("0")],
         [F.lit(K.SUM_ROW_MARK), F.lit(""), F.lit("5"), F.lit("9")],
         daily,

@@ -96,6 +96,12 @@ def markdown_rows(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
+def document_volatility(payloads: DataFrame, ingest, underlying: DataFrame, calendar: DataFrame, weight: str = "tr") -> tuple:
+    """From option documents to (solved quotes, synthetic volatility) with one of the exchange readers."""
+    quotes = quote_iv(ingest(payloads, underlying), calendar)
+    return quotes, aggregate.siv(quotes, weight)
+
+
 def recompute_history(options: DataFrame, calendar: DataFrame, weight: str = "tr") -> tuple:
     """Solve every stored option again: (option quotes, synthetic volatility).
 

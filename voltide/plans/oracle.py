@@ -328,6 +328,13 @@ put("normalize_options", f"""
            {rnd("CASE WHEN otype = 'C' THEN close ELSE 0.0 END", 6, 'close')},
            CASE WHEN open_interest IN (17, 50) THEN 0 ELSE volume END AS volume, open_interest
     FROM oq WHERE volume <> 350 AND open_interest <> 13 AND (open_interest NOT IN (17, 50) OR volume = 300)""")
+put("quarantine_futures", f"""
+    SELECT {day('trade_date')}, exchange, group_id || '  ' AS group_id, {_PID.format(sub='小计')} AS product_id,
+           CASE open_interest WHEN 13 THEN '' WHEN 17 THEN '0' WHEN 19 THEN 'n/a' ELSE format('{{:,}}', open_interest * 1000) END AS open_interest,
+           CAST(volume AS VARCHAR) || '.0' AS volume,
+           CASE WHEN volume = 350 THEN 'grand_total' WHEN open_interest = 13 THEN 'missing_open_interest' WHEN open_interest = 17 THEN 'no_open_interest'
+                ELSE 'unreadable_open_interest' END AS reject_reason
+    FROM fq WHERE volume = 350 OR open_interest IN (13, 17, 19)""")
 put("drop_sum_rows", f"SELECT {KEYS}, product_id, volume FROM fq WHERE volume % 100 <> 0")
 put("fix_zero_close", f"SELECT {KEYS}, product_id, {rnd('CASE WHEN oi_change < 0 OR close = 0 THEN settle ELSE close END', 6, 'close')} FROM fq")
 put("dedupe_last", """
@@ -336,9 +343,7 @@ put("dedupe_last", """
     FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
           ORDER BY lineitem.l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC, l_discount DESC,
                    l_tax DESC, l_returnflag DESC, l_linestatus DESC) = 1)""")
-put("group_filter", """
-    SELECT CASE WHEN group_id IN ('STANDARD', 'MEDIUM') THEN 'in' ELSE 'out' END AS side, group_id, count(*) AS n,
-           CAST(sum(volume) AS BIGINT) AS volume FROM fq GROUP BY ALL""")
+put("group_filter", f"SELECT CASE WHEN group_id IN ('STANDARD', 'MEDIUM') THEN 'in' ELSE 'out' END AS side, {KEYS}, product_id, volume FROM fq")
 put("oi_change", "SELECT l_orderkey, l_linenumber, CAST(l_quantity * 100 AS BIGINT) - CAST(l_quantity * 90 AS BIGINT) AS oi_change FROM lineitem")
 put("date_membership", f"""
     SELECT {KEYS}, product_id, volume FROM fq
@@ -352,16 +357,19 @@ put("underlying_join", f"""
 put("futures_options_join", f"SELECT {KEYS}, close, iv FROM idx LEFT JOIN sivs USING (trade_date, exchange, group_id)".replace(
     KEYS, "strftime(idx.trade_date, '%Y-%m-%d') AS trade_date, exchange, group_id"))
 # the futures id of the view is the option id for every product
-put("options_group_id", """
-    SELECT exchange, CASE WHEN group_id = 'STANDARD' THEN 'csidx300' ELSE lower(group_id) || '_f' END AS group_id,
-           CASE WHEN group_id = 'STANDARD' THEN 'IO' WHEN exchange = 'SHFE' THEN lower(group_id) ELSE lower(group_id) || '_f' END AS opt_group_id,
-           CAST(sum(volume) AS BIGINT) AS volume FROM fq GROUP BY ALL""")
+put("options_group_id", f"""
+    SELECT {day('trade_date')}, exchange, CASE WHEN fq.group_id = 'STANDARD' THEN 'csidx300' ELSE lower(fq.group_id) || '_f' END AS group_id, product_id,
+           CASE WHEN fq.group_id = 'STANDARD' THEN 'IO' WHEN exchange = 'SHFE' THEN lower(fq.group_id) ELSE lower(fq.group_id) || '_f' END AS opt_group_id,
+           volume FROM fq""")
 _CODES = {kind: K.DCE_CODES.get(name, "") for kind, name in docs.DCE_NAMES.items()}
 put("attach_code", f"""
     SELECT {day('trade_date')}, {_case('fq.group_id', docs.DCE_NAMES)} AS group_id,
            {_case('fq.group_id', _CODES)} || product_id AS product_id, volume FROM fq""")
 
 # --- text and numbers -----------------------------------------------------------------------
+put("date_labels", f"""
+    SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS trade_date, strftime(o_orderdate, '%m%d') AS label,
+           CASE WHEN CAST(o_orderdate AS DATE) IN (SELECT CAST(l_shipdate AS DATE) FROM lineitem WHERE l_quantity > 48) THEN 'd' ELSE '' END AS d FROM orders""")
 put("parse_option_name", f"""
     SELECT {day('trade_date')}, product_id,
            CASE WHEN dash = '' THEN code || stamp ELSE '' END AS plain_u_id, CASE WHEN dash = '' THEN otype ELSE '' END AS plain_otype,
@@ -422,11 +430,9 @@ put("sessions", f"""
     SELECT {day('cal_date', 'trade_date')} FROM opens, (SELECT CAST(max(l_shipdate) AS DATE) AS last FROM lineitem)
     WHERE cal_date BETWEEN last - 500 AND last""")
 put("open_days", f"""
-    SELECT 'detail' AS check, {day('trade_date')}, exchange, count(*) AS n, CAST(sum(volume) AS BIGINT) AS volume
-    FROM fq JOIN opens ON cal_date = trade_date GROUP BY fq.trade_date, exchange
+    SELECT 'detail' AS check, {KEYS}, product_id, volume FROM fq JOIN opens ON cal_date = fq.trade_date
     UNION ALL
-    SELECT 'session' AS check, {day('trade_date')}, exchange, count(*) AS n, CAST(sum(volume) AS BIGINT) AS volume
-    FROM fq JOIN sess ON cal_date = trade_date GROUP BY fq.trade_date, exchange""".replace("strftime(trade_date", "strftime(fq.trade_date"))
+    SELECT 'session' AS check, {KEYS}, product_id, volume FROM fq JOIN sess ON cal_date = fq.trade_date""".replace("strftime(trade_date", "strftime(fq.trade_date"))
 VIEWS["shifts"] = """SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS anchor,
     CASE WHEN l_linestatus = 'O' THEN l_linenumber ELSE -l_linenumber END AS shift FROM lineitem"""
 put("nth_session", f"""
@@ -446,8 +452,7 @@ put("month_starts", """
     WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS a FROM orders),
     m AS (SELECT DISTINCT CAST(date_trunc('month', g) AS DATE) AS s FROM (SELECT unnest(generate_series(
             (SELECT min(a) FROM d) - INTERVAL 1200 DAY, (SELECT max(a) FROM d), INTERVAL 1 DAY)) AS g))
-    SELECT strftime(a, '%Y-%m-%d') AS as_of, count(*) AS n, strftime(min(s), '%Y-%m-%d') AS first, strftime(max(s), '%Y-%m-%d') AS last
-    FROM d JOIN m ON s >= a - 1100 AND s <= a GROUP BY a""")
+    SELECT strftime(a, '%Y-%m-%d') AS as_of, strftime(s, '%Y-%m-%d') AS month_start FROM d JOIN m ON s >= a - 1100 AND s <= a""")
 put("report_day", """
     SELECT event_id, strftime(CASE WHEN hour(ts) < 8 THEN CAST(ts AS DATE) - 1 ELSE CAST(ts AS DATE) END, '%Y-%m-%d') AS report_day FROM events""")
 
@@ -574,13 +579,24 @@ ORACLE["recompute_history"] = american_iv(_DATED, _SOLVE, f"""
           FROM numbered n LEFT JOIN (SELECT id, iv FROM steps WHERE iv IS NOT NULL) f USING (id))
     GROUP BY td, exchange, group_id""")
 ORACLE["recompute_stored"] = f"""SELECT q.*, s.iv AS siv FROM ({ORACLE['quote_iv']}) q LEFT JOIN ({ORACLE['recompute_history']}) s USING (trade_date, exchange, group_id)"""
-put("route_model", """
-    SELECT code AS product, CASE WHEN code IN ('IO', 'au') THEN 'b76' ELSE 'crr' END AS by_style, 'crr' AS by_default, count(*) AS n
-    FROM oq GROUP BY ALL""")
+put("route_model", f"""
+    SELECT {KEYS}, product_id, volume, code AS product, CASE WHEN code IN ('IO', 'au') THEN 'b76' ELSE 'crr' END AS by_style, 'crr' AS by_default FROM oq""")
+ORACLE["quote_status"] = american_iv(_DATED, _SOLVE, f"""
+    SELECT *, CASE WHEN iv_status IN ('ok', 'total') THEN '' ELSE iv_status END AS reject_reason FROM (
+    SELECT strftime(CASE WHEN volume % 8 = 4 THEN n.trade_date + 400 ELSE n.trade_date END, '%Y-%m-%d') AS trade_date, exchange, group_id,
+           CASE volume % 8 WHEN 0 THEN 'total' WHEN 1 THEN 'odd' WHEN 2 THEN 'zz' || regexp_replace(product_id, '^[A-Za-z]+', '')
+                WHEN 3 THEN 'cu9001C100' ELSE product_id END AS product_id, volume,
+           CASE WHEN volume % 8 = 0 THEN 'total' WHEN volume % 8 = 1 THEN 'unparsed' WHEN volume % 8 = 2 THEN 'unsupported_product'
+                WHEN volume % 8 = 3 OR expiry IS NULL THEN 'no_calendar' WHEN volume % 8 = 4 OR left_days <= 0 THEN 'expired'
+                WHEN volume % 8 = 5 OR (volume % 8 = 6 AND cp * (u_price - strike) <= 0) THEN 'no_price'
+                WHEN volume % 8 = 6 OR close <= cp * (u_price - strike) THEN 'below_intrinsic' ELSE 'ok' END AS iv_status
+    FROM numbered n)""")
 _both = staged("bs", "(SELECT * EXCLUDE (n1, n2, p1, z1, z2, disc, d1), " + _PRICE["b76"] + " AS b76 FROM " + staged("b76", tree("pin", "v", "pr")) + ")")
 put("sql_functions", f"""
     SELECT {day('trade_date')}, product_id, open_interest, round(b76, 6) AS b76, round({_PRICE['bs']}, 6) AS bs, round(pr, 6) AS crr,
-           round({cdf('x')}, 10) AS cdf FROM (SELECT *, (s - k) / 25 AS x FROM {_both})""")
+           round({cdf('x')}, 10) AS cdf, round(exp(-0.5 * x * x) * 0.3989422804014327, 10) AS pdf FROM (SELECT *, (s - k) / 25 AS x FROM {_both})""")
+
+ORACLE["sql_implied_vol"], ORACLE["sql_european_implied_vol"] = ORACLE["american_iv"], ORACLE["b76_iv"]
 
 # --- reports -----------------------------------------------------------------------------------
 _PERCENTS = ["hvm", "hv_min", "hv_max", "hvy", "iv", "iv_min", "iv_max", "hv_ratio"]
@@ -616,8 +632,7 @@ VIEWS["alerted"] = f"""
 put("iv_alerts_on_display", """
     SELECT name, iv, iv_pct, iv_max, iv_min, alert_reason, count(*) AS n FROM alerted WHERE alert_reason IS NOT NULL GROUP BY ALL""")
 put("alert_lines", r"""
-    SELECT '> ' || name || ': iv ' || iv || ' p ' || iv_pct || '  ' || chr(10) || '  ' AS line, count(*) AS n
-    FROM alerted WHERE alert_reason IS NOT NULL GROUP BY ALL""")
+    SELECT '> ' || name || ': iv ' || iv || ' p ' || iv_pct || '  ' || chr(10) || '  ' AS line FROM alerted WHERE alert_reason IS NOT NULL""")
 
 # the daily run with the order values as one more exchange
 _saved = dict(VIEWS)
@@ -727,6 +742,32 @@ put("ingest_cffe_options", f"""
     SELECT {day('dq.trade_date', 'trade_date')}, exchange, 'IO', 'total', '', -1.0::DOUBLE, NULL::DOUBLE, {rnd('l_extendedprice', 6, 'close')},
            d_vol, d_oi + 100 FROM dq
     QUALIFY row_number() OVER (PARTITION BY dq.trade_date, exchange ORDER BY ym || '-' || ot || '-' || k, l_extendedprice, d_oi, d_oc, d_settle) = 1""")
+# option documents with fair prices: the underlying is the highest part price among the lines of its contract and day
+_PRICED = _DATED[:_DATED.rindex("dated AS (")] + "dated AS (" + VIEWS["dated"].replace("FROM oq o", "FROM docs o") + ")"
+_PRICED = _PRICED.replace("oq AS (", f"""docs AS (
+    SELECT o.*, {{group}} AS doc_group, {{stamp}} AS doc_stamp, CAST(l_quantity AS BIGINT) * 70 AS d_vol,
+           greatest(0.0::DOUBLE, cp * (p_retailprice - strike)) + p_retailprice * (0.01::DOUBLE + l_discount) AS close,
+           max(p_retailprice) OVER (PARTITION BY {{contract}}) AS u_price FROM (SELECT * REPLACE ({{code}} AS code) FROM oq0) o WHERE {{where}}),
+oq AS (""", 1)
+
+
+def document_siv(group: str, stamp: str, where: str = "TRUE", code: str = "code", contract: str = None) -> str:
+    contract = contract or f"trade_date, exchange, code, {stamp}"
+    priced = _PRICED.format(group=group, stamp=stamp, where=where, code=code, contract=contract)
+    return american_iv(priced, _SOLVE, f"""
+    SELECT strftime(td, '%Y-%m-%d') AS trade_date, exchange, group_id,
+           {half_even("sum(CASE WHEN iv > 0.01 THEN iv * w END) / nullif(sum(CASE WHEN iv > 0.01 THEN w END), 0)", 3)} AS iv
+    FROM (SELECT n.trade_date AS td, exchange, doc_group AS group_id, f.iv,
+                 CASE WHEN abs(k - s) / s > 0.25 THEN 0.0 ELSE power((abs(k - s) / s - 0.25) / 0.25, 2) END * close * d_vol * least(left_days, 10) AS w
+          FROM numbered n LEFT JOIN (SELECT id, iv FROM steps WHERE iv IS NOT NULL) f USING (id))
+    GROUP BY td, exchange, group_id""")
+
+
+_YM = "strftime(add_month, '%y%m')"
+ORACLE["shfe_options_siv"] = document_siv("code", _YM, "l_linenumber <> 7")
+ORACLE["dce_options_siv"] = document_siv(_CN, _YM)
+ORACLE["czce_options_siv"] = document_siv("code", f"{_YM}[2:]")
+ORACLE["cffe_options_siv"] = document_siv("'IO'", _YM, code="'IO'", contract="trade_date")
 put("ingest_csi_series", """
     SELECT strftime(o_orderdate, '%Y-%m-%d') AS trade_date, 'CSI' AS exchange, 'csidx300' AS group_id, o_totalprice AS close FROM orders""")
 put("ingest_csi_daily", """

@@ -279,6 +279,15 @@ def normalize_futures(spark, folder):
     )
 
 
+@query
+def quarantine_futures(spark, folder):
+    """Raw rows that are no quotes, as they came, with the reason."""
+    messy = _messy(spark, folder)
+    size = F.when(F.col("open_interest") == "19,000", F.lit("n/a")).otherwise(F.col("open_interest"))
+    out = normalize.quarantine(messy.withColumn("open_interest", size), normalize.futures_problem())
+    return out.select(day("trade_date"), "exchange", "group_id", "product_id", F.coalesce("open_interest", F.lit("")).alias("open_interest"), "volume", "reject_reason")
+
+
 @query
 def normalize_options(spark, folder):
     quotes = views.option_quotes(spark, folder)
@@ -330,9 +339,7 @@ def group_filter(spark, folder):
     quotes = views.futures_quotes(spark, folder)
     inside = normalize.only_groups(quotes, ["STANDARD", "MEDIUM"]).withColumn("side", F.lit("in"))
     outside = normalize.only_groups(quotes, ["STANDARD", "MEDIUM"], keep=False).withColumn("side", F.lit("out"))
-    return inside.unionByName(outside).groupBy("side", "group_id").agg(
-        F.count("*").alias("n"), F.sum("volume").cast("bigint").alias("volume")
-    )
+    return inside.unionByName(outside).select("side", *_keys(), "product_id", "volume")
 
 
 @query
@@ -383,9 +390,9 @@ def options_group_id(spark, folder):
     futures_id = F.when(F.col("group_id") == "STANDARD", F.lit(K.CSI_GROUP)).otherwise(
         F.concat(F.lower("group_id"), F.lit("_f"))
     )
-    named = quotes.select("exchange", futures_id.alias("group_id"), "volume")
+    named = quotes.withColumn("group_id", futures_id)
     out = named.withColumn("opt_group_id", joins.option_group_id(F.col("group_id"), F.col("exchange")))
-    return out.groupBy("exchange", "group_id", "opt_group_id").agg(F.sum("volume").cast("bigint").alias("volume"))
+    return out.select(*_keys(), "product_id", "opt_group_id", "volume")
 
 
 @query
@@ -439,6 +446,14 @@ def fill_year(spark, folder):
     )
 
 
+@query
+def date_labels(spark, folder):
+    """Month-day labels of order days, those on which parts were delivered marked."""
+    days = views.table(spark, folder, "orders").select(F.col("o_orderdate").cast("date").alias("trade_date"), "o_orderkey")
+    deliveries = views.table(spark, folder, "lineitem").where(F.col("l_quantity") > 48).select(F.col("l_shipdate").cast("date").alias("delivery"))
+    return term.format_dates(days, deliveries).select("o_orderkey", day("trade_date"), "label", "d")
+
+
 @query
 def text_functions(spark, folder):
     quotes = views.option_quotes(spark, folder)
@@ -511,12 +526,10 @@ def sessions(spark, folder):
 @query
 def open_days(spark, folder):
     calendar = views.trading_calendar(spark, folder)
-    quotes = views.futures_quotes(spark, folder).select("trade_date", "exchange", "volume")
+    quotes = views.futures_quotes(spark, folder).select("trade_date", "exchange", "group_id", "product_id", "volume")
     detailed = cal.open_days(quotes, calendar).withColumn("check", F.lit("detail"))
     plain = cal.open_days(quotes, calendar, check_detail=False).withColumn("check", F.lit("session"))
-    return detailed.unionByName(plain).groupBy("check", "trade_date", "exchange").agg(
-        F.count("*").alias("n"), F.sum("volume").cast("bigint").alias("volume")
-    ).select("check", day("trade_date"), "exchange", "n", "volume")
+    return detailed.unionByName(plain).select("check", *_keys(), "product_id", "volume")
 
 
 @query
@@ -563,10 +576,7 @@ def business_anchors(spark, folder):
 def month_starts(spark, folder):
     """Month starts of the 1,100 days before each day on which orders came in."""
     days = views.table(spark, folder, "orders").select(F.col("o_orderdate").cast("date").alias("as_of")).distinct()
-    out = cal.month_starts_of(days, "as_of")
-    return out.groupBy("as_of").agg(
-        F.count("*").alias("n"), F.min("month_start").alias("first"), F.max("month_start").alias("last")
-    ).select(day("as_of"), "n", day("first"), day("last"))
+    return cal.month_starts_of(days, "as_of").select(day("as_of"), day("month_start"))
 
 
 @query
@@ -642,12 +652,11 @@ def quote_iv_by_exercise_style(spark, folder):
 def route_model(spark, folder):
     quotes = views.option_quotes(spark, folder)
     product = text.parse_contract(F.col("product_id"), F.col("trade_date"))["product"]
-    routed = quotes.select(
-        product.alias("product"),
+    return quotes.select(
+        *_keys(), "product_id", "volume", product.alias("product"),
         contracts.route_model(product, "by_exercise_style").alias("by_style"),
         contracts.route_model(product).alias("by_default"),
     )
-    return routed.groupBy("product", "by_style", "by_default").agg(F.count("*").alias("n"))
 
 
 @query
@@ -660,11 +669,47 @@ def sql_functions(spark, folder):
                round(b76_price(s, k, r, t, v, cp), 6) AS b76,
                round(bs_price(s, k, r, t, v, cp), 6) AS bs,
                round(crr_price(s, k, r, t, v, cp), 6) AS crr,
-               round(norm_cdf((s - k) / 25), 10) AS cdf
+               round(norm_cdf((s - k) / 25), 10) AS cdf, round(norm_pdf((s - k) / 25), 10) AS pdf
         FROM voltide_pricing_inputs
     """)
 
 
+def _sql_volatility(name, function):
+    def run(spark, folder):
+        register_functions(spark)
+        views.pricing_inputs(spark, folder).createOrReplaceTempView("voltide_pricing_inputs")
+        return spark.sql(f"""
+            SELECT date_format(trade_date, 'yyyy-MM-dd') AS trade_date, product_id, open_interest, {function}(price, s, k, r, t, cp) AS iv
+            FROM voltide_pricing_inputs
+        """)
+
+    run.__name__ = name
+    query(run)
+
+
+_sql_volatility("sql_implied_vol", "implied_vol")
+_sql_volatility("sql_european_implied_vol", "european_implied_vol")
+
+
+@query
+def quote_status(spark, folder):
+    """Quotes of which some were spoilt, one way by each remainder of the volume: every status, and which of them are quarantined."""
+    way, name = F.col("volume") % 8, F.col("product_id")
+    gain = views.call_put() * (F.col("u_price") - F.col("strike"))
+    quotes = views.option_quotes(spark, folder).withColumns({
+        "close": F.when(way == 6, F.greatest(gain, F.lit(0.0))).otherwise(F.col("close")),
+        "u_price": F.when(way == 5, F.lit(None).cast("double")).otherwise(F.col("u_price")),
+        "trade_date": F.when(way == 4, F.date_add("trade_date", 400)).otherwise(F.col("trade_date")),
+        "product_id": F.when(way == 0, F.lit(K.TOTAL_KEY)).when(way == 1, F.lit("odd"))
+        .when(way == 2, F.concat(F.lit("zz"), F.regexp_replace(name, "^[A-Za-z]+", "")))
+        .when(way == 3, F.lit("cu9001C100")).otherwise(name),
+    })
+    solved = contracts.quote_iv(quotes, views.trading_calendar(spark, folder))
+    bad = contracts.unsolved(solved)
+    kept = solved.where(F.col("iv_status").isin("ok", "total")).withColumn("reject_reason", F.lit(""))
+    return kept.unionByName(bad).select(*_keys(), "product_id", "volume", "iv_status", "reject_reason")
+
+
 # --- reports -----------------------------------------------------------------------------
 PERCENTS = ["hvm", "hv_min", "hv_max", "hvy", "iv", "iv_min", "iv_max", "hv_ratio"]
 
@@ -711,8 +756,7 @@ def iv_alerts_on_display(spark, folder):
 
 @query
 def alert_lines(spark, folder):
-    lines = monitor.alert_lines(monitor.iv_alerts(_notified(spark, folder), on_display=True))
-    return lines.groupBy("line").agg(F.count("*").alias("n"))
+    return monitor.alert_lines(monitor.iv_alerts(_notified(spark, folder), on_display=True))
 
 
 @query
@@ -915,6 +959,24 @@ def ingest_czce_options_daily(spark, folder, payloads):
     return _option_out(exchanges.ingest_czce_options(payloads, views.underlying_quotes(spark, folder)))
 
 
+def _volatility(name, render, ingest, underlying, **how):
+    def run(spark, folder, payloads):
+        calendar = views.trading_calendar(spark, folder)
+        _, siv = monitor.document_volatility(payloads, ingest, underlying(spark, folder), calendar)
+        return siv.select(*_keys(), "iv")
+
+    run.__name__ = name
+    document_query(render, price="fair", **how)(run)
+
+
+# option documents to synthetic volatility in one job
+_volatility("shfe_options_siv", docs.shfe_options, exchanges.ingest_shfe_options, views.fair_underlying)
+_volatility("cffe_options_siv", docs.cffe, exchanges.ingest_cffe_options, views.fair_index)
+_volatility("dce_options_siv", docs.dce_options, exchanges.ingest_dce_options, views.fair_underlying)
+_volatility("czce_options_siv", docs.czce_options, exchanges.ingest_czce_options, lambda spark, folder: views.fair_underlying(spark, folder, 3),
+            daily=True)
+
+
 @document_query(docs.csi_series)
 def ingest_csi_series(spark, folder, payloads):
     return exchanges.ingest_csi_series(payloads).select(*_keys(), "close")

@@ -6,7 +6,7 @@ type is the product, the retail price is the underlying price. Only the
 columns a query uses are read from the files.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voltide import constants as K
 from voltide.functions.numeric import half_even
@@ -86,6 +86,32 @@ def contract_quotes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def fair_price() -> Column:
+    """An option's price on a line of ``lines``: what it is worth at once and a share of the part's price."""
+    strike = F.rint(F.col("p_retailprice") * (F.lit(0.80) + F.lit(0.05) * F.col("l_linenumber")))
+    cp = F.when(F.col("l_linestatus") == "O", F.lit(1.0)).otherwise(F.lit(-1.0))
+    gain = cp * (F.col("p_retailprice") - strike)
+    return F.greatest(F.lit(0.0), gain) + F.col("p_retailprice") * (F.lit(0.01) + F.col("l_discount"))
+
+
+def fair_underlying(spark: SparkSession, folder: str, digits: int = 4) -> DataFrame:
+    """Parts' prices as closes of the futures contracts that fairly priced options refer to."""
+    month = F.add_months(F.trunc("trade_date", "month"), F.col("l_linenumber") + 2)
+    stamp = F.substring(F.date_format(month, "yyMM"), 5 - digits, digits)
+    return lines(spark, folder).select("trade_date", "exchange", F.concat(_by_type(1), stamp).alias("product_id"), F.col("p_retailprice").alias("close"))
+
+
+def fair_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The highest part price of a day as the close of the equity index."""
+    days = lines(spark, folder).groupBy("trade_date").agg(F.max("p_retailprice").alias("close"))
+    return days.withColumn("group_id", F.lit(K.CSI_GROUP))
+
+
+def call_put() -> Column:
+    """Sign of an option quote."""
+    return F.when(F.col("otype") == "C", F.lit(1.0)).otherwise(F.lit(-1.0))
+
+
 def option_quotes(spark: SparkSession, folder: str) -> DataFrame:
     """Option quotes with contract names, and a given volatility and days."""
     base = lines(spark, folder)
