@@ -2,13 +2,17 @@
 
 The text view sees hashed beginnings of words and a few shares of characters;
 the metadata view sees hashed columns such as language and source, and sizes.
-Both are logistic regressions, fitted on a bounded sample: at most
-``max_labelled`` labelled and ``max_unlabelled`` other documents, those with the
-smallest hash of their id. In each round either view labels the unlabelled
-documents it is most confident about, and the other view learns from them.
-At the end each view is calibrated on labelled documents kept apart (Platt
-scaling), and a last regression of the two calibrated logits, also fitted
-there, combines them. All documents are scored in one pass over whole texts.
+Both are logistic regressions. Their labelled documents are a bounded sample, at
+most ``max_labelled``, those with the smallest hash of their id; it is fitted in
+one task. In each round either view labels those of all other documents that it
+is confident about, and the other view learns from them: tasks score the
+documents and sum the gradient and curvature that these labels add to the other
+view's loss, and the next fit adds the sums to the loss of the sample. All
+pseudo-labelled documents together weigh ``taught_share`` of the labelled ones,
+whatever their number. Each view is calibrated on labelled documents kept apart
+(Platt scaling), and a last regression of the two calibrated logits, also
+fitted there, combines them. All documents are scored in one pass over whole
+texts. The driver sees weights and sums, a number for each feature.
 
 A document is good if its quality label is 1 and it is not marked toxic.
 
@@ -26,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from voltide.llm.common import blocks, byte_codes, mix64, packed, prefix_hash, span_hash, text_buffers
+from voltide.llm.common import blocks, byte_codes, materialize, mix64, packed, prefix_hash, span_hash, text_buffers
 
 TEXT_BITS, META_BITS = 15, 12
 LENGTHS = (4, 6, 32)
@@ -100,6 +104,11 @@ class Sparse:
     def __init__(self, rows: int, row, feature, value, width: int):
         self.rows, self.row, self.feature, self.value, self.width = rows, row, feature, value, width  # sorted by row
 
+    def where(self, chosen: np.ndarray) -> "Sparse":
+        place = np.cumsum(chosen) - 1
+        of = chosen[self.row]
+        return Sparse(int(chosen.sum()), place[self.row[of]], self.feature[of], self.value[of], self.width)
+
     def times(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * weights[self.feature], self.rows)
 
@@ -111,16 +120,21 @@ def sigmoid(x):
     return 0.5 * (1.0 + np.tanh(0.5 * x))
 
 
-def fit(x: Sparse, target: np.ndarray, weight: np.ndarray, hashed: int, ridge: float = 1.5, steps: int = 120, rate: float = 0.15, against: bool = False) -> np.ndarray:
+def fit(x: Sparse, target: np.ndarray, weight: np.ndarray, hashed: int, ridge: float = 1.5, steps: int = 120, rate: float = 0.15, against: bool = False,
+        taught: "Taught" = None) -> np.ndarray:
     """Weighted logistic regression by full-batch Adam; the first ``hashed`` features are held back more than the others.
 
     With ``against`` they can only speak against a document: clean words do not make up for a foul one.
     """
-    ridge = np.where(np.arange(x.width) < hashed, ridge / max(weight.sum(), 1.0), 1e-6)
+    total = max(weight.sum(), 1e-12)
+    mass = 0.0 if taught is None else taught.mass
+    ridge = np.where(np.arange(x.width) < hashed, ridge / max(total + mass, 1.0), 1e-6)
     w, m, v = np.zeros(x.width), np.zeros(x.width), np.zeros(x.width)
-    weight = weight / max(weight.sum(), 1e-12)
+    weight = weight / (total + mass)
     for t in range(1, steps + 1):
         g = x.back(weight * (sigmoid(x.times(w)) - target)) + ridge * w
+        if taught is not None:
+            g += (taught.slope + taught.curve * (w - taught.at)) / (total + mass)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (1 - t / (steps + 1)) * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-9)
         if against:
@@ -128,6 +142,16 @@ def fit(x: Sparse, target: np.ndarray, weight: np.ndarray, hashed: int, ridge: f
     return w
 
 
+@dataclass
+class Taught:
+    """What pseudo-labels add to a view's loss near the weights ``at``: slope and curvature of each weight, and their mass."""
+
+    slope: np.ndarray
+    curve: np.ndarray
+    at: np.ndarray
+    mass: float
+
+
 def newton(columns: np.ndarray, target: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """A small logistic regression with an intercept in the last place."""
     x = np.concatenate([columns, np.ones((len(columns), 1))], axis=1)
@@ -152,34 +176,54 @@ class Model:
         return sigmoid(logits @ self.mix[:2] + self.mix[2]), sigmoid(logits[:, 0]), sigmoid(logits[:, 1])
 
 
-def cotrain(text: Sparse, meta: Sparse, target: np.ndarray, rounds: int, confident: float) -> Model:
-    """``target`` is 1, 0, or -1 where there is no label; every fifth labelled row is kept for calibration."""
-    labelled = np.flatnonzero(target >= 0)
-    apart = labelled[::5] if len(labelled) >= 50 else labelled
-    known = np.setdiff1d(labelled, apart) if len(labelled) >= 50 else labelled
-    free = target < 0
-    views, weights = (text, meta), [None, None]
-    given = [(np.full(text.rows, -1.0), np.zeros(text.rows)) for _ in views]
-    for goal, weight in given:
-        goal[known], weight[known] = target[known], 1.0
-    for r in range(rounds + 1):
-        weights = [fit(x, np.maximum(goal, 0.0), weight, n, against=x is text)
-                   for x, (goal, weight), n in zip(views, given, (1 << TEXT_BITS, 1 << META_BITS))]
-        if r == rounds:
-            break
-        for k in (0, 1):  # view k teaches the other
-            logit = views[k].times(weights[k])
-            slope, base = newton(logit[apart, None], target[apart])
-            chance = sigmoid(slope * logit + base)
-            goal, weight = given[1 - k]
-            sure = free & (np.maximum(chance, 1 - chance) >= confident)
-            goal[sure], weight[sure] = (chance[sure] >= 0.5).astype(float), 0.5
-    logits = [x.times(w)[apart] for x, w in zip(views, weights)]
+def fit_views(text: Sparse, meta: Sparse, target: np.ndarray, taught=(None, None)) -> Model:
+    """Both views fitted on labelled rows and what each was taught; every fifth row is kept for calibration."""
+    place = np.arange(len(target))
+    known = place % 5 > 0 if len(target) >= 50 else place >= 0
+    apart = ~known if len(target) >= 50 else known
+    weights = [fit(x.where(known), target[known].astype(float), np.ones(int(known.sum())), n, against=x is text, taught=lesson)
+               for x, n, lesson in zip((text, meta), (1 << TEXT_BITS, 1 << META_BITS), taught)]
+    logits = [x.times(w)[apart] for x, w in zip((text, meta), weights)]
     calibration = np.array([newton(z[:, None], target[apart]) for z in logits])
     both = np.stack(logits, 1) * calibration[:, 0] + calibration[:, 1]
     return Model(*weights, calibration, newton(both, target[apart]))
 
 
+def lessons(text: Sparse, meta: Sparse, model: Model, confident: float) -> list:
+    """For each view (slope, curve, n) summed over the ``n`` rows that the other view labels with confidence."""
+    views, out = ((text, model.text), (meta, model.meta)), []
+    logits = [x.times(w) for x, w in views]
+    for k, (x, _) in enumerate(views):
+        slope, base = model.calibration[1 - k]
+        chance = sigmoid(slope * logits[1 - k] + base)
+        sure = (np.maximum(chance, 1 - chance) >= confident).astype(float)
+        p = sigmoid(logits[k])
+        squares = np.bincount(x.feature, x.value * x.value * (sure * p * (1 - p))[x.row], x.width)
+        out.append((x.back(sure * (p - (chance >= 0.5))), squares, float(sure.sum())))
+    return out
+
+
+def weighed(sums: list, model: Model, n_known: int, taught_share: float) -> list:
+    """Lessons scaled to their mass: ``taught_share`` of the labelled rows, at most as many as there are."""
+    out = []
+    for (slope, curve, n), at in zip(sums, (model.text, model.meta)):
+        mass = min(n, taught_share * n_known)
+        scale = mass / n if n else 0.0
+        out.append(Taught(slope * scale, curve * scale, at, mass))
+    return out
+
+
+def cotrain(text: Sparse, meta: Sparse, target: np.ndarray, rounds: int, confident: float, taught_share: float = 0.5) -> Model:
+    """The rounds over rows in memory; ``target`` is 1, 0, or -1 where there is no label."""
+    free = target < 0
+    known = [x.where(~free) for x in (text, meta)]
+    model = fit_views(*known, target[~free])
+    for _ in range(rounds):
+        sums = lessons(text.where(free), meta.where(free), model, confident)
+        model = fit_views(*known, target[~free], weighed(sums, model, int((~free).sum()), taught_share))
+    return model
+
+
 def inputs(docs: DataFrame, text_column: str, categories, numbers) -> list:
     text = F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")
     hashes = F.array(*[F.xxhash64(F.col(c).cast("string")) for c in categories]).cast("array<bigint>").alias("hashes")
@@ -191,54 +235,104 @@ def meta_arrays(batch, hashes: int, sizes: int):
     return [batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for k in (hashes, sizes)]
 
 
+def sparse_views(batch, hashes: int, sizes: int, text: int):
+    """(rows, text view, metadata view) of blocks of a batch."""
+    data, offsets = text_buffers(batch.column(text))
+    hashed, sized = meta_arrays(batch, hashes, sizes)
+    for x, y in blocks(offsets):
+        yield (x, y, Sparse(y - x, *text_features(data[offsets[x]:offsets[y]], offsets[x:y + 1] - offsets[x]), (1 << TEXT_BITS) + DENSE),
+               Sparse(y - x, *meta_features(hashed[x:y], sized[x:y]), (1 << META_BITS) + 1))
+
+
 def train(
-    docs: DataFrame, labels: DataFrame, rounds: int = 2, confident: float = 0.97, max_labelled: int = 7000, max_unlabelled: int = 1000,
+    docs: DataFrame, labels: DataFrame, rounds: int = 2, confident: float = 0.97, max_labelled: int = 8000, taught_share: float = 0.5,
     id_column: str = "doc_id", text_column: str = "text", categories=("lang", "source"), numbers=("n_chars",),
 ):
-    """A fitted model, or the share of good documents if labels are of one kind."""
+    """A fitted model, or the share of good documents if labels are of one kind.
+
+    All documents but the labelled sample are pseudo-labelled in every round.
+    """
     good = ((F.min("quality") == 1) & (F.max(F.coalesce("toxic", F.lit(0))) == 0)).cast("int").alias("good")
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(good)
     ids = docs.select(F.col(id_column).alias("id")).where("id IS NOT NULL")
-    order = [F.xxhash64("id"), F.col("id")]
-    known = labels.join(ids.distinct(), "id", "left_semi").orderBy(*order).limit(max_labelled)
-    other = ids.distinct().join(labels, "id", "left_anti").orderBy(*order).limit(max_unlabelled).withColumn("good", F.lit(-1))
-    sample = known.unionByName(other)
+    sample = labels.join(ids.distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), F.col("id")).limit(max_labelled)
+    sample = materialize(sample, "labelled")
+    kinds = {r.good: r.n for r in sample.groupBy("good").agg(F.count("*").alias("n")).collect()}
+    n_known = sum(kinds.values())
+    if len(kinds) < 2:
+        return kinds.get(1, 0) / n_known if n_known else 1.0
     rows = docs.select(F.col(id_column).alias("id"), *inputs(docs, text_column, categories, numbers))
-    # the sample has max_labelled + max_unlabelled rows at most
-    rows = rows.join(F.broadcast(sample), "id")
-    rows = rows.groupBy("id", "good").agg(F.min(F.struct("text", "hashes", "sizes")).alias("x")).select("id", "good", "x.*")
+    # the sample has max_labelled rows at most
+    known = rows.join(F.broadcast(sample), "id")
+    known = known.groupBy("id", "good").agg(F.min(F.struct("text", "hashes", "sizes")).alias("x")).select("id", "good", "x.*")
+    others = rows.join(F.broadcast(sample.select("id")), "id", "left_anti").select("text", "hashes", "sizes")
 
     def extract(batches):
         for batch in batches:
-            data, offsets = text_buffers(batch.column(2))
-            hashes, sizes = meta_arrays(batch, 3, 4)
-            for x, y in blocks(offsets):
-                row, feature, value = text_features(data[offsets[x]:offsets[y]], offsets[x:y + 1] - offsets[x])
-                mrow, mfeature, _ = meta_features(hashes[x:y], sizes[x:y])
-                at = pa.array(np.searchsorted(row, np.arange(y - x + 1)).astype(np.int32))
-                mat = pa.array(np.searchsorted(mrow, np.arange(y - x + 1)).astype(np.int32))
+            for x, y, text, meta in sparse_views(batch, 3, 4, 2):
+                at, mat = (pa.array(np.searchsorted(v.row, np.arange(y - x + 1)).astype(np.int32)) for v in (text, meta))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(x, y - x), batch.column(1).slice(x, y - x), pa.ListArray.from_arrays(at, pa.array(feature.astype(np.int32))),
-                    pa.ListArray.from_arrays(at, pa.array(value.astype(np.float32))), pa.ListArray.from_arrays(mat, pa.array(mfeature.astype(np.int32)))],
+                    batch.column(0).slice(x, y - x), batch.column(1).slice(x, y - x), pa.ListArray.from_arrays(at, pa.array(text.feature.astype(np.int32))),
+                    pa.ListArray.from_arrays(at, pa.array(text.value.astype(np.float32))), pa.ListArray.from_arrays(mat, pa.array(meta.feature.astype(np.int32)))],
                     ["id", "good", "f", "v", "m"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    table = rows.select("id", "good", "text", "hashes", "sizes").mapInArrow(extract, f"id {kind}, good int, f array<int>, v array<float>, m array<int>").toArrow()
-    table = table.sort_by("id").combine_chunks()
-    target = table.column("good").to_numpy()
-    if len(np.unique(target[target >= 0])) < 2:
-        return float(target[target >= 0].mean()) if (target >= 0).any() else 1.0
-    n = table.num_rows
-
-    def sparse(column, values, width):
-        lists = table.column(column).combine_chunks()
-        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(lists.offsets.to_numpy()))
-        feature = lists.flatten().to_numpy()
-        value = table.column(values).combine_chunks().flatten().to_numpy() if values else np.ones(len(feature), np.float32)
-        return Sparse(n, row, feature, value, width)
-
-    views = sparse("f", "v", (1 << TEXT_BITS) + DENSE), sparse("m", None, (1 << META_BITS) + 1)
-    return cotrain(*views, target, rounds, confident)
+    known = known.select("id", "good", "text", "hashes", "sizes").mapInArrow(extract, f"id {kind}, good int, f array<int>, v array<float>, m array<int>")
+    known = materialize(known, "labelled_features")
+
+    def sparse(features, values, width):
+        count = np.concatenate([np.diff(c.offsets.to_numpy()) for c in features])
+        feature = np.concatenate([c.flatten().to_numpy() for c in features])
+        value = np.concatenate([c.flatten().to_numpy() for c in values]) if values else np.ones(len(feature), np.float32)
+        return Sparse(len(count), np.repeat(np.arange(len(count), dtype=np.int32), count), feature, value, width)
+
+    def fitted(taught):
+        def run(batches):
+            held = list(batches)
+            if held:
+                target = np.concatenate([b.column(1).to_numpy() for b in held])
+                text = sparse([b.column(2) for b in held], [b.column(3) for b in held], (1 << TEXT_BITS) + DENSE)
+                model = fit_views(text, sparse([b.column(4) for b in held], None, (1 << META_BITS) + 1), target, taught)
+                parts = (model.text, model.meta, model.calibration.ravel(), model.mix)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tolist()], pa.list_(pa.float64())) for x in parts], ["text", "meta", "calibration", "mix"])
+
+        # the labelled sample in one task, in the order of its ids
+        one = known.repartition(1).sortWithinPartitions("id")
+        found = one.mapInArrow(run, "text array<double>, meta array<double>, calibration array<double>, mix array<double>").first()
+        text, meta, calibration, mix = (np.array(x) for x in found)
+        return Model(text, meta, calibration.reshape(2, 2), mix)
+
+    def taught_by(model):
+        def run(batches):
+            total = None
+            for batch in batches:
+                for _, _, text, meta in sparse_views(batch, 1, 2, 0):
+                    own = lessons(text, meta, model, confident)
+                    total = own if total is None else [tuple(a + b for a, b in zip(x, y)) for x, y in zip(total, own)]
+            for k, (slope, curve, n) in enumerate(total or ()):
+                at = np.flatnonzero(curve)
+                # the number of rows goes with a feature that there is not
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at) + 1, k, np.int32)), pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(slope[at], n)),
+                     pa.array(np.append(curve[at], 0.0))], ["view", "feature", "slope", "curve"])
+
+        sums = others.mapInArrow(run, "view int, feature int, slope double, curve double").groupBy("view", "feature")
+        # at most one row for each feature of a view
+        sums = sums.agg(F.sum("slope").alias("slope"), F.sum("curve").alias("curve")).toArrow()
+        view, feature, slope, curve = (sums.column(k).to_numpy() for k in range(4))
+        out = []
+        for k, weights in enumerate((model.text, model.meta)):
+            own = (view == k) & (feature >= 0)
+            parts = [np.zeros(len(weights)), np.zeros(len(weights))]
+            for part, values in zip(parts, (slope, curve)):
+                part[feature[own]] = values[own]
+            out.append((*parts, float(slope[(view == k) & (feature < 0)].sum())))
+        return out
+
+    model = fitted((None, None))
+    for _ in range(rounds):
+        model = fitted(weighed(taught_by(model), model, n_known, taught_share))
+    return model
 
 
 def classify(docs: DataFrame, model, threshold: float = 0.5, text_column: str = "text", categories=("lang", "source"), numbers=("n_chars",)) -> DataFrame:
@@ -252,14 +346,9 @@ def classify(docs: DataFrame, model, threshold: float = 0.5, text_column: str =
 
     def score(batches):
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            hashes, sizes = meta_arrays(batch, 2, 3)
-            for x, y in blocks(offsets):
-                n = y - x
-                text = Sparse(n, *text_features(data[offsets[x]:offsets[y]], offsets[x:y + 1] - offsets[x]), 0).times(model.text)
-                meta = Sparse(n, *meta_features(hashes[x:y], sizes[x:y]), 0).times(model.meta)
-                scores = model.score(text, meta)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, n), *map(pa.array, scores), pa.array(scores[0] >= threshold)], ["row", *results])
+            for x, y, text, meta in sparse_views(batch, 2, 3, 1):
+                scores = model.score(text.times(model.text), meta.times(model.meta))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), *map(pa.array, scores), pa.array(scores[0] >= threshold)], ["row", *results])
 
     schema = T.StructType([rows.schema["row"], *[T.StructField(c, T.DoubleType()) for c in results[:3]], T.StructField("kept", T.BooleanType())])
     return rows.mapInArrow(score, schema).select("row.*", *results)
