@@ -603,6 +603,7 @@ _PERCENTS = ["hvm", "hv_min", "hv_max", "hvy", "iv", "iv_min", "iv_max", "hv_rat
 _PCT = "CAST(hv_pct AS DOUBLE) AS hv_pct, CAST(iv_pct AS DOUBLE) AS iv_pct"
 put("monitor_snapshot", f"SELECT {day('trade_date')}, group_id, {', '.join(rnd(c) for c in _PERCENTS)}, {_PCT} FROM snap")
 put("product_series", f"SELECT {KEYS}, close, {', '.join(rnd(c) for c in _PERCENTS)}, {_PCT} FROM ser")
+ORACLE["series_stream"] = ORACLE["product_series"]
 _NAMES = {kind: K.DISPLAY_NAMES[gid] for kind, gid in docs.REPORT_IDS.items() if gid in K.DISPLAY_NAMES}
 
 

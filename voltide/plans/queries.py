@@ -15,10 +15,13 @@ from voltide.functions.register import register_functions
 from voltide.operators import (
     aggregate as agg, calendar as cal, contracts, joins, ledger, maintain, normalize, pricing, series, term,
 )
+from voltide.operators.tables import staged
 from voltide.plans import documents as docs, monitor, views
 from voltide.session import configure, shared_folder
 from voltide.sources import documents as parse, exchanges, files
+from voltide.streaming import series_state
 from voltide.streaming.daily_sync import SYNC_KEYS, stream_daily_sync
+from voltide.streaming.series_state import sync_series
 
 QUERIES = {}
 # name -> (documents, reader) of the queries that read rendered documents
@@ -663,25 +666,23 @@ def route_model(spark, folder):
 def sql_functions(spark, folder):
     """The scalars as a SQL user calls them."""
     register_functions(spark)
-    views.pricing_inputs(spark, folder).createOrReplaceTempView("voltide_pricing_inputs")
     return spark.sql("""
         SELECT date_format(trade_date, 'yyyy-MM-dd') AS trade_date, product_id, open_interest,
                round(b76_price(s, k, r, t, v, cp), 6) AS b76,
                round(bs_price(s, k, r, t, v, cp), 6) AS bs,
                round(crr_price(s, k, r, t, v, cp), 6) AS crr,
                round(norm_cdf((s - k) / 25), 10) AS cdf, round(norm_pdf((s - k) / 25), 10) AS pdf
-        FROM voltide_pricing_inputs
-    """)
+        FROM {rows}
+    """, rows=views.pricing_inputs(spark, folder))
 
 
 def _sql_volatility(name, function):
     def run(spark, folder):
         register_functions(spark)
-        views.pricing_inputs(spark, folder).createOrReplaceTempView("voltide_pricing_inputs")
         return spark.sql(f"""
             SELECT date_format(trade_date, 'yyyy-MM-dd') AS trade_date, product_id, open_interest, {function}(price, s, k, r, t, cp) AS iv
-            FROM voltide_pricing_inputs
-        """)
+            FROM {{rows}}
+        """, rows=views.pricing_inputs(spark, folder))
 
     run.__name__ = name
     query(run)
@@ -730,6 +731,21 @@ def product_series(spark, folder):
     )
 
 
+@query
+def series_stream(spark, folder):
+    """The product series kept up by a stream: the first years' days land, then the others; the result is that of all at once."""
+    landing, out, checkpoint = (shared_folder(spark, n) for n in ("days", "series", "series-checkpoint"))
+    days = staged(joins.join_options(_index(spark, folder), _siv(spark, folder)).select("trade_date", "exchange", "group_id", "close", "iv"), "index-days")
+    for part in (F.col("trade_date") < "1998-01-01", F.col("trade_date") >= "1998-01-01"):
+        days.where(part).write.mode("append").parquet(landing)
+        sync_series(spark, landing, out, checkpoint).awaitTermination()
+    stored = spark.read.schema(series_state.OUT).parquet(out)
+    return stored.select(
+        *_keys(), "close", *[rnd(c) for c in PERCENTS],
+        F.col("hv_pct").cast("double").alias("hv_pct"), F.col("iv_pct").cast("double").alias("iv_pct"),
+    )
+
+
 def _notified(spark, folder):
     """Every day of every product as a report row (the report shows one day)."""
     named = _series(spark, folder).withColumn("group_id", docs.display_id(F.col("group_id")))
