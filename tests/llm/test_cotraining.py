@@ -73,3 +73,30 @@ def test_held_out_documents(spark):
     clean = np.mean([r.kept for r in rows if r.quality == 1 and r.toxic == 0])
     foul = np.mean([r.kept for r in rows if r.quality == 0 or r.toxic == 1])
     assert clean > 0.97 and foul < 0.12
+
+
+def test_training_in_tasks_is_training_in_memory(spark):
+    """The model of the distributed rounds against the same rounds over one array of all documents."""
+    import pyarrow as pa
+
+    from voltide.llm.common import text_buffers
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    model = c.train(docs.repartition(7), labels, max_labelled=60)
+    rows = docs.select("doc_id", *c.inputs(docs, "text", ("lang", "source"), ("n_chars",))).orderBy("doc_id").collect()
+    text = c.Sparse(len(rows), *c.text_features(*text_buffers(pa.array([r.text for r in rows]))), (1 << c.TEXT_BITS) + c.DENSE)
+    hashes = np.array([r.hashes for r in rows], np.int64)
+    meta = c.Sparse(len(rows), *c.meta_features(hashes, np.array([r.sizes for r in rows])), (1 << c.META_BITS) + 1)
+    good = {}
+    for r in labels.collect():
+        good[r.doc_id] = min(good.get(r.doc_id, 1), int(r.quality == 1 and not r.toxic))
+    known = docs.where(docs.doc_id.isin(list(good))).selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h", "doc_id").limit(60).collect()
+    sample = {r.doc_id: good[r.doc_id] for r in known}
+    target = np.array([sample.get(r.doc_id, -1) for r in rows])
+    want = c.cotrain(text, meta, target, 2, 0.97)
+    assert np.allclose(model.meta, want.meta, atol=1e-3) and np.allclose(model.text, want.text, atol=1e-3)
+    scores = [m.score(text.times(m.text), meta.times(m.meta))[0] for m in (model, want)]
+    assert np.abs(scores[0] - scores[1]).max() < 1e-2
+    alone = c.cotrain(text, meta, target, 0, 0.97)
+    assert not np.allclose(alone.meta, want.meta, atol=1e-3)  # the rounds taught something

@@ -102,3 +102,21 @@ def test_smaller_positions_on_both_sides():
                 k += 1
             want.append(order[j:k + 1].min() < order[i])
         assert suffix_array.previous_factor(order, linked).tolist() == want
+
+
+@pytest.mark.parametrize("size", [287, 288, 400, 600])
+def test_long_windows(spark, size):
+    g = random.Random(size)
+    passage = "".join(g.choice("abcdé ") for _ in range(1500))
+    rows = []
+    for i in range(30):
+        a, n = g.randint(0, 700), g.randint(size - 60, size + 90)
+        rows.append((i, "".join(g.choice("xyz ") for _ in range(g.randint(0, 300))) + passage[a:a + n] + str(i)))
+    rows += [(100, passage), (101, "q" * 2000), (102, "pq" * 900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for keep in ("none", "first"):
+        got = suffix_array.remove_repeats(df, size, 32, keep, with_text=False).collect()
+        assert sorted((r.doc_id, r.n_units, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows, "bytes", size, keep)
+        words = [(i, re.sub("(?s)(.)", r"\1 ", t.replace(" ", "_"))) for i, t in rows]
+        got = suffix_tree.remove_repeats(spark.createDataFrame(words, "doc_id long, text string"), size, 8, keep, with_text=False).collect()
+        assert sorted((r.doc_id, r.n_units, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(words, "words", size, keep)

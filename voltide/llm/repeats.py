@@ -32,11 +32,16 @@ EARLIER, LATER = 1, 2
 INDEX_BYTES = 1 << 21
 
 
+def long_enough(gram: int, size: int) -> int:
+    """The length of minimisers: their place in a window, and how many windows share one, must fit into 8 bits each."""
+    return max(gram, size - 255)
+
+
 class ByteUnits:
     """Every byte is a unit."""
 
     def __init__(self, size: int = 200, gram: int = 32):
-        self.size, self.gram = size, gram
+        self.size, self.gram = size, long_enough(gram, size)
 
     def of(self, data: np.ndarray, offsets: np.ndarray):
         """Offsets of the texts in units, and the first and last byte of units by number."""
@@ -56,7 +61,7 @@ class WordUnits:
     """Words are runs of characters other than space and the controls 9 to 13."""
 
     def __init__(self, size: int = 35, gram: int = 8):
-        self.size, self.gram = size, gram
+        self.size, self.gram = size, long_enough(gram, size)
 
     def of(self, data, offsets):
         white = (data == 32) | ((data >= 9) & (data <= 13))
