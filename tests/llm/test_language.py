@@ -98,3 +98,52 @@ def test_held_out_accuracy(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1
     assert len(rows) == docs.count()
     assert np.mean([r.lang == r.lang_pred for r in rows if r.held_out]) > 0.99
+
+
+def long_pieces(table):
+    """All pieces as bytes, those of the trie's steps spelled out."""
+    keys, values, _, heads = table
+    out, before = pieces_of((keys[:language.PACKED], values[:language.PACKED])), [int(h).to_bytes(8, "little") for h in heads]
+    for ks, vs in zip(keys[language.PACKED:], values[language.PACKED:]):
+        before = [before[int(k) >> 8] + bytes([int(k) & 255]) for k in ks]
+        out.update({p: int(v) for p, v in zip(before, vs) if v < len(table[2])})
+    return out
+
+
+def test_every_piece_counts_and_words_are_whole(table):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    pieces = long_pieces(table)
+    wanted = {model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.get_piece_size())
+              if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
+    assert wanted | {bytes([b]) for b in range(256)} == set(pieces) and len(pieces) == len(table[2])
+    longest = max(map(len, pieces))
+    words = sorted((p.strip() for p in wanted if len(p) > 8 and b" " not in p.strip()), key=len)[-5:]
+    words += [b"international", b"internationalisation" * 9, "ñandú".encode() * 60, b"z" * 700, bytes(range(128, 250)), b"the"]
+    data, lengths = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
+    q = np.random.default_rng(7).dirichlet(np.full(len(table[2]), 0.5), 2) + 1e-12
+    got = language.Lattice(data, np.cumsum(lengths) - lengths, lengths, table)
+    logs = got.logs(language.scaled_by_length(q))
+    p = table[2]
+    counts = np.arange(1.0, 2 * len(words) + 1).reshape(-1, 2)
+    want = np.zeros((2, len(p)))
+    for place, k in enumerate(got.order):
+        word = b" " + words[k]
+        ends = [[(n, pieces[word[t - n:t]]) for n in range(1, min(longest, t) + 1) if word[t - n:t] in pieces] for t in range(len(word) + 1)]
+
+        def forward(chances):
+            log = [0.0]
+            for t in range(1, len(word) + 1):
+                log.append(np.logaddexp.reduce([log[t - n] + np.log(chances[x]) for n, x in ends[t]]))
+            return log
+
+        for g in range(2):
+            assert abs(logs[place, g] - forward(q[g])[-1]) < 1e-6 * len(word)
+        log, back = forward(p), np.full(len(word) + 1, -np.inf)
+        back[-1] = 0.0
+        for t in range(len(word), 0, -1):
+            for n, x in ends[t]:
+                back[t - n] = np.logaddexp(back[t - n], back[t] + np.log(p[x]))
+                want[:, x] += np.exp(log[t - n] + np.log(p[x]) + back[t] - log[-1]) * counts[k]
+    assert np.allclose(got.expected(language.scaled_by_length(p[None]), counts, len(p)), want)
