@@ -146,3 +146,9 @@ def test_late_options_stop_the_monitor(spark, tmp_path):
         monitor.run_monitor(futures, late, as_of=last, anchor_group="g", on_stale="raise")
     assert monitor.run_monitor(futures, late, anchor_group="g").count() == 1
     assert monitor.run_monitor(futures, options, as_of=last, anchor_group="g", on_stale="raise").count() == 1
+
+
+def test_generated_methods_stay_small_enough_to_be_compiled(spark):
+    from voltide.session import configure
+
+    assert configure(spark).conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"

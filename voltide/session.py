@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a generated method above this size is never compiled by the JVM, only interpreted; Spark then makes smaller ones
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # the Chinese exchanges publish GB18030, which newer defaults refuse to decode
     "spark.sql.legacy.javaCharsets": "true",
 }
