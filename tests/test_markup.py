@@ -137,3 +137,13 @@ def test_elements_of_xml():
     broken = "<a><doc><t>1</t></doc><doc><t>2&nbsp;</t></doc><doc><t>5</t></doc>"
     assert elements(broken, "doc", ["t"]) == [["1"], ["5"]] and elements("", "doc", ["t"]) == [] == elements("<docs/>", "doc", ["t"])
     assert elements("<doc><t>9 &amp; &#60;</t></doc>", "doc", ["t"]) == [["9 & <"]]
+
+
+def test_plain_rows_are_one_match():
+    from voltide.sources.markup import TAGS, table_rows
+
+    head, plain = "<tr><th>a</th><th>b</th></tr>", "<tr><td>x &amp; y</td><td> 1 </td></tr>\n"
+    assert len(list(TAGS.finditer(plain))) == 1 and len(list(TAGS.finditer(head))) == 1
+    nested = "<tr><td>o<table>" + plain + "z</td></table>q</td><td>2</td></tr>"
+    assert table_rows(f"<table>{head}{plain}{nested}<tr><td>open" + plain + "</table>", "th") == (
+        ["a", "b"], [[], ["x & y", "1"], ["ox & y 1 \nzq", "2"], ["open"], ["x & y", "1"]])

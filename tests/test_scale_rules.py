@@ -152,3 +152,13 @@ def test_generated_methods_stay_small_enough_to_be_compiled(spark):
     from voltide.session import configure
 
     assert configure(spark).conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_documents_spread_by_their_number(spark, monkeypatch):
+    from voltide.plans import documents
+
+    monkeypatch.setattr(documents, "TASK_LINES", 1000)
+    folder = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    for render in (documents.shfe_futures, documents.czce_futures, documents.cffe):
+        assert render(spark, folder).rdd.getNumPartitions() == -(-lines // 1000) > 1

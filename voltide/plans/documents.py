@@ -3,7 +3,8 @@
 
 Every line item becomes one small document with a contract row and the extra
 rows a real document has (subtotal, grand total, empty and dashed cells). No
-rows are grouped to build a document, so rendering needs no shuffle. HTML
+rows are grouped to build a document; line items are spread over tasks by their
+number first, because a document costs far more than its line's bytes. HTML
 documents come in a second form, as the exchanges publish them: all contracts
 of a day in one document, a subtotal behind each product.
 """
@@ -16,6 +17,8 @@ from voltide.sources import exchanges
 
 # a day's document holds the lines of so many parts, about 240 in all exchanges
 SHEET_PARTS = 20_000
+# lines that a task renders and reads
+TASK_LINES = 50_000
 
 
 def with_month(schema: T.StructType) -> T.StructType:
@@ -58,8 +61,9 @@ def _comma(col: Column) -> Column:
 
 
 def _quotes(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items with the numbers a document prints."""
-    base = views.lines(spark, folder)
+    """Line items with the numbers a document prints, spread by their number: a file of few bytes holds many documents."""
+    items = views.table(spark, folder, "lineitem")
+    base = views.lines(spark, folder, items.repartition(-(-items.count() // TASK_LINES) or 1))
     month = F.add_months(F.trunc("trade_date", "month"), F.col("l_linenumber") + 2)
     price = F.col("l_extendedprice")
     return base.select(

@@ -40,10 +40,10 @@ def code_of():
     return _by_type(1)
 
 
-def lines(spark: SparkSession, folder: str) -> DataFrame:
+def lines(spark: SparkSession, folder: str, items: DataFrame = None) -> DataFrame:
     """Line items with the type and price of their part."""
     part = table(spark, folder, "part").select("p_partkey", F.col("p_type").alias("group_id"), "p_retailprice")
-    items = table(spark, folder, "lineitem")
+    items = table(spark, folder, "lineitem") if items is None else items
     return (
         items.join(part, items.l_partkey == part.p_partkey)
         .withColumn("trade_date", F.col("l_shipdate").cast("date"))
