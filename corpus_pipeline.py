@@ -45,7 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null counts as the empty text.
     """
-    return minhash.near_duplicates(docs).where("is_first").dropDuplicates(["class_text"]).select(*docs.columns)
+    return minhash.near_duplicates(docs, floor=0.0).where("is_first").dropDuplicates(["class_text"]).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,3 +124,36 @@ def test_common_shingles_are_exact(spark):
 
 def test_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_every_shingle_weighs_by_its_own_share(spark):
+    """Texts that share boilerplate of a tenth of all texts, and texts that share as many rarer words."""
+    g = random.Random(5)
+    part = lambda n: ["".join(g.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    rows = []
+    for k in range(20):
+        boilerplate, rare = part(100), part(100)
+        rows += [(100 * k + i, " ".join(boilerplate + part(60))) for i in range(8)]
+        rows += [(100 * k + 10 + i, " ".join(rare + part(60))) for i in range(2)]
+    rows += [(10_000 + i, t) for i, t in enumerate([None, "", "one two", "one two", rows[0][1]])]
+    # eight of 203 texts and two of 203 are both below a tenth: one weight with the floor, two without it
+    want = brute(rows, 0.41, 5, 0.0)
+    assert want != brute(rows, 0.41, 5, 0.1)
+    df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], SCHEMA).repartition(5)
+    for group_shingles in (4_000_000, 500):
+        got = minhash.near_duplicates(df, 0.41, bands=40, rows=1, floor=0.0, bucket_bytes=20_000, group_shingles=group_shingles).collect()
+        assert {(r.doc_id, r.text): r.class_id for r in got} == want
+
+
+def test_counts_of_buckets_are_those_of_all_texts(spark):
+    rows = corpus()
+    texts = sorted({t or "" for _, t in rows})
+    df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], SCHEMA).repartition(6)
+    dealt = minhash.dealt_texts(df, 9, "doc_id", "text")
+    assert sorted(r.text for r in dealt.collect()) == texts
+    share = Counter(s for c in sets(texts, 5, 0.1) for s in c)
+    found = [r.counts for r in minhash.shingle_counts(dealt, 5, 4).collect()]
+    # a shingle of n texts is counted once in each of its buckets
+    assert set(np.concatenate([np.frombuffer(c, np.int32) for c in found]).tolist()) == set(share.values())
+    one = minhash.shingle_counts(minhash.dealt_texts(df, 1, "doc_id", "text"), 5, 4).orderBy("part").collect()
+    assert sorted(np.concatenate([np.frombuffer(r.counts, np.int32) for r in one]).tolist()) == sorted(share.values())

@@ -2,12 +2,15 @@
 
 Equal texts are one entry. A text is the weighted set of its five-word
 shingles (a shorter text is one shingle of all its words), weighted by term
-frequency times inverse document frequency, ``1 + ln(1 / share)``, where the
-share of texts that hold a shingle counts from ``floor`` upwards. Only shingles
-above the floor need a count, and these are found exactly: a shingle in a
-``floor`` of all texts reaches half of it in blocks that hold half of its
-texts, so the blocks' own counts leave at most ``2 / floor`` times the mean
-text's shingles as candidates, which a second pass counts.
+frequency times inverse document frequency, ``1 + ln(1 / share)``, with the
+share of texts that hold a shingle, counted for every shingle: texts are dealt
+into buckets of about ``bucket_bytes``, a bucket sends its distinct hashes and
+their own counts to ranges of hashes, as sorted arrays, and gets back the sums
+in the same order. With ``floor`` above 0 a share counts from there upwards, and
+only shingles above it are counted: a shingle in a ``floor`` of all texts
+reaches half of it in blocks that hold half of its texts, so the blocks' own
+counts leave at most ``2 / floor`` times the mean text's shingles as
+candidates, which a second pass counts.
 
 Improved consistent weighted sampling draws (shingle, level) pairs that two
 texts share with the probability of their weighted Jaccard similarity. Bands of
@@ -35,7 +38,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from voltide.llm.common import blocks, materialize, mix64, packed, prefix_hash, ranges, span_hash, text_buffers
 from voltide.llm.repeats import WordUnits, distinct_texts, text_keys
@@ -60,18 +65,24 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
 
 
 def weighted(hashes: np.ndarray, offsets: np.ndarray, idf: tuple[np.ndarray, np.ndarray, float]):
-    """Distinct shingles of each text with their weights: (hashes, weights, offsets)."""
+    """Distinct shingles of each text with their weights: (hashes, weights, offsets).
+
+    ``idf`` has a value for every distinct shingle of each text, or is what ``common_shingles`` gives.
+    """
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     new = np.ones(len(hashes), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
     at = np.flatnonzero(new)
     tf = np.diff(np.append(at, len(hashes)))
     hashes, row = hashes[at], row[at]
-    common, values, other = idf
-    weight = np.full(len(hashes), other)
-    if len(common):
-        place = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        weight = np.where(common[place] == hashes, values[place], other)
+    if isinstance(idf, np.ndarray):
+        weight = idf
+    else:
+        common, values, other = idf
+        weight = np.full(len(hashes), other)
+        if len(common):
+            place = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+            weight = np.where(common[place] == hashes, values[place], other)
     return hashes, tf * weight, np.searchsorted(row, np.arange(len(offsets)))
 
 
@@ -152,6 +163,63 @@ def common_shingles(texts: DataFrame, words: int, floor: float, n_texts: int) ->
     return some[share > floor], 1.0 - np.log(share[share > floor]), other
 
 
+def dealt_texts(docs: DataFrame, buckets: int, id_column: str, text_column: str, max_partitions: int = 10_000) -> DataFrame:
+    """``distinct_texts`` with a bucket; buckets lie whole in a partition. Copies in one batch go there once."""
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    keyed = docs.select(F.col(id_column).alias("id"), text.alias("text")).select("id", "text", *text_keys("text"))
+
+    def once(batches):
+        for batch in batches:
+            order = pc.sort_indices(batch.select(["a", "b", "id"]), sort_keys=[(c, "ascending") for c in ("a", "b", "id")])
+            a, b = (batch.column(c).to_numpy()[order.to_numpy()] for c in ("a", "b"))
+            new = np.ones(len(order), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            yield batch.take(order.filter(pa.array(new)))
+
+    dealt = keyed.mapInArrow(once, keyed.schema).withColumn("bucket", F.pmod("a", F.lit(buckets)))
+    one = dealt.repartition(min(buckets, max_partitions), "bucket").groupBy("bucket", "a", "b").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text")).alias("x"))
+    return one.select("bucket", "a", "b", F.col("x.id").alias("first"), F.col("x.text").alias("text"))
+
+
+def shingle_counts(dealt: DataFrame, words: int, parts: int) -> DataFrame:
+    """(bucket, part, counts): in how many texts of all buckets each distinct shingle of a bucket occurs.
+
+    ``counts`` are 32-bit numbers in the order of the shingles' hashes, cut into ranges of hashes.
+    """
+    bounds = np.array([-(-(k << 64) // parts) for k in range(parts)], np.uint64)
+
+    def local(texts: pa.Table) -> pa.Table:
+        held = [found[0] for *_, found in bucket_shingles(texts, words)]
+        hashes, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        cuts = np.append(np.searchsorted(hashes, bounds), len(hashes))
+        some = np.flatnonzero(np.diff(cuts))
+        bucket = texts.column("bucket")[0].as_py()
+        return pa.table({
+            "bucket": pa.array([bucket] * len(some), pa.int64()), "part": pa.array(some.astype(np.int32)),
+            "hashes": pa.array([hashes[cuts[k]:cuts[k + 1]].tobytes() for k in some], pa.binary()),
+            "counts": pa.array([count[cuts[k]:cuts[k + 1]].astype(np.int32).tobytes() for k in some], pa.binary())})
+
+    def total(rows: pa.Table) -> pa.Table:
+        hashes, counts = ([np.frombuffer(x.as_py(), kind) for x in rows.column(c)] for c, kind in (("hashes", np.uint64), ("counts", np.int32)))
+        _, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        sums = np.bincount(place, np.concatenate(counts)).astype(np.int32)[place]
+        ends = np.cumsum([len(h) for h in hashes])
+        out = [sums[e - len(h):e].tobytes() for h, e in zip(hashes, ends.tolist())]
+        return pa.table({"bucket": rows.column("bucket"), "part": rows.column("part"), "counts": pa.array(out, pa.binary())})
+
+    sent = dealt.groupBy("bucket").applyInArrow(local, "bucket bigint, part int, hashes binary, counts binary")
+    return sent.groupBy("part").applyInArrow(total, "bucket bigint, part int, counts binary")
+
+
+def bucket_shingles(texts: pa.Table, words: int):
+    """(first row, rows, shingles, their offsets, (distinct shingles, term frequencies, their offsets)) of some texts at a time."""
+    data, offsets = text_buffers(texts.column("text"))
+    for x, y in blocks(offsets):
+        hashes, at = shingles(data[offsets[x]:offsets[y]], offsets[x:y + 1] - offsets[x], words)
+        yield x, y, hashes, at, weighted(hashes, at, (np.zeros(0, np.uint64), np.zeros(0), 1.0))
+
+
 def reached(hashes: list[np.ndarray], keys: np.ndarray, idf, similarity: float) -> np.ndarray:
     """For each text of a group the first text of its class; ``keys`` are its buckets (texts, bands)."""
     n = len(hashes)
@@ -229,33 +297,58 @@ def across(rows: DataFrame, cut: DataFrame, classes: DataFrame, group_shingles:
 
 def near_duplicates(
     docs: DataFrame, similarity: float = 0.8, words: int = 5, bands: int = 9, rows: int = 3, floor: float = 0.1,
-    group_shingles: int = 4_000_000, id_column: str = "doc_id", text_column: str = "text",
+    group_shingles: int = 4_000_000, id_column: str = "doc_id", text_column: str = "text", bucket_bytes: int = 8 << 20,
 ) -> DataFrame:
     """``docs`` with class_id (the smallest id of the class), class_text (a, b of its text) and is_first."""
     texts = distinct_texts(docs, id_column, text_column)
-    n_texts = docs.select(*text_keys(F.coalesce(F.col(text_column).cast("string"), F.lit("")))).distinct().count()
-    idf = common_shingles(texts, words, floor, max(n_texts, 1))
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    one_each = docs.select(*text_keys(text), F.octet_length(text).alias("n")).distinct()
+    n_texts, size = one_each.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    buckets = max(1, -(-size // bucket_bytes))
+    idf = common_shingles(texts, words, floor, max(n_texts, 1)) if floor > 0 else None
     kind = texts.schema["first"].dataType.simpleString()
 
-    def sign(batches):
-        for batch, x, y, data, offsets in text_blocks(batches, 3):
-            hashes, at = shingles(data, offsets, words)
+    def sign(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        found = list(bucket_shingles(texts, words))
+        out = [pa.schema(columns).empty_table()]
+        if idf is None:
+            order = np.argsort(counts.column("part").to_numpy())
+            held = counts.column("counts").combine_chunks()
+            total = np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(held[k].as_py(), np.int32) for k in order.tolist()]])
+            known = np.unique(np.concatenate([f[0] for *_, f in found])) if found else np.zeros(0, np.uint64)
+        for x, _, hashes, at, (flat, tf, at_) in found:
             some = np.flatnonzero(np.diff(at))
             if len(some) == 0:
                 continue
-            flat, weight, at_ = weighted(hashes, at, idf)
+            if idf is None:
+                n = total[np.searchsorted(known, flat)]
+                weight, ends = tf * (1.0 - np.log(n / n_texts)), at_
+            else:
+                n, ends = np.zeros(0, np.int32), np.zeros(len(at_), np.int64)
+                weight = weighted(hashes, at, idf)[1]
             drawn = samples(flat, weight, np.append(at_[some], len(flat)), bands * rows).reshape(bands, rows, -1)
             key = drawn[:, 0]
             for k in range(1, rows):
                 key = mix64(key * np.uint64(31) + drawn[:, k])
-            columns = [batch.column(k).take(pa.array(some + x)) for k in range(3)]
             offsets_ = pa.array(np.arange(0, bands * len(some) + 1, bands, dtype=np.int32))
             keys = pa.ListArray.from_arrays(offsets_, pa.array(key.T.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(at)[some]), keys], ["a", "b", "first", "size", "keys"])
-
-    signed = texts.select("a", "b", "first", "text").mapInArrow(sign, f"a bigint, b bigint, first {kind}, size bigint, keys array<bigint>")
+            counted = pa.ListArray.from_arrays(pa.array(np.append(ends[some], len(n)).astype(np.int32)), pa.array(n))
+            own = [texts.column(c).take(pa.array(some + x)) for c in ("a", "b", "first")]
+            out.append(pa.Table.from_arrays([*own, pa.array(np.diff(at)[some]), keys, counted], schema=pa.schema(columns)))
+        return pa.concat_tables(out)
+
+    columns = [("a", pa.int64()), ("b", pa.int64()), ("first", to_arrow_type(texts.schema["first"].dataType)), ("size", pa.int64()),
+               ("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))]
+    dealt = dealt_texts(docs, buckets, id_column, text_column)
+    signature = f"a bigint, b bigint, first {kind}, size bigint, keys array<bigint>, counts array<int>"
+    if idf is None:
+        # both uses of ``dealt`` are one shuffle
+        both = dealt.groupBy("bucket").cogroup(shingle_counts(dealt, words, buckets).groupBy("bucket"))
+        signed = both.applyInArrow(sign, signature)
+    else:
+        signed = dealt.groupBy("bucket").applyInArrow(lambda held: sign(held, None), signature)
     vertex = F.struct(F.col("first").isNull().alias("none"), F.col("first"), F.col("a"), F.col("b")).alias("v")
-    signed = materialize(signed.select(vertex, "size", "keys"), "signatures")
+    signed = materialize(signed.select(vertex, "size", "keys", "counts"), "signatures")
     each = signed.select("v", "size", F.posexplode("keys").alias("band", "key"))
     crowd = each.groupBy("band", "key").agg(F.count("*").alias("_n")).where("_n > 1")
     each = each.join(crowd, ["band", "key"]).select("v", "size", F.struct("band", "key").alias("bucket"))
@@ -280,7 +373,7 @@ def near_duplicates(
             hashes, at = shingles(data, offsets, words)
             rows_ = pa.array(np.arange(x, y))
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(rows_) for k in (0, 1, 2, 4, 5)], lists], ["a", "b", "first", "groups", "keys", "set"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(rows_) for k in (0, 1, 2, 4, 5, 6)], lists], ["a", "b", "first", "groups", "keys", "counts", "set"])
 
     group_type = "struct<kind: int, one: bigint, two: bigint>"
     order = ["kind", "one", "two", "none", "first", "a", "b"]
@@ -301,11 +394,12 @@ def near_duplicates(
 
     def classes(held):
         table = pa.Table.from_batches(held).combine_chunks()
-        sets_, keys = table.column(8).combine_chunks(), table.column(7).combine_chunks()
+        keys, counts, sets_ = (table.column(k).combine_chunks() for k in (7, 8, 9))
         at = sets_.offsets.to_numpy() - sets_.offsets[0].as_py()
         flat = sets_.flatten().to_numpy().view(np.uint64)
         keys = keys.flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
-        label = pa.array(reached([flat[s:e] for s, e in zip(at[:-1], at[1:])], keys, idf, similarity))
+        own = 1.0 - np.log(counts.flatten().to_numpy() / n_texts) if idf is None else idf
+        label = pa.array(reached([flat[s:e] for s, e in zip(at[:-1], at[1:])], keys, own, similarity))
         columns = [table.column(k).combine_chunks() for k in (0, 3, 4, 5, 6)]
         return pa.RecordBatch.from_arrays([*columns, *[c.take(label) for c in columns[1:]]], names)
 
@@ -315,11 +409,11 @@ def near_duplicates(
     def linked(members, name):
         """(kind, v, label) of ``members`` (v, group): the first text that a text is connected to within its group."""
         groups = members.groupBy("v").agg(F.collect_list("group").alias("groups"))
-        groups = groups.join(signed.select("v", "keys"), "v").select(F.col("v.a").alias("a"), F.col("v.b").alias("b"), "groups", "keys")
+        groups = groups.join(signed.select("v", "keys", "counts"), "v").select(F.col("v.a").alias("a"), F.col("v.b").alias("b"), "groups", "keys", "counts")
         sets = texts.select("a", "b", "first", "text").join(groups, ["a", "b"], "left").where(F.col("groups").isNotNull())
-        sets = sets.select("a", "b", "first", "text", "groups", "keys").mapInArrow(
-            shingled, f"a bigint, b bigint, first {kind}, groups array<{group_type}>, keys array<bigint>, set array<bigint>")
-        sets = sets.select(F.explode("groups").alias("group"), vertex, "keys", "set").select("group.*", "v.*", "keys", "set")
+        sets = sets.select("a", "b", "first", "text", "groups", "keys", "counts").mapInArrow(
+            shingled, f"a bigint, b bigint, first {kind}, groups array<{group_type}>, keys array<bigint>, counts array<int>, set array<bigint>")
+        sets = sets.select(F.explode("groups").alias("group"), vertex, "keys", "counts", "set").select("group.*", "v.*", "keys", "counts", "set")
         sets = sets.repartition("kind", "one", "two").sortWithinPartitions(*order)
         out = sets.mapInArrow(verify, f"kind int, none boolean, first {kind}, a bigint, b bigint, to_none boolean, to_first {kind}, to_a bigint, to_b bigint")
         return materialize(out.select("kind", F.struct("none", "first", "a", "b").alias("v"), to.alias("label")), name)
@@ -341,7 +435,6 @@ def near_duplicates(
     final = final.select("v.a", "v.b", "label")
 
     results = ("class_id", "class_text", "is_first")
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     rows_ = docs.select(packed(docs, *[c for c in results if c not in (id_column, text_column)]), F.col(id_column).alias("id"), *text_keys(text))
     firsts = rows_.groupBy("a", "b").agg(F.min("id").alias("least")).join(final, ["a", "b"], "left")
     own = F.struct(F.col("a"), F.col("b"))

@@ -85,7 +85,7 @@ def op5_robust_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_weighted_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), floor=0.0)
     return found.select("doc_id", "class_id", "is_first")
 
 
