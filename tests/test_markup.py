@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from voltide import schemas
-from voltide.sources import documents
+from voltide.sources import documents, markup
 from voltide.sources.markup import column_titles, elements, first_table, spread, table_rows
 
 DAY = datetime.date(2021, 1, 5)
@@ -147,3 +147,21 @@ def test_plain_rows_are_one_match():
     nested = "<tr><td>o<table>" + plain + "z</td></table>q</td><td>2</td></tr>"
     assert table_rows(f"<table>{head}{plain}{nested}<tr><td>open" + plain + "</table>", "th") == (
         ["a", "b"], [[], ["x & y", "1"], ["ox & y 1 \nzq", "2"], ["open"], ["x & y", "1"]])
+
+
+def test_plain_tables_are_one_match_with_the_rows_of_the_general_way(monkeypatch):
+    head, rows = "<thead><tr><td>a</td><td> b&amp;c</td></tr>\n</thead>", "<tr><td>1</td><td><b>2</b>&nbsp;</td></tr>\n<tr><td>x</td><td></td></tr>"
+    titled = "<tr><th>note</th></tr><tr><th>t</th><th>u</th></tr>"
+    plain = [f"<TABLE id='>'>{head}<tbody>{rows}</tbody></TABLE><table>", f"<p>q</p><table>\n{titled}{rows}</table>", "<table></table>",
+             f"<table>{titled}<tr><td>1</td></tr>{rows}</table><table><tr><td>9</td></tr></table>"]
+    others = [plain[1].replace("</td></tr>", "</tr>"), f"<!--{plain[1]}-->{plain[3]}", f"<script>{plain[1]}</script>{plain[3]}", plain[1][:-8],
+              plain[1].replace("<td>x", "<td colspan=2>x"), plain[1].replace("x", plain[3]), plain[1].replace("x", "<"), f"<a t='{plain[3]}'>{plain[1]}"]
+    for header in ("th", "thead"):
+        found = [(markup.plain_table(x, header), markup.table_rows(x, header)) for x in plain + others]
+        with monkeypatch.context() as m:
+            m.setattr(markup, "plain_table", lambda *_: None)
+            assert [markup.table_rows(x, header) for x in plain + others] == [f[1] for f in found]
+        assert all(f[0] is None for f in found[len(plain):])
+        assert all(f[0] is not None for f in found[:1 if header == "thead" else len(plain)])
+    assert markup.table_rows(plain[0], "thead") == (["a", "b&c"], [["1", "2"], ["x", ""]])
+    assert markup.table_rows(plain[3], "th") == (["t", "u"], [[], [], ["1"], ["1", "2"], ["x", ""]])

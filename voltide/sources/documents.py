@@ -127,17 +127,23 @@ def html_records(payloads: DataFrame, names: dict, header: str = "thead", carry:
     document; a row too short for a title gives NULL. ``carry`` names a column
     whose value in the row before, empty rows included, becomes ``carried``.
     """
+    known = [None, []]  # the titles of the document before, and where each name stands
+
     def columns(text):
         titles, rows = table_rows(text, header)
+        if titles != known[0]:
+            known[:] = titles, [[titles.index(t) for t in wanted if t in titles] for wanted in names.values()]
         kept = [k for k, row in enumerate(rows) if row]
         out = [kept]
-        for name, wanted in names.items():
-            places = [titles.index(t) for t in wanted if t in titles]
-            cells = [next((row[p] for p in places if p < len(row)), None) for row in rows]
-            out.append([cells[k] for k in kept])
-            if name == carry:
-                before = [cells[k - 1] if k else None for k in kept]
-        return out if carry is None else [*out, before]
+        if kept and min([len(rows[k]) for k in kept]) >= len(titles):
+            cells = list(zip(*[rows[k] for k in kept]))
+            out += [cells[places[0]] if places else [None] * len(kept) for places in known[1]]
+        else:
+            out += [[next((rows[k][p] for p in places if p < len(rows[k])), None) for k in kept] for places in known[1]]
+        if carry is None:
+            return out
+        at = dict(zip(kept, out[1 + list(names).index(carry)]))
+        return [*out, [at.get(k - 1) for k in kept]]
 
     fields = ["pos int", *[f"{name} string" for name in names], *([] if carry is None else ["carried string"])]
     return _parsed_rows(payloads, ", ".join(fields), columns)
