@@ -70,3 +70,22 @@ def test_empty_and_odd_ids(spark):
     df = spark.createDataFrame([(1, None), (2, []), (3, [-1, 99999, 0, 1, 2])], "k int, ids array<int>")
     got = {r.k: r.decoded for r in lattice.decode(df, PATH).collect()}
     assert got[1] is None and got[2] == b"" and got[3] == b""
+
+
+def test_texts_stay_in_their_tasks(spark):
+    """Neither texts nor edges are sorted or shuffled: memory and disk do not grow with them."""
+    df = spark.createDataFrame([(1, "some text", "b", 1, "x", "y")], SCHEMA)
+    plan = lattice.encode(df, PATH)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "Aggregate" not in plan
+
+
+def test_paths_of_many_units(rows, monkeypatch):
+    g = random.Random(5)
+    units = [" " + "".join(g.choice(["a", "the", "ing", "é", "中", "\U0001f600", "qz", "1"]) for _ in range(g.randint(1, 40))) for _ in range(300)]
+    units += ["\n", " ", "x" * 448, " " * 64, "\x00"]
+    monkeypatch.setattr(lattice, "LATTICE_CHARS", 500)
+    ids, start, n = lattice.solved(units, lattice.PrefixTree(rows), 3)
+    for unit, s, k in zip(units, start, n):
+        best = viterbi(unit[1:], rows) if unit[0] == " " else None
+        if best is not None:
+            assert ids[s:s + k].tolist() == best

@@ -1,12 +1,13 @@
-"""SentencePiece encoding and decoding over a relational lattice.
+"""SentencePiece encoding and decoding over a lattice.
 
 Texts get a space in front and fall into units that no piece crosses: spaces
-and what follows them, and line breaks. The distinct units of a bucket of texts
-explode into all substrings of at most ``longest`` characters; an equi-join with
-the piece table keeps those that are pieces; grouped by unit they are the edges
-of its lattice. A fold with Spark's higher-order functions over the edges, by
-their end, keeps the cheapest path to each character (Viterbi), and a second
-fold reads it back. Texts then look up their units.
+and what follows them, and line breaks. Texts stay where they are read: a task
+takes some of them at a time, solves the distinct units that it has not seen
+yet, and looks up all units. All places of some units at once walk down the
+prefix tree of the pieces; the pieces found on the way are the edges of the
+lattice. Sorted by their end, they are folded place by place, for all these
+units together, to the cheapest path to each character (Viterbi), which is then
+read back.
 
 A piece costs ``ln(rank + 50)`` in thousandths, by its place in the file, plus
 the logarithm of their sum over all pieces; a character that is no piece costs
@@ -15,8 +16,9 @@ same everywhere; among equal paths the longer last piece wins. (Files of
 kind BPE give merge order instead of probabilities; their own merging is another
 segmentation of the same text into the same pieces.)
 
-Buckets hold about ``bucket_bytes`` of text and all steps of a bucket run in one
-partition: texts move once, units and edges never.
+A task holds about ``bucket_bytes`` of text, or one text, the lattice of
+``LATTICE_CHARS`` characters, and the paths of ``KNOWN_UNITS`` units and those
+of the texts at hand.
 
 Defined results: null text encodes like empty text, to no ids; units longer than
 448 characters, and runs of more than 64 spaces, are cut there; repeated rows are
@@ -25,17 +27,22 @@ name of a result column is replaced by it. Decoding ids of a text gives the text
 back, byte by byte; null ids decode to null, ids outside the table to nothing.
 """
 
+import collections
+import itertools
 import math
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from voltide.llm.common import packed, ranges
+from voltide.llm.common import blocks, packed, ranges, text_buffers
 
 UNIT = r" {0,64}[^ \n\t\r]{1,448}| {1,64}|[\n\t\r]"
 NO_PIECE = 20_000
+# characters whose lattice is held at once; units whose paths a task keeps
+LATTICE_CHARS = 1 << 18
+KNOWN_UNITS = 1 << 18
 
 
 def pieces(path: str) -> tuple[list[tuple[str, int, int]], list[bytes], int]:
@@ -62,98 +69,145 @@ def pieces(path: str) -> tuple[list[tuple[str, int, int]], list[bytes], int]:
     return [(t, i, round(1000 * (c + base))) for t, i, c in rows], content, first_byte
 
 
-def edge(end: Column, start: Column, piece: Column, cost: Column) -> Column:
-    """An edge as one number that sorts by end: end 10 bits, start 10, id + 1 16, cost 20."""
-    return F.shiftleft(end.cast("bigint"), 46) + F.shiftleft(start.cast("bigint"), 36) + F.shiftleft(piece.cast("bigint") + 1, 20) + cost
-
-
-def best_path(edges: Column) -> Column:
-    """Fold edges, sorted, to the best way to each place: cost, start and id + 1 in one number."""
-    def step(state, x):
-        end, start = F.shiftright(x, 46).cast("int"), F.shiftright(x, 36).bitwiseAND(1023).cast("int")
-        cost = F.shiftright(F.element_at(state, start + 1), 26) + x.bitwiseAND((1 << 20) - 1)
-        way = F.shiftleft(cost, 26) + F.shiftright(x, 20).bitwiseAND((1 << 26) - 1)
-        better = F.when(way < F.element_at(state, -1), F.concat(F.slice(state, F.lit(1), end), F.array(way))).otherwise(state)
-        return F.when(F.size(state) == end, F.concat(state, F.array(way))).otherwise(better)
-
-    return F.aggregate(edges, F.array(F.lit(0).cast("bigint")), step)
-
-
-def read_path(state: Column) -> Column:
-    """Ids along the best path, first to last; a character without a piece is minus its place minus one."""
-    def back(s, _):
-        way = F.element_at(state, s["at"] + 1)
-        start, piece = F.shiftright(way, 16).bitwiseAND(1023).cast("int"), way.bitwiseAND(65535).cast("int")
-        token = F.when(piece > 0, piece - 1).otherwise(-start - 1)
-        return F.when(s["at"] > 0, F.struct(start.alias("at"), F.concat(F.array(token), s["ids"]).alias("ids"))).otherwise(s)
-
-    first = F.struct((F.size(state) - 1).alias("at"), F.array().cast("array<int>").alias("ids"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(state) - 1, F.lit(1))), first, back, lambda s: s["ids"])
-
-
-def unit_paths(units: DataFrame, rows: list, keys: list[str], longest: int) -> DataFrame:
-    """The best path of every row of ``units`` (keys, unit), which are distinct."""
-    spark = units.sparkSession
-    known = F.broadcast(spark.createDataFrame(rows, "piece string, id int, cost int"))  # the rows of one vocabulary file
-    at = units.withColumn("n", F.length("unit")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    at = at.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s")))))
-    parts = at.withColumn("piece", F.expr("substring(unit, s + 1, k)")).join(known, "piece", "left").where("id IS NOT NULL OR k = 1")
-    found = parts.select(*keys, "unit", edge(F.col("s") + F.col("k"), F.col("s"), F.coalesce("id", F.lit(-1)),
-                                             F.coalesce("cost", NO_PIECE * F.octet_length("piece"))).alias("edge"))
-    lattice = found.groupBy(*keys, "unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    return lattice.withColumn("state", best_path(F.col("edges"))).select(*keys, "unit", read_path(F.col("state")).alias("path"))
-
-
-def encode(docs: DataFrame, model_path: str, text_column: str = "text", bucket_bytes: int = 8 << 20, max_partitions: int = 10_000) -> DataFrame:
+class PrefixTree:
+    """The pieces as steps from state to state, each by one character; state 0 is the root."""
+
+    def __init__(self, rows: list):
+        steps, piece, cost = {}, [0], [0]
+        for text, i, c in rows:
+            state = 0
+            for char in text:
+                state = steps.setdefault(state << 21 | ord(char), len(piece))
+                if state == len(piece):
+                    piece.append(0)
+                    cost.append(0)
+            piece[state], cost[state] = i + 1, c
+        self.steps = np.array(sorted(steps), np.int64)
+        self.to = np.array([steps[k] for k in self.steps.tolist()], np.int64)
+        self.piece, self.cost = np.array(piece, np.int64), np.array(cost, np.int64)  # by state; piece is id + 1, or 0
+
+    def edges(self, codes: np.ndarray, stop: np.ndarray, size: np.ndarray):
+        """(start, length, id + 1, cost) of all pieces in units; ``stop`` is the end of each character's unit, ``size`` its bytes.
+
+        A character without a piece of its own is an edge with 0 for id + 1.
+        """
+        at, state, length, found = np.arange(len(codes)), np.zeros(len(codes), np.int64), 0, []
+        alone = np.ones(len(codes), bool)
+        while len(at):
+            key = state << 21 | codes[at + length]
+            place = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+            hit = self.steps[place] == key
+            at, state, length = at[hit], self.to[place[hit]], length + 1
+            whole = self.piece[state] > 0
+            starts, ends = at[whole], state[whole]
+            if length == 1:
+                alone[starts] = False
+            found.append((starts, np.full(len(starts), length), self.piece[ends], self.cost[ends]))
+            go = at + length < stop[at]
+            at, state = at[go], state[go]
+        odd = np.flatnonzero(alone)
+        found.append((odd, np.ones(len(odd), np.int64), np.zeros(len(odd), np.int64), NO_PIECE * size[odd]))
+        return [np.concatenate(x) for x in zip(*found)]
+
+
+def best_paths(units: list, tree: PrefixTree, first_byte: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids along the best path of every unit, one after the other, and how many each has.
+
+    Place p of unit u is a node; the best way to it is one number: cost, start 10 bits, id + 1 16 bits.
+    """
+    text = "".join(units)
+    codes, raw = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64), np.frombuffer(text.encode(), np.uint8)
+    size = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+    raw_at = np.cumsum(size) - size
+    count = np.fromiter(map(len, units), np.int64, len(units))
+    ends = np.cumsum(count)
+    unit = np.repeat(np.arange(len(units)), count)
+    start, length, piece, cost = tree.edges(codes, ends[unit], size)
+    begin = start - (ends - count)[unit[start]]  # place in the unit
+    place, node = begin + length, start + length + unit[start]
+    order = np.argsort(place * (len(codes) + len(units)) + node)
+    begin, place, node = begin[order], place[order], node[order]
+    source = node - place + begin
+    way = (cost[order] << 26) + (begin << 16) + piece[order]
+    groups = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    levels = np.searchsorted(place, np.arange(1, int(count.max()) + 2))
+    own = np.searchsorted(groups, levels)
+    best, tokens = np.zeros(len(codes) + len(units), np.int64), np.zeros(len(codes) + len(units), np.int64)
+    first = ends - count  # of a unit's characters; its first node is that and its number
+    number = np.arange(len(units))
+    unit_at = np.repeat(number, count + 1)  # by node
+    for k in range(1, len(levels)):
+        low, high, here = levels[k - 1], levels[k], groups[own[k - 1]:own[k]]
+        to = node[here]
+        best[to] = found = np.minimum.reduceat((best[source[low:high]] >> 26 << 26) + way[low:high], here - low)
+        origin = to - k + (found >> 16 & 1023)
+        tokens[to] = tokens[origin] + np.where(found & 65535, 1, size[np.minimum(origin - unit_at[origin], len(size) - 1)])
+    made = tokens[ends + number]
+    ids_at = np.cumsum(made) - made
+    ids = np.zeros(int(made.sum()), np.int32)
+    unit, node = number, ends + number
+    while len(unit):
+        found = best[node]
+        begin, piece = found >> 16 & 1023, found & 65535
+        node = first[unit] + unit + begin
+        put = ids_at[unit] + tokens[node]
+        ids[put[piece > 0]] = piece[piece > 0] - 1
+        odd = piece == 0
+        if odd.any():
+            char = node[odd] - unit[odd]
+            ids[ranges(put[odd], size[char])] = first_byte + raw[ranges(raw_at[char], size[char])]
+        go = begin > 0
+        unit, node = unit[go], node[go]
+    return ids, made
+
+
+def solved(units: list, tree: PrefixTree, first_byte: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all units, where each unit's begin, and how many there are; units of like length are solved together."""
+    count = np.fromiter(map(len, units), np.int64, len(units))
+    order = np.argsort(count, kind="stable")
+    parts = [best_paths([units[u] for u in order[x:y]], tree, first_byte)
+             for x, y in blocks(np.concatenate([[0], np.cumsum(count[order])]), LATTICE_CHARS)]
+    ids, made = (np.concatenate(x) for x in zip(*parts))
+    start, n = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+    start[order], n[order] = np.cumsum(made) - made, made
+    return ids, start, n
+
+
+def encode(docs: DataFrame, model_path: str, text_column: str = "text", bucket_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` with ids; the text comes last but one."""
-    rows, content, first_byte = pieces(model_path)
-    longest = max(len(t) for t, *_ in rows)
-    text = F.col(text_column).cast("string")
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    buckets = max(1, -(-size // bucket_bytes))
-    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).cast("int").alias("bucket")
-    own = packed(docs, "ids", text_column)
-    dealt = docs.select(own, text.alias("text"), spread).repartition(min(buckets, max_partitions), "bucket")
-    # reads the other columns too, always true: both uses of ``dealt`` are then one shuffle
-    whole = F.xxhash64("row") >= F.lit(-(1 << 63))
-    said = F.when((F.length("text") > 0) & whole, F.concat(F.lit(" "), "text"))
-    units = dealt.select("bucket", F.explode(F.array_distinct(F.regexp_extract_all(said, F.lit(UNIT), F.lit(0)))).alias("unit")).distinct()
-    paths = unit_paths(units, rows, ["bucket"], longest)
-    split = re.compile(UNIT).findall
-
-    def look_up(texts: pa.Table, words: pa.Table) -> pa.Table:
-        names = words.column("unit").to_pylist()
-        number = {u: k for k, u in enumerate(names)}
-        paths = words.column("path").combine_chunks()
-        at = paths.offsets.to_numpy().astype(np.int64) - paths.offsets[0].as_py()
-        flat = paths.flatten().to_numpy()
-        odd = np.flatnonzero(flat < 0)  # characters that become byte pieces
-        if len(odd):
-            unit = np.searchsorted(at, odd, side="right") - 1
-            raw = [[first_byte + b for b in names[u][-flat[k] - 1].encode()] for u, k in zip(unit.tolist(), odd.tolist())]
-            times = np.ones(len(flat), np.int64)
-            times[odd] = [len(r) for r in raw]
-            ends = np.concatenate([[0], np.cumsum(times)])
-            flat = np.repeat(flat, times)
-            flat[ranges(ends[odd], times[odd])] = [b for r in raw for b in r]
-            at = ends[at]
-        out, done = [], 0
-        columns = texts.column("text").combine_chunks()
-        while done < len(columns):  # some texts at a time
-            some = columns.slice(done, 256).to_pylist()
-            index = [[number[u] for u in split(" " + t)] if t else [] for t in some]
-            each = np.fromiter((k for i in index for k in i), np.int64)
-            counts = np.fromiter(map(len, index), np.int64, len(index))
-            length = at[each + 1] - at[each] if len(each) else np.zeros(0, np.int64)
-            ids = flat[ranges(at[each], length)] if len(each) else np.zeros(0, np.int32)
-            total = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(counts)])]
-            out.append(pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(ids.astype(np.int32))))
-            done += 256
-        return pa.table({"row": texts.column("row"), "text": texts.column("text"), "ids": pa.chunked_array(out, pa.list_(pa.int32()))})
-
-    schema = T.StructType([dealt.schema["row"], dealt.schema["text"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    both = dealt.withColumnRenamed("bucket", "at").groupBy("at").cogroup(paths.groupBy("bucket"))
-    return both.applyInArrow(look_up, schema).select("row.*", F.col("text").alias(text_column), "ids")
+    pieces_of_file, _, first_byte = pieces(model_path)
+    tree = PrefixTree(pieces_of_file)
+    rows = docs.select(packed(docs, "ids", text_column), F.col(text_column).cast("string").alias("text"))
+
+    def look_up(batches):
+        split = re.compile(UNIT).findall
+        number = collections.defaultdict(itertools.count().__next__)  # of a unit, by first appearance
+        ids, start, n = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            for x, y in blocks(text_buffers(batch.column(1))[1], bucket_bytes):
+                if len(number) > KNOWN_UNITS:
+                    number = collections.defaultdict(itertools.count().__next__)
+                    ids, start, n = ids[:0], start[:0], n[:0]
+                part = batch.slice(x, y - x)
+                places, counts = [], np.zeros(y - x, np.int64)
+                for k, text in enumerate(part.column(1)):
+                    text = text.as_py()
+                    if text:
+                        places.append(np.fromiter(map(number.__getitem__, split(" " + text)), np.int64))
+                        counts[k] = len(places[-1])
+                fresh = list(itertools.islice(number, len(n), None))
+                if fresh:
+                    more, at, times = solved(fresh, tree, first_byte)
+                    start, n = np.concatenate([start, at + len(ids)]), np.concatenate([n, times])
+                    ids = np.concatenate([ids, more])
+                each = np.concatenate(places) if places else np.zeros(0, np.int64)
+                length = n[each]
+                total = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(counts)])]
+                found = pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(ids[ranges(start[each], length)]))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), found], ["row", "text", "ids"])
+
+    schema = T.StructType([rows.schema["row"], rows.schema["text"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return rows.mapInArrow(look_up, schema).select("row.*", F.col("text").alias(text_column), "ids")
 
 
 def decode(docs: DataFrame, model_path: str, ids_column: str = "ids") -> DataFrame:
