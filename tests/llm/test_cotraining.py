@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from voltide.llm import cotraining as c
@@ -100,3 +103,23 @@ def test_training_in_tasks_is_training_in_memory(spark):
     assert np.abs(scores[0] - scores[1]).max() < 1e-2
     alone = c.cotrain(text, meta, target, 0, 0.97)
     assert not np.allclose(alone.meta, want.meta, atol=1e-3)  # the rounds taught something
+
+
+def peak_of(work) -> int:
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_fit_and_of_a_batch():
+    """Temporary arrays do not grow with the labelled sample, nor with the texts of a batch."""
+    n = 3_000_000
+    x = c.Sparse(3000, np.repeat(np.arange(3000, dtype=np.int32), 1000), np.arange(n, dtype=np.int32) % 5000, np.ones(n, np.float32), 5000)
+    assert np.array_equal(x.times(np.ones(5000)), np.full(3000, 1000.0)) and np.array_equal(x.back(np.ones(3000)), np.full(5000, 600.0))
+    assert peak_of(lambda: x.times(np.ones(5000))) < 16 << 20 and peak_of(lambda: x.back(np.ones(3000))) < 16 << 20
+    text = "some words of a text that is as long as others, 1 2 3! " * 400
+    batch = pa.record_batch({"text": [text] * 200, "hashes": [[1, 2]] * 200, "sizes": [[3.0]] * 200})
+    assert peak_of(lambda: [None for _ in c.sparse_views(batch, 1, 2, 0)]) < 48 << 20

@@ -35,6 +35,8 @@ from voltide.llm.common import blocks, byte_codes, materialize, mix64, packed, p
 TEXT_BITS, META_BITS = 15, 12
 LENGTHS = (4, 6, 32)
 DENSE = 7
+# bytes of text whose features, and entries of sparse rows that, are turned into numbers at a time: both take some 60 times that
+TEXT_BYTES, ENTRIES = 256 << 10, 1 << 18
 
 
 def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,15 +107,26 @@ class Sparse:
         self.rows, self.row, self.feature, self.value, self.width = rows, row, feature, value, width  # sorted by row
 
     def where(self, chosen: np.ndarray) -> "Sparse":
-        place = np.cumsum(chosen) - 1
+        place = (np.cumsum(chosen) - 1).astype(self.row.dtype)
         of = chosen[self.row]
         return Sparse(int(chosen.sum()), place[self.row[of]], self.feature[of], self.value[of], self.width)
 
+    def parts(self):
+        """Some entries at a time: (row, feature, value)."""
+        for first in range(0, len(self.row), ENTRIES):
+            yield tuple(x[first:first + ENTRIES] for x in (self.row, self.feature, self.value))
+
     def times(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * weights[self.feature], self.rows)
+        out = np.zeros(self.rows)
+        for row, feature, value in self.parts():
+            out += np.bincount(row, value * weights[feature], self.rows)
+        return out
 
     def back(self, residual: np.ndarray) -> np.ndarray:
-        return np.bincount(self.feature, self.value * residual[self.row], self.width)
+        out = np.zeros(self.width)
+        for row, feature, value in self.parts():
+            out += np.bincount(feature, value * residual[row], self.width)
+        return out
 
 
 def sigmoid(x):
@@ -239,7 +252,7 @@ def sparse_views(batch, hashes: int, sizes: int, text: int):
     """(rows, text view, metadata view) of blocks of a batch."""
     data, offsets = text_buffers(batch.column(text))
     hashed, sized = meta_arrays(batch, hashes, sizes)
-    for x, y in blocks(offsets):
+    for x, y in blocks(offsets, TEXT_BYTES):
         yield (x, y, Sparse(y - x, *text_features(data[offsets[x]:offsets[y]], offsets[x:y + 1] - offsets[x]), (1 << TEXT_BITS) + DENSE),
                Sparse(y - x, *meta_features(hashed[x:y], sized[x:y]), (1 << META_BITS) + 1))
 
@@ -292,7 +305,9 @@ def train(
             if held:
                 target = np.concatenate([b.column(1).to_numpy() for b in held])
                 text = sparse([b.column(2) for b in held], [b.column(3) for b in held], (1 << TEXT_BITS) + DENSE)
-                model = fit_views(text, sparse([b.column(4) for b in held], None, (1 << META_BITS) + 1), target, taught)
+                meta = sparse([b.column(4) for b in held], None, (1 << META_BITS) + 1)
+                del held[:]
+                model = fit_views(text, meta, target, taught)
                 parts = (model.text, model.meta, model.calibration.ravel(), model.mix)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tolist()], pa.list_(pa.float64())) for x in parts], ["text", "meta", "calibration", "mix"])
 
