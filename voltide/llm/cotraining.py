@@ -35,7 +35,7 @@ from voltide.llm.common import blocks, byte_codes, materialize, mix64, packed, p
 TEXT_BITS, META_BITS = 15, 12
 LENGTHS = (4, 6, 32)
 DENSE = 7
-# bytes of text whose features, and entries of sparse rows that, are turned into numbers at a time: both take some 60 times that
+# bytes of text that become features at a time, and entries of sparse rows that are multiplied at a time
 TEXT_BYTES, ENTRIES = 256 << 10, 1 << 18
 
 
