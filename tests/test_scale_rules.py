@@ -162,3 +162,36 @@ def test_documents_spread_by_their_number(spark, monkeypatch):
     lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()
     for render in (documents.shfe_futures, documents.czce_futures, documents.cffe):
         assert render(spark, folder).rdd.getNumPartitions() == -(-lines // 1000) > 1
+    # documents of a day too: their numbers go to as many tasks, once
+    for render in (documents.dce_futures, documents.dce_options, documents.czce_futures, documents.czce_options):
+        daily = render(spark, folder, daily=True)
+        assert daily.rdd.getNumPartitions() == -(-lines // 1000)
+        text = plan(daily.select("*"))
+        assert text.count("Exchange hashpartitioning(exchange") == 1 and "RoundRobin" not in text
+        assert sorted(daily.groupBy("exchange", "trade_date").count().select("count").distinct().collect()) == [(1,)]
+
+
+def test_option_rows_of_documents_are_not_shuffled_to_their_closes(spark):
+    from voltide.sources import exchanges
+
+    record = '{"o_curinstrument":[{"INSTRUMENTID":"cu2103C4000  ","PRODUCTGROUPID":"cu","CLOSEPRICE":"1,002.5","OPENINTEREST":"7.9999999","VOLUME":"1,234"}]}'
+    payloads = spark.range(50).select(F.lit("SHFE").alias("exchange"), F.lit(DAY).alias("trade_date"), F.lit(record).alias("payload"))
+    closes = spark.createDataFrame([(DAY, "cu2103", 1.0), (DAY, "cu2103", 3.0), (DAY, "total", 9.0)], "trade_date date, product_id string, close double")
+    out = exchanges.ingest_shfe_options(payloads, closes)
+    row = out.distinct().collect()
+    assert [tuple(r) for r in row] == [(DAY, "SHFE", "cu2103C4000", "cu", "C", 4000.0, 3.0, 1002.5, 1234, 8)] and out.count() == 50
+    text = plan(out.select("*"))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "Exchange hashpartitioning" not in text
+
+
+def test_a_name_is_matched_once(spark):
+    from voltide.functions import text
+
+    names = {
+        "cu2103C4000": ("cu2103", "C", 4000.0), "\n 白糖21P5x": ("白糖21", "P", 5.0), "a1C2 b3P4": ("a1", "C", 2.0), "a1C2P3": ("a1C2", "P", 3.0),
+        "C": None, "cuC4000": None, "": None, "\x01a\x01b\x01": None, "x\n": None, "a1C٣": ("a1", "C", None), None: None,
+    }
+    rows = spark.createDataFrame([(n,) for n in names], "n string").repartition(2)
+    out = rows.select("n", text.parse_option_name(F.col("n")).alias("o")).select("n", "o.*")
+    assert {r.n: tuple(r[1:]) for r in out.collect()} == {n: want or (None,) * 3 for n, want in names.items()}
+    assert "regexp_extract" not in plan(out.select("*"))

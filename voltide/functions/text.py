@@ -5,22 +5,25 @@ from pyspark.sql import Column, functions as F
 from voltide import constants as K
 
 
-def _group(x: Column, pattern: str, n: int) -> Column:
-    return F.nullif(F.regexp_extract(x, pattern, n), F.lit(""))
+# separates the parts of a matched name; it cannot occur in one
+_MARK = "\x01"
 
 
 def parse_option_name(x: Column, dashed: bool = False) -> Column:
     """Struct (u_id, otype, strike) found anywhere in an option name.
 
     ``(?U)`` makes ``\\w`` and ``\\d`` cover Unicode, so ids with Chinese
-    letters parse. A name without a match gives NULL fields.
+    letters parse. One match per name: its groups replace the whole text, with
+    separators, and are split. A name without a match leaves empty groups,
+    which become NULL fields.
     """
-    pattern = "(?U)" + (K.OPTION_NAME_DASHED if dashed else K.OPTION_NAME)
-    return F.struct(
-        _group(x, pattern, 1).alias("u_id"),
-        _group(x, pattern, 2).alias("otype"),
-        _group(x, pattern, 3).try_cast("double").alias("strike"),
-    )
+    pattern = rf"(?Us)^(?:.*?{K.OPTION_NAME_DASHED if dashed else K.OPTION_NAME}.*|.*)\z"
+    parts = F.split(F.regexp_replace(x, pattern, _MARK.join(("$1", "$2", "$3"))), _MARK)
+
+    def group(n):
+        return F.nullif(F.get(parts, F.lit(n)), F.lit(""))
+
+    return F.struct(group(0).alias("u_id"), group(1).alias("otype"), group(2).try_cast("double").alias("strike"))
 
 
 def fill_year(year: Column, month: Column, as_of: Column, delta_days: int = K.YEAR_FILL_DAYS) -> Column:
@@ -38,10 +41,6 @@ def fill_year(year: Column, month: Column, as_of: Column, delta_days: int = K.YE
     return F.when(number.between(1, 12), F.make_date(resolved, number, F.lit(1)))
 
 
-# separates the parts of a matched name; it cannot occur in one
-_MARK = "\x01"
-
-
 def parse_contract(x: Column, as_of: Column) -> Column:
     """Struct (product, month, otype, strike) of a whole contract name.
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voltide import constants as K
-from voltide.operators.tables import fixed_table, pick_by
+from voltide.operators.tables import apart, fixed_table, pick_by, staged
 
 
 def unique_closes(underlying: DataFrame, id_col: str = "product_id", order: list = None, keys: list = ("trade_date",)) -> DataFrame:
@@ -19,19 +19,24 @@ def unique_closes(underlying: DataFrame, id_col: str = "product_id", order: list
     return contracts.groupBy(*keys, "u_id").agg(F.max("close").alias("u_price"))
 
 
-def attach_underlying(options: DataFrame, underlying: DataFrame, id_col: str = "product_id", order: list = None) -> DataFrame:
+def attach_underlying(options: DataFrame, underlying: DataFrame, id_col: str = "product_id", order: list = None,
+                      stored: bool = False) -> DataFrame:
     """Left join the close of the underlying contract of the same day.
 
     Where both sides name their exchange and ids are contracts, the exchange is
     part of the key: one id on two exchanges is two contracts. The right side
     has one row per key, so the join cannot multiply options. A hot underlying
     is split at run time by adaptive execution (left side of a left join), and a
-    small right side is broadcast on its measured size.
+    small right side is broadcast on its measured size. With ``stored`` the
+    closes are written first, so their size is known when the join is planned
+    and options that cost much to make are neither shuffled nor sorted.
     """
     left = options.drop("u_price")
     both = id_col == "product_id" and "exchange" in underlying.columns and "exchange" in left.columns
     keys = ["trade_date", "exchange"] if both else ["trade_date"]
-    return left.join(unique_closes(underlying, id_col, order, keys), [*keys, "u_id"], "left")
+    closes = unique_closes(underlying, id_col, order, keys)
+    left, closes = (apart(left), staged(closes, "closes")) if stored else (left, closes)
+    return left.join(closes, [*keys, "u_id"], "left")
 
 
 def option_group_id(group: Column, exchange: Column = None) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voltide import constants as K, schemas
-from voltide.functions.numeric import to_numeric
+from voltide.functions.numeric import nan_to_null, to_numeric
 from voltide.operators.tables import pick_by
 
 
@@ -68,13 +68,14 @@ def normalize_futures(df: DataFrame, grand_total: str = K.GRAND_TOTAL_MARK) -> D
 
 
 def normalize_options(df: DataFrame, grand_total: str = K.GRAND_TOTAL_MARK) -> DataFrame:
+    kinds = dict(df.dtypes)  # numbers need no way through text
     return df.where(options_problem(grand_total).isNull()).select(
         "trade_date",
         "exchange",
         "product_id",
         "group_id",
         "otype",
-        *[to_numeric(F.col(c)).alias(c) for c in ("strike", "u_price", "close")],
+        *[(nan_to_null(F.col(c)) if kinds[c] == "double" else to_numeric(F.col(c))).alias(c) for c in ("strike", "u_price", "close")],
         *[to_numeric(F.col(c), "bigint").alias(c) for c in ("volume", "open_interest")],
     )
 

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from voltide.session import shared_folder
 
+# more tasks than any job has
+MOST_TASKS = 1 << 30
+
 
 def fixed_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """A constant dimension table built inside the plan.
@@ -30,6 +33,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """The rows in the tasks they are in; what follows is planned and compiled apart from what makes them."""
+    return df.coalesce(MOST_TASKS)
+
+
 def pick_by(df: DataFrame, keys: list, order: list, last: bool) -> DataFrame:
     """One whole row per key: the last (or first) in ``order``.
 

@@ -6,7 +6,8 @@ rows a real document has (subtotal, grand total, empty and dashed cells). No
 rows are grouped to build a document; line items are spread over tasks by their
 number first, because a document costs far more than its line's bytes. HTML
 documents come in a second form, as the exchanges publish them: all contracts
-of a day in one document, a subtotal behind each product.
+of a day in one document, a subtotal behind each product. There the numbers,
+not the rendered rows, go to the task that has the day.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -19,6 +20,8 @@ from voltide.sources import exchanges
 SHEET_PARTS = 20_000
 # lines that a task renders and reads
 TASK_LINES = 50_000
+# what a daily document is of
+DAY = ["exchange", "trade_date", "sheet"]
 
 
 def with_month(schema: T.StructType) -> T.StructType:
@@ -60,10 +63,17 @@ def _comma(col: Column) -> Column:
     return F.format_number(col, 0)
 
 
-def _quotes(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items with the numbers a document prints, spread by their number: a file of few bytes holds many documents."""
+def _quotes(spark: SparkSession, folder: str, daily: bool = False) -> DataFrame:
+    """Line items with the numbers a document prints, spread by their number: a file of few bytes holds many documents.
+
+    ``daily``: spread by the document they go to.
+    """
     items = views.table(spark, folder, "lineitem")
-    base = views.lines(spark, folder, items.repartition(-(-items.count() // TASK_LINES) or 1))
+    tasks = -(-items.count() // TASK_LINES) or 1
+    base = views.lines(spark, folder, items if daily else items.repartition(tasks))
+    base = base.withColumn("sheet", F.floor(F.col("l_partkey") / SHEET_PARTS))
+    if daily:
+        base = base.repartition(tasks, *DAY)
     month = F.add_months(F.trunc("trade_date", "month"), F.col("l_linenumber") + 2)
     price = F.col("l_extendedprice")
     return base.select(
@@ -80,7 +90,7 @@ def _quotes(spark: SparkSession, folder: str) -> DataFrame:
         F.rint(F.col("p_retailprice") * (F.lit(0.80) + F.lit(0.05) * F.col("l_linenumber"))).cast("bigint").alias("strike"),
         F.when(F.col("l_linestatus") == "O", F.lit("C")).otherwise(F.lit("P")).alias("otype"),
         views.fair_price().alias("fair"),
-        "l_tax", F.floor(F.col("l_partkey") / SHEET_PARTS).alias("sheet"),
+        "l_tax", "sheet",
     )
 
 
@@ -192,12 +202,11 @@ def _bodies(rows: DataFrame, contract: Column, subtotal: Column, daily: bool) ->
     """Table rows of every document: one contract with its subtotal, or all contracts of a day product by product."""
     if not daily:
         return rows.withColumn("rows", F.concat(contract, subtotal))
-    day = ["exchange", "trade_date", "sheet"]
-    lines = rows.select(*day, "group_id", contract.alias("line"), subtotal.alias("subtotal"))
-    products = lines.groupBy(*day, "group_id").agg(
+    lines = rows.select(*DAY, "group_id", contract.alias("line"), subtotal.alias("subtotal"))
+    products = lines.groupBy(*DAY, "group_id").agg(
         F.concat(F.array_join(F.sort_array(F.collect_list("line")), ""), F.min("subtotal")).alias("part"))
     parts = F.sort_array(F.collect_list(F.struct("group_id", "part")))
-    return products.groupBy(*day).agg(F.array_join(F.transform(parts, lambda x: x["part"]), "").alias("rows"))
+    return products.groupBy(*DAY).agg(F.array_join(F.transform(parts, lambda x: x["part"]), "").alias("rows"))
 
 
 def _dce(rows: DataFrame, kind: str, titles: list, contract: list, subtotal: list, grand: list, daily: bool) -> DataFrame:
@@ -210,7 +219,7 @@ def _dce(rows: DataFrame, kind: str, titles: list, contract: list, subtotal: lis
 
 
 def dce_futures(spark: SparkSession, folder: str, daily: bool = False) -> DataFrame:
-    rows = _quotes(spark, folder)
+    rows = _quotes(spark, folder, daily)
     name = dce_name(F.col("group_id"))
     numbers = [
         F.when(F.col("l_tax") == 0, F.lit("-")).otherwise(_text("pre_settle")), F.lit(" - "), _text("high"),
@@ -230,7 +239,7 @@ def dce_futures(spark: SparkSession, folder: str, daily: bool = False) -> DataFr
 
 
 def dce_options(spark: SparkSession, folder: str, daily: bool = False, price: str = "close") -> DataFrame:
-    rows = _quotes(spark, folder)
+    rows = _quotes(spark, folder, daily)
     name = dce_name(F.col("group_id"))
     return _dce(
         rows, "options", ["商品名称", "合约名称", "收盘价", "成交量", "持仓量"],
@@ -254,7 +263,7 @@ def _by_age(old: str, new: str) -> Column:
 
 
 def czce_futures(spark: SparkSession, folder: str, daily: bool = False) -> DataFrame:
-    rows = _quotes(spark, folder)
+    rows = _quotes(spark, folder, daily)
     titles = [_by_age("品种月份", "合约代码")] + [F.lit(t) for t in ("昨结算", "今开盘", "最高价", "最低价", "今收盘", "今结算")] + [
         _by_age("空盘量", "持仓量"), F.lit("增减量"), F.lit("成交量(手)"),
     ]
@@ -271,7 +280,7 @@ def czce_futures(spark: SparkSession, folder: str, daily: bool = False) -> DataF
 
 
 def czce_options(spark: SparkSession, folder: str, daily: bool = False, price: str = "close") -> DataFrame:
-    rows = _quotes(spark, folder)
+    rows = _quotes(spark, folder, daily)
     titles = [_by_age("品种代码", "合约代码"), F.lit("今收盘"), _by_age("空盘量", "持仓量"), F.lit("成交量(手)")]
     return _czce(
         rows, "options", titles,

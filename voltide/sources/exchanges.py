@@ -112,10 +112,10 @@ def ingest_shfe_futures(payloads: DataFrame) -> DataFrame:
 
 
 def _finish_options(rows: DataFrame, underlying: DataFrame, id_col: str, dashed: bool, index_option: bool = False) -> DataFrame:
-    parsed = rows.withColumn("_o", text.parse_option_name(F.col("product_id"), dashed))
+    parsed = rows if "_o" in rows.columns else rows.withColumn("_o", text.parse_option_name(F.col("product_id"), dashed))
     u_id = text.index_underlying(F.col("_o.u_id")) if index_option else F.col("_o.u_id")
     parsed = parsed.withColumns({"u_id": u_id, "otype": F.col("_o.otype"), "strike": F.col("_o.strike")}).drop("_o")
-    return normalize_options(attach_underlying(parsed, underlying, id_col))
+    return normalize_options(attach_underlying(parsed, underlying, id_col, stored=True))
 
 
 def ingest_shfe_options(payloads: DataFrame, futures: DataFrame) -> DataFrame:
@@ -190,11 +190,12 @@ def ingest_czce_futures(payloads: DataFrame) -> DataFrame:
 def ingest_czce_options(payloads: DataFrame, futures: DataFrame) -> DataFrame:
     rows = _czce_rows(payloads, CZCE_OPTION_IDS, {k: v for k, v in CZCE_FUTURES.items() if v in ("close", "volume")})
 
-    def group_of(name):
-        return F.coalesce(text.strip_digits(text.parse_option_name(F.col(name))["u_id"]), F.col(name))
-
-    group = F.when(F.col("product_id") == K.TOTAL_KEY, group_of("carried")).otherwise(group_of("product_id"))
-    return _finish_options(drop_sum_rows(rows.withColumn("group_id", group)), futures, "product_id", dashed=False)
+    # a total row takes its group from the contract before it; other names are matched once
+    named = F.when(F.col("product_id") == K.TOTAL_KEY, F.col("carried")).otherwise(F.col("product_id"))
+    parsed = drop_sum_rows(rows).withColumn("_named", named).withColumn("_o", text.parse_option_name(F.col("_named")))
+    group = F.coalesce(text.strip_digits(F.col("_o.u_id")), F.col("_named"))
+    own = F.when(~F.col("product_id").eqNullSafe(F.lit(K.TOTAL_KEY)), F.col("_o"))
+    return _finish_options(parsed.withColumns({"group_id": group, "_o": own}).drop("_named"), futures, "product_id", dashed=False)
 
 
 # --- equity index and trading calendar ----------------------------------------------------
