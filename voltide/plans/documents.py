@@ -13,6 +13,7 @@ not the rendered rows, go to the task that has the day.
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from voltide import constants as K, schemas
+from voltide.operators.tables import apart
 from voltide.plans import views
 from voltide.sources import exchanges
 
@@ -98,6 +99,15 @@ def _payload(rows: DataFrame, kind: str, body: Column) -> DataFrame:
     return rows.select("exchange", F.lit(kind).alias("kind"), "trade_date", body.alias("payload"))
 
 
+def _json_payload(rows: DataFrame, kind: str, body: Column) -> DataFrame:
+    """Documents that are whole before a reader opens them.
+
+    ``from_json`` interprets its argument expression by expression; planned together, that argument would be all of
+    the rendering.
+    """
+    return apart(_payload(rows, kind, body))
+
+
 # --- JSON ----------------------------------------------------------------------------
 def shfe_futures(spark: SparkSession, folder: str, bump: float = 0.0) -> DataFrame:
     rows = _quotes(spark, folder)
@@ -143,7 +153,7 @@ def shfe_options(spark: SparkSession, folder: str, price: str = "close") -> Data
         record(F.lit(K.SUBTOTAL_MARK), group, F.lit("0")),
         record(F.lit(K.SUM_ROW_MARK), F.lit(""), F.lit("5")),
     ).alias(exchanges.SHFE_ARRAY)))
-    return _payload(rows, "options", body)
+    return _json_payload(rows, "options", body)
 
 
 # --- XML -----------------------------------------------------------------------------
