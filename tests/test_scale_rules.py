@@ -195,3 +195,12 @@ def test_a_name_is_matched_once(spark):
     out = rows.select("n", text.parse_option_name(F.col("n")).alias("o")).select("n", "o.*")
     assert {r.n: tuple(r[1:]) for r in out.collect()} == {n: want or (None,) * 3 for n, want in names.items()}
     assert "regexp_extract" not in plan(out.select("*"))
+
+
+def test_json_documents_are_rendered_before_they_are_read(spark):
+    from voltide.plans import documents
+    from voltide.sources import exchanges
+
+    out = exchanges.ingest_shfe_futures(documents.shfe_futures(spark, "/root/testdata/sf0.001"))
+    text = plan(out.select("*"))
+    assert "StructsToJson" in text and not re.search(r"from_json\([^\n]*StructsToJson", text)

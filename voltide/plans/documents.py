@@ -129,7 +129,7 @@ def shfe_futures(spark: SparkSession, folder: str, bump: float = 0.0) -> DataFra
         record(F.lit(K.SUBTOTAL_MARK), group, F.lit("1"), F.lit("")),
         record(F.lit(""), F.lit(K.GRAND_TOTAL_MARK), F.lit("1"), F.lit("")),
     ).alias(exchanges.SHFE_ARRAY)))
-    return _payload(rows, "futures", body)
+    return _json_payload(rows, "futures", body)
 
 
 def option_name(dash: str = "", digits: int = 4) -> Column:
