@@ -204,3 +204,17 @@ def test_json_documents_are_rendered_before_they_are_read(spark):
     out = exchanges.ingest_shfe_futures(documents.shfe_futures(spark, "/root/testdata/sf0.001"))
     text = plan(out.select("*"))
     assert "StructsToJson" in text and not re.search(r"from_json\([^\n]*StructsToJson", text)
+
+
+def test_staged_days_are_published_without_a_shuffle(spark, tmp_path, monkeypatch):
+    path, staged = str(tmp_path / "store"), str(tmp_path / "staged")
+    days = spark.range(400).select(F.date_add(F.lit(DAY), (F.col("id") % 4).cast("int")).alias("trade_date"), F.col("id").alias("x"))
+    maintain.append_day(days.where("x < 300"), path)
+    maintain.append_day(days.where("trade_date > '2021-01-05'"), staged)
+    with monkeypatch.context() as m:
+        m.setattr(type(days), "hint", lambda *a: pytest.fail("rows that are read from whole days were dealt out again"))
+        maintain.publish(spark, staged, path, days.schema, "b")
+    stored = spark.read.schema(days.schema).parquet(path)
+    assert sorted(r.x for r in stored.collect()) == sorted([x for x in range(400) if x % 4 > 1 or x < 300])
+    files = {str(p.parent.name) for p in (tmp_path / "store").glob("trade_date=*/*.parquet")}
+    assert len(files) == 4 and len(list((tmp_path / "store").glob("trade_date=*/*.parquet"))) == 4

@@ -9,15 +9,16 @@ from voltide.operators.tables import pick_by
 MOST_LISTED = 4096
 
 
-def append_day(df: DataFrame, path: str, date_col: str = "trade_date") -> None:
+def append_day(df: DataFrame, path: str, date_col: str = "trade_date", rebalance: bool = True) -> None:
     """Write days as partitions; a day that is written again is replaced.
 
     The rebalance hint lets adaptive execution merge small days into one file
-    and split a day that is too large for one task. A replay of the same
-    batch leaves the table as it was, and an empty batch changes nothing.
+    and split a day that is too large for one task; rows that are read from
+    such files need no second shuffle. A replay of the same batch leaves the
+    table as it was, and an empty batch changes nothing.
     """
     (
-        df.hint("rebalance", F.col(date_col))
+        (df.hint("rebalance", F.col(date_col)) if rebalance else df)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(date_col)
@@ -72,7 +73,7 @@ def merge_day(spark: SparkSession, new: DataFrame, path: str, schema, keys: list
 def publish(spark: SparkSession, staged_path: str, path: str, schema, batch: str, date_col: str = "trade_date") -> None:
     """Replace stored days by staged ones and mark the batch as published; the staged rows go."""
     staged = spark.read.schema(schema).parquet(staged_path)
-    append_day(staged, path, date_col)
+    append_day(staged, path, date_col, rebalance=False)
     ledger.mark(staged, path, batch, ledger.PUBLISHED, date_col)
     staged.where(F.lit(False)).write.mode("overwrite").parquet(staged_path)
 

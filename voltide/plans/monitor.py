@@ -131,8 +131,8 @@ def recompute_stored(spark: SparkSession, quotes_path: str, siv_path: str, calen
         if ledger.STAGED not in states:
             _stage_steps(spark, quotes_path, staged_quotes, staged_siv, calendar, run, quotes_schema, siv_schema, weight, date_col, parts_per_step)
         quotes, siv = spark.read.schema(quotes_schema).parquet(staged_quotes), spark.read.schema(siv_schema).parquet(staged_siv)
-        append_day(quotes, quotes_path, date_col)
-        append_day(siv, siv_path, date_col)
+        append_day(quotes, quotes_path, date_col, rebalance=False)
+        append_day(siv, siv_path, date_col, rebalance=False)
         ledger.mark(quotes, quotes_path, run, ledger.PUBLISHED, date_col)
         for frame, path in ((quotes, staged_quotes), (siv, staged_siv)):  # the staged rows go
             frame.where(F.lit(False)).write.mode("overwrite").parquet(path)
